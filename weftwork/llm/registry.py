@@ -5,14 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, simhash
+from . import decontam, langid, sentencepiece_scan, simhash, substring_dedup
 from .common import crc_of_id
 
 
+#: The vocabulary that is read; another path can be given.
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
+    return out.select("doc_id", (F.size("matches") > 0).alias("contaminated"), items.alias("item_ids"), F.size("matches").cast("long").alias("n_matches"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = MODEL_FILE) -> DataFrame:
+    ids = sentencepiece_scan.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model_file)
+    out = sentencepiece_scan.decode(ids, model_file)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
     return out.select(F.col("id").alias("doc_id"), simhash.fingerprint_hex().alias("fingerprint"), "component_id")
@@ -26,6 +47,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_decontamination": op5_decontamination,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_simhash": op8_simhash,
     "op10_language_id": op10_language_id,
 }

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .common import Scratch, append_columns, texts_of
 
 #: Edits allowed as a share of an item's characters.
-MAX_ERROR_RATE = 0.08
+MAX_ERROR_RATE = 0.07
 #: Shorter items would match by chance.
 MIN_ITEM_CHARS = 20
 #: Characters of items in one block: what is searched for, and broadcast, at once.

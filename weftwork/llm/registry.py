@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, sentencepiece_scan, simhash, substring_dedup
+from . import decontam, langid, quality, sentencepiece_scan, simhash, substring_dedup
 from .common import crc_of_id
+from .quality_sql import OP9
 
 
 #: The vocabulary that is read; another path can be given.
@@ -39,6 +40,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_of_id("doc_id") % 3 == 1
@@ -51,7 +57,10 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_simhash": op8_simhash,
+    "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_quality_rules": OP9,
+}

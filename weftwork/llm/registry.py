@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, quality, sentencepiece_scan, sharding, simhash, substring_dedup
+from . import chat, decontam, langid, lm, quality, sentencepiece_scan, sharding, simhash, substring_dedup, warc
 from .chat_sql import OP3
-from .common import crc_of_id
+from .common import Scratch, crc_of_id
 from .quality_sql import OP9
+from .warc_sql import OP1
 
 
 #: The vocabulary that is read; another path can be given.
@@ -19,6 +20,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    path = scratch.new_path("archives")
+    warc.write_captures(table(spark, sf_dir, "pages"), path)
+    page_id = F.regexp_extract(F.col("metadata")[0]["payload"].cast("string"), "page-id: (-?[0-9]*)", 1)
+    # Archives are read once; of the payloads, which were digested in that reading, only metadata's are kept.
+    records = scratch.write(warc.read_records(spark, path).withColumn("payload", F.when(F.col("type") == "metadata", F.col("payload"))))
+    captures = scratch.write(
+        warc.assemble(records).select(
+            "capture_id", F.when(page_id != "", page_id.cast("long")).alias("page_id"), "response.type", "response.refers_to", "response.payload_bytes", "response.payload_digest"
+        )
+    )
+    first = captures.select(F.col("capture_id").alias("refers_to"), F.col("page_id").alias("of"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d"))
+    revisits = captures.where("type = 'revisit'").join(first, "refers_to", "left").select("page_id", F.col("b").alias("payload_bytes"), F.col("d").alias("payload_digest"), F.col("type").alias("record_type"), F.col("of").alias("refers_to"))
+    responses = captures.where("type = 'response'").select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    return responses.unionAll(revisits)
+
+
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm.score_documents(table(spark, sf_dir, "documents"), crc_of_id("doc_id") % 7 == 2)
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "<|im_end|><|im_start|>assistant ok"
@@ -76,6 +100,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_lm_score": op2_lm_score,
     "op3_chat_format": op3_chat_format,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_decontamination": op5_decontamination,
@@ -87,6 +113,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": OP1,
     "op3_chat_format": OP3,
     "op9_quality_rules": OP9,
 }

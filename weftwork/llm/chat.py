@@ -60,7 +60,7 @@ def fold_events(events: DataFrame) -> DataFrame:
     messages = messages.withColumns({"reset": position("regenerate", "message", "edit"), "gone": position("delete")})
     final = F.transform(F.filter("log", lambda x, i: i >= F.col("reset")), lambda x: x["text"])
     turn = F.struct(F.col("log")[0]["seq"].alias("seq"), F.col("message_id"), F.coalesce(F.col("log")[0]["role"], F.lit("")).alias("role"), F.array_join(final, "").alias("text"))
-    turns = F.array_sort(F.collect_list(F.when(F.col("gone") < F.col("reset"), turn)))
+    turns = F.array_sort(F.collect_list(F.when((F.col("gone") < 0) | (F.col("gone") < F.col("reset")), turn)))
     return messages.groupBy("conv_id").agg(F.transform(turns, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +14,8 @@ from pyspark.sql import types as T
 
 #: A table of at most this many narrow rows may be broadcast.
 BROADCAST_ROWS = 100_000
+#: Rows that a function of a batch gets at once, so that what it makes stays small.
+SLICE_ROWS = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,6 +56,31 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Shared:
+    """A value broadcast as its plain attributes, so that executors need no module of its class. Tasks must not change it."""
+
+    def __init__(self, spark: SparkSession, value) -> None:
+        self.cls, self.sent = type(value), spark.sparkContext.broadcast(vars(value))
+
+    @property
+    def value(self):
+        out = self.cls.__new__(self.cls)
+        out.__dict__.update(self.sent.value)
+        return out
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Has the driver let go of shuffles that nothing refers to any more, whose files else stay on the executors' disks."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a written, narrow table for broadcast if it has at most `rows` rows; else Spark joins by shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -70,10 +98,9 @@ def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
-            if batch.num_rows:
-                new = f(batch)
-                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in kept), *new], names=out)
+        for batch in slices(batches):
+            new = f(batch)
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in kept), *new], names=out)
 
     return df.mapInArrow(run, T.StructType([*df_kept, *fields]))
 

@@ -9,6 +9,7 @@ from . import chat, decontam, langid, lm, quality, sentencepiece_scan, sharding,
 from .chat_sql import OP3
 from .common import Scratch, crc_of_id
 from .quality_sql import OP9
+from .substring_sql import OP4
 from .warc_sql import OP1
 
 
@@ -115,5 +116,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": OP1,
     "op3_chat_format": OP3,
+    "op4_substring_dedup": OP4,
     "op9_quality_rules": OP9,
 }

@@ -1,0 +1,88 @@
+"""The pipeline against a plain version of each stage, over the smallest documents and some hard ones."""
+
+from collections import Counter
+
+import numpy as np
+import pyarrow.parquet as pq
+import sentencepiece
+from pyspark.sql import functions as F
+from test_text_operators import brute_components, brute_dedup, brute_fingerprint, distance
+
+import corpus_pipeline
+from weftwork.llm import langid, registry
+
+DATA = "/root/testdata/sf0.001"
+
+
+def grams(text):
+    out = Counter()
+    for w in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        p = f"\x01{w}\x01"
+        for g in [*w, *(p[i : i + 2] for i in range(len(p) - 1)), *(p[i : i + 3] for i in range(len(p) - 2))]:
+            out[g] += 1
+    return out
+
+
+def top(counts):
+    code = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+    return {g: r for r, g in enumerate(sorted(counts, key=lambda g: (-counts[g], code(g)))[: langid.TOP])}
+
+
+def brute(rows, items):
+    """rows: (doc_id, text, lang)."""
+    by = {}
+    for _, t, lang in rows:
+        if t is not None and lang is not None:
+            by.setdefault(lang, Counter()).update(grams(t))
+    profiles = {k: top(c) for k, c in by.items() if c}
+    kept = []
+    for i, t, _ in rows:
+        mine = top(grams(t or ""))
+        if mine and profiles:
+            least = min(sum(abs(p[g] - r) if g in p else langid.TOP for g, r in mine.items()) for p in profiles.values())
+            if 1 - least / (langid.TOP * len(mine)) >= corpus_pipeline.MIN_LANGUAGE_SCORE:
+                kept.append((i, t))
+    of = brute_components([i for i, _ in kept], np.array([brute_fingerprint(t, 5) for _, t in kept], np.uint64), 4)
+    kept = list(dict.fromkeys((i, t) for (i, t), c in zip(kept, of, strict=True) if i == c))
+    out = [(i, t if not gone else new) for i, t, n, gone, new in brute_dedup(kept) if gone == 0 or gone < n]
+    plain = lambda t: " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
+    items = [plain(x) for x in items]
+    shingles = [{x[j : j + 5] for j in range(len(x) - 4)} for x in items]
+
+    def leaked(t):
+        p = plain(t)
+        have = {p[j : j + 5] for j in range(len(p) - 4)}
+        # An edit spoils at most five of an item's 5-grams; only items with the rest are worth the full distance.
+        return any(len(s - have) <= 5 * int(0.07 * len(x)) and distance(x, p) <= int(0.07 * len(x)) for x, s in zip(items, shingles, strict=True))
+
+    return {i: t for i, t in out if not leaked(t)}
+
+
+def test_pipeline_matches_plain_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    extra = [(10_001, None, "en"), (10_002, "", "en"), (10_003, "12 !! 34", None), (10_004, "漢字 " * 30, None), (3, None, "fr")]
+    more = spark.createDataFrame([(i, t, lang, "src0", len(t or "")) for i, t, lang in extra], docs.schema)
+    docs.unionAll(more).unionAll(docs.where("doc_id < 20")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(str(tmp_path / "documents.parquet")).collect()]
+    want = brute(rows, pq.read_table(f"{DATA}/benchmark.parquet").column("text").to_pylist())
+    assert {r.doc_id: r.text for r in got} == want and len(got) == len(want)
+    assert all(r.round_trip and r.n_tokens == len(r.ids) for r in got)
+    model = sentencepiece.SentencePieceProcessor(model_file=registry.MODEL_FILE)
+    assert all(model.decode(r.ids) == r.text for r in got if "  " not in r.text and not r.text.startswith(" "))
+    assert len(want) < len(rows)
+
+
+def test_stages_on_empty_and_wide_tables(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    wide = docs.limit(40).withColumns({c: F.lit("clash") for c in ("id", "fp", "score", "matches", "kept_text", "ids", "n_words", "_runs")})
+    for df in (docs.limit(0), wide):
+        at = df
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, at, DATA)
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == df.columns
+            out.write.parquet(str(tmp_path / f"{len(df.columns)}-{k}"))
+            at = spark.read.schema(out.schema).parquet(str(tmp_path / f"{len(df.columns)}-{k}"))
+        assert at.count() <= 40

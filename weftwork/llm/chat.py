@@ -68,9 +68,9 @@ def render(df: DataFrame, turns_col: str = "turns", trained_role: str = "assista
     """df with formatted and loss_spans: (start, n) in code points of each text of the trained role."""
     role = lambda x: F.replace(escape(x["role"]), F.lit("\n"), F.lit("\\l"))
     parts = F.transform(turns_col, lambda x: F.struct(F.concat(F.lit(START), role(x), F.lit("\n")).alias("head"), escape(x["text"]).alias("body"), (x["role"] == trained_role).alias("loss")))
-    df = df.withColumn("_parts", parts)
+    df = df.withColumn("__weft_parts", parts)
     ends = F.aggregate(
-        "_parts",
+        "__weft_parts",
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,n:int>>").alias("spans")),
         lambda a, x: F.struct(
             (a["at"] + F.length(x["head"]) + F.length(x["body"]) + len(END)).alias("at"),
@@ -78,8 +78,8 @@ def render(df: DataFrame, turns_col: str = "turns", trained_role: str = "assista
         ),
         lambda a: a["spans"],
     )
-    formatted = F.array_join(F.transform("_parts", lambda x: F.concat(x["head"], x["body"], F.lit(END))), "")
-    return df.withColumns({"formatted": formatted, "loss_spans": ends}).drop("_parts")
+    formatted = F.array_join(F.transform("__weft_parts", lambda x: F.concat(x["head"], x["body"], F.lit(END))), "")
+    return df.withColumns({"formatted": formatted, "loss_spans": ends}).drop("__weft_parts")
 
 
 def parse(formatted: Column) -> Column:

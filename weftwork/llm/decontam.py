@@ -127,7 +127,7 @@ def _with_block(df: DataFrame, block: list[tuple[int, str]], rate: float, name:
 
     def make():
         matcher = Matcher(items.value, rate)
-        return lambda batch: [pa.array([matcher.find(t) for t in texts_of(batch, "_normal")], ARROW_MATCHES)]
+        return lambda batch: [pa.array([matcher.find(t) for t in texts_of(batch, "__weft_normal")], ARROW_MATCHES)]
 
     return append_columns(df, [T.StructField(name, MATCHES)], make)
 
@@ -140,10 +140,10 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "tex
     """
     blocks = _blocks(benchmark, item_id, item_text)
     first = next(blocks, [])
-    out = _with_block(df.withColumn("_normal", normal(text_col)), first, rate, "matches")
+    out = _with_block(df.withColumn("__weft_normal", normal(text_col)), first, rate, "matches")
     scratch = None
     for block in blocks:
         scratch = scratch or Scratch(df.sparkSession, "decontam")
         was = scratch.write(out)
-        out = _with_block(was, block, rate, "_more").withColumn("matches", F.concat("matches", "_more")).drop("_more")
-    return out.drop("_normal")
+        out = _with_block(was, block, rate, "__weft_more").withColumn("matches", F.concat("matches", "__weft_more")).drop("__weft_more")
+    return out.drop("__weft_normal")

@@ -83,11 +83,11 @@ def frequent_lines(df: DataFrame, host_col: str, text_col: str, max_share: float
     A line counts once in a document. Counts combine in the tasks before the shuffle, so neither a hot host nor a
     hot line makes a large group. A host has at most 1 / max_share times a document's mean number of lines.
     """
-    docs = df.select(F.col(host_col).alias("_host"), F.array_distinct(F.transform(lines(F.coalesce(F.col(text_col), F.lit(""))), lambda x: F.xxhash64(normal_line(x)))).alias("hashes"))
-    hosts = df.groupBy(F.col(host_col).alias("_of")).agg(F.count("*").alias("docs"))
-    counts = docs.select("_host", F.explode("hashes").alias("h")).groupBy("_host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    over = counts.join(hosts, F.col("_host").eqNullSafe(F.col("_of"))).where(F.col("n") > max_share * F.col("docs"))
-    return over.groupBy("_host").agg(F.sort_array(F.collect_list("h")).alias("_common"))
+    docs = df.select(F.col(host_col).alias("__weft_host"), F.array_distinct(F.transform(lines(F.coalesce(F.col(text_col), F.lit(""))), lambda x: F.xxhash64(normal_line(x)))).alias("hashes"))
+    hosts = df.groupBy(F.col(host_col).alias("__weft_of")).agg(F.count("*").alias("docs"))
+    counts = docs.select("__weft_host", F.explode("hashes").alias("h")).groupBy("__weft_host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    over = counts.join(hosts, F.col("__weft_host").eqNullSafe(F.col("__weft_of"))).where(F.col("n") > max_share * F.col("docs"))
+    return over.groupBy("__weft_host").agg(F.sort_array(F.collect_list("h")).alias("__weft_common"))
 
 
 def quality_rules(df: DataFrame, text_col: str = "text", host_col: str = "source", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -97,15 +97,15 @@ def quality_rules(df: DataFrame, text_col: str = "text", host_col: str = "source
     """
     common = broadcast_if_small(Scratch(df.sparkSession, "quality").write(frequent_lines(df, host_col, text_col, max_share, min_docs)))
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines_removed", "kept_text", "kept"]
-    joined = df.drop(*new).join(common, F.col(host_col).eqNullSafe(F.col("_host")), "left").drop("_host")
+    joined = df.drop(*new).join(common, F.col(host_col).eqNullSafe(F.col("__weft_host")), "left").drop("__weft_host")
     t = F.coalesce(F.col(text_col), F.lit(""))
-    hit = lambda x: F.array_contains("_common", F.xxhash64(normal_line(x)))
+    hit = lambda x: F.array_contains("__weft_common", F.xxhash64(normal_line(x)))
     sized = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, x: n + F.length(normal_line(x)))
-    removed = F.when(F.col("_common").isNull(), F.struct(F.lit(0).alias("n"), F.lit(False).alias("depleted"))).otherwise(
+    removed = F.when(F.col("__weft_common").isNull(), F.struct(F.lit(0).alias("n"), F.lit(False).alias("depleted"))).otherwise(
         bind(lines(t), lambda x: bind(F.filter(x, hit), lambda r: F.struct(F.size(r).alias("n"), ((F.size(r) > 0) & (100 * sized(r) > MAX_REMOVED * sized(x))).alias("depleted"))))
     )
-    out = joined.withColumns({"_base": base(F.col(text_col)), "_lines": removed})
-    failed = (F.col("_base.n_words") < MIN_WORDS) | (100 * F.col("_base.n_repeat_words") > MAX_REPEATED * F.col("_base.n_words"))
-    kept_text = F.when(F.col("_lines.n") == 0, F.col(text_col)).otherwise(F.array_join(F.filter(F.split(t, "\n"), lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & hit(x))), "\n"))
-    columns = {k: F.col(f"_base.{k}") for k in new[:5]} | {"base_failed": failed, "n_lines_removed": F.col("_lines.n").cast("long"), "kept_text": kept_text, "kept": ~failed & ~F.col("_lines.depleted")}
-    return out.withColumns(columns).drop("_base", "_lines", "_common")
+    out = joined.withColumns({"__weft_base": base(F.col(text_col)), "__weft_lines": removed})
+    failed = (F.col("__weft_base.n_words") < MIN_WORDS) | (100 * F.col("__weft_base.n_repeat_words") > MAX_REPEATED * F.col("__weft_base.n_words"))
+    kept_text = F.when(F.col("__weft_lines.n") == 0, F.col(text_col)).otherwise(F.array_join(F.filter(F.split(t, "\n"), lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & hit(x))), "\n"))
+    columns = {k: F.col(f"__weft_base.{k}") for k in new[:5]} | {"base_failed": failed, "n_lines_removed": F.col("__weft_lines.n").cast("long"), "kept_text": kept_text, "kept": ~failed & ~F.col("__weft_lines.depleted")}
+    return out.withColumns(columns).drop("__weft_base", "__weft_lines", "__weft_common")

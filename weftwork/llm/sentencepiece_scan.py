@@ -6,12 +6,14 @@ right, the best score between. Matrices combine associatively under (max, +); th
 two boundary states, and each chunk is then segmented between them on its own.
 
 A character that is in no piece becomes its UTF-8 bytes, as does U+2581, which pieces use for a space; so decoding
-returns each text exactly. Defined results: a null text has null ids; an empty text has none; rows repeat as given.
+returns each text exactly. Defined results: a null text has null ids; an empty text has none; rows repeat as given. Of equally good paths the
+one with the longest last pieces is taken; where such paths cross a cut of a giant document, either may be.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,19 +23,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, append_columns, texts_of
+from .common import Scratch, Shared, append_columns, texts_of
 
 #: Longer documents are cut into chunks of so many characters.
 GIANT_CHARS, CHUNK_CHARS = 32_768, 16_384
 #: Chunks whose matrices are combined in one group.
 GROUP = 64
+#: Chunks that a task segments at once.
+CHUNKS_AT_ONCE = 64
 #: Words whose pieces a task keeps.
-WORD_CACHE = 400_000
+WORD_CACHE = 250_000
+#: Words learned in one go, and the longest that are.
+LEARN_ROWS, LONG_WORD = 4096, 40
+#: Slots of a table of pieces, as a power of two; a vocabulary of millions of pieces needs more.
+TABLE_BITS = 20
 #: Scores are integers of this unit, so sums are exact in any order; below it a number by piece makes paths unique.
-UNIT = 1 << 20
+UNIT = 1 << 24
 LOW = -(1 << 60)
 
 
+def roll(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Hashes with one more character."""
+    h = (h ^ code) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ h >> np.uint64(29)
+
+
+def slots(h):
+    return h >> (64 - TABLE_BITS), h >> (48 - TABLE_BITS) & ((1 << TABLE_BITS) - 1)
+
+
+def hashes(texts: list[str]) -> list[np.uint64]:
+    out = []
+    for t in texts:
+        h = np.zeros(1, np.uint64)
+        for c in t:
+            h = roll(h, np.array([ord(c)], np.uint64))
+        out.append(h[0])
+    return out
+
+
 class Vocabulary:
     """Pieces, weights and bytes of a model file, as plain values that can be broadcast (its size is the file's)."""
 
@@ -44,9 +72,11 @@ class Vocabulary:
         self.bytes: list[bytes] = []
         self.piece: dict[str, tuple[int, int]] = {}
         self.byte_id = [0] * 256
-        least = 0.0
+        scores = [m.get_score(i) for i in range(m.get_piece_size())]
+        least = min((x for x in scores if x > -1e8), default=0.0)
         for i in range(m.get_piece_size()):
-            p, score = m.id_to_piece(i), m.get_score(i)
+            # Marks for `never` count as twice the least score, so that sums over long texts stay in range.
+            p, score = m.id_to_piece(i), max(scores[i], 2 * least)
             if m.is_byte(i):
                 self.byte_id[int(p[1:-1], 16)] = i
                 self.bytes.append(bytes([int(p[1:-1], 16)]))
@@ -54,18 +84,35 @@ class Vocabulary:
                 self.bytes.append(b"")
             else:
                 text = p.replace("▁", " ")
-                self.piece[text] = (round(score * UNIT) + i * 40503 % 1024, i)
+                self.piece[text] = (round(score * UNIT) + i * 40503 % 16384, i)
                 self.bytes.append(text.encode())
-                least = min(least, score) if score > -1e8 else least
         self.longest = max(map(len, self.piece))
+        # Hashes of the pieces in two tables by different bits; the last entry stands for none.
+        self.keys = np.append(hashes(list(self.piece)), np.uint64(0))
+        self.key_weight = np.array([*(w for w, _ in self.piece.values()), LOW], np.int64)
+        self.key_id = np.array([*(i for _, i in self.piece.values()), -1], np.int32)
+        none = len(self.piece)
+        self.tables = np.full((2, 1 << TABLE_BITS), none, np.int32)
+        for n, h in enumerate(self.keys[:-1].tolist()):
+            table, slot = next((t, x) for t, x in enumerate(slots(h)) if self.tables[t, x] == none)
+            self.tables[table, slot] = n
+        #: What a piece starts with, up to all of it.
+        self.starts: dict[str, tuple[int, int] | None] = {p[:n]: None for p in self.piece for n in range(1, len(p))}
+        self.starts |= self.piece
         self.fallback = round((least - 10) * UNIT)
         # No piece goes on past a space, so the start of each run of spaces cuts every path.
         self.cut = re.compile(r" *[^ ]+| +\Z") if not any(" " in p.lstrip(" ") for p in self.piece) else re.compile(r"(?s).+")
 
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes, the last number where there is none."""
+        one, two = (np.take(table, x.view(np.int64)) for table, x in zip(self.tables, slots(h), strict=True))
+        found = np.where(np.take(self.keys, one) == h, one, two)
+        return np.where(np.take(self.keys, found) == h, found, len(self.keys) - 1)
+
 
 class Encoder:
     def __init__(self, v: Vocabulary) -> None:
-        self.v, self.words = v, {}
+        self.v, self.words, self.weights = v, {}, {}
 
     def edges(self, text: str, start: int) -> list[tuple[int, int]]:
         """(length, weight) of the pieces that start there."""
@@ -77,42 +124,111 @@ class Encoder:
 
     def best(self, word: str) -> tuple[int, bytes]:
         """Weight of the best path over a word, and its ids as 32-bit integers."""
-        get, fallback, longest, n = self.v.piece.get, self.v.fallback, self.v.longest, len(word)
-        total, back = [0] * (n + 1), [(0, 0)] * (n + 1)
-        for j in range(1, n + 1):
-            top, how = None, (0, 0)
-            for s in range(max(0, j - longest), j):
-                hit = get(word[s:j])
+        starts, n = self.v.starts, len(word)
+        total: list = [None] * (n + 1)
+        back = [(0, -1)] * (n + 1)
+        total[0] = 0
+        for s in range(n):
+            here, e = total[s], s + 1
+            hit = starts.get(word[s])
+            if hit is None and word[s] not in self.v.piece:
+                x = here + self.v.fallback
+                if total[e] is None or x > total[e]:
+                    total[e], back[e] = x, (s, -1)
+            while True:
                 if hit is not None:
-                    x = total[s] + hit[0]
-                    if top is None or x > top:
-                        top, how = x, (s, hit[1])
-            if word[j - 1] not in self.v.piece:
-                x = total[j - 1] + fallback
-                if top is None or x > top:
-                    top, how = x, (j - 1, -1)
-            total[j], back[j] = top, how
+                    x = here + hit[0]
+                    if total[e] is None or x > total[e]:
+                        total[e], back[e] = x, (s, hit[1])
+                e += 1
+                if e > n:
+                    break
+                part = word[s:e]
+                if part not in starts:
+                    break
+                hit = starts[part]
         ids, j = [], n
         while j:
             s, i = back[j]
-            ids += [i] if i >= 0 else [self.v.byte_id[b] for b in reversed(word[s:j].encode("utf-8", "surrogatepass"))]
+            if i >= 0:
+                ids.append(i)
+            else:
+                ids += [self.v.byte_id[b] for b in reversed(word[s:j].encode("utf-8", "surrogatepass"))]
             j = s
-        return total[n], np.array(ids[::-1], np.int32).tobytes()
-
-    def word(self, word: str) -> tuple[int, bytes]:
-        found = self.words.get(word)
+        return total[n], array("i", reversed(ids)).tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        """Ids of many words at once: the same recurrence, a column of all words of one length at a time."""
+        by: dict[int, list[str]] = {}
+        for w in words:
+            by.setdefault(len(w), []).append(w)
+        for n, group in by.items():
+            if n > LONG_WORD:
+                self.words |= {w: self.best(w)[1] for w in group}
+                continue
+            for at in range(0, len(group), LEARN_ROWS):
+                self._learn(group[at : at + LEARN_ROWS], n)
+
+    def _learn(self, group: list[str], n: int) -> None:
+        v, m = self.v, len(group)
+        codes = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n).T.astype(np.uint64)
+        most = min(v.longest, n)
+        # By the character that a piece ends before, and its length.
+        weights, ids = np.empty((n + 1, most, m), np.int64), np.empty((n + 1, most, m), np.int32)
+        h = np.zeros((n, m), np.uint64)
+        for length in range(1, most + 1):
+            h = roll(h[: n - length + 1], codes[length - 1 :])
+            slot = v.find(h)
+            weights[length:, length - 1] = v.key_weight[slot]
+            ids[length:, length - 1] = v.key_id[slot]
+        np.copyto(weights[:, 0], v.fallback, where=ids[:, 0] < 0)
+        total, size = np.zeros((n + 1, m), np.int64), np.zeros((n + 1, m), np.int64)
+        rows = np.arange(m)
+        for e in range(1, n + 1):
+            k = min(most, e)
+            x = total[e - k : e] + weights[e, :k][::-1]
+            longest_first = x.argmax(axis=0)
+            size[e] = k - 1 - longest_first
+            total[e] = x[longest_first, rows]
+        at, back = np.full(m, n), []
+        whole = np.ones(m, bool)
+        while at.any():
+            length = size[at, rows]
+            i = np.where(at > 0, ids[at, length, rows], -2)
+            whole &= i != -1
+            back.append(i)
+            at = np.maximum(at - length - 1, 0)
+        out = np.array(back[::-1], np.int32).T
+        counts = (out >= 0).sum(axis=1)
+        ends = 4 * np.cumsum(counts)
+        flat = out[out >= 0].tobytes()
+        # Words with fallbacks go one by one, as does one that a hash has taken for a piece that it isn't.
+        for w, ok, e, c in zip(group, whole.tolist(), ends.tolist(), counts.tolist(), strict=True):
+            found = flat[e - 4 * c : e]
+            if not ok or b"".join(map(v.bytes.__getitem__, memoryview(found).cast("i"))) != w.encode():
+                found = self.best(w)[1]
+            self.words[w] = found
+
+    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts, each between forced cuts or boundary states."""
+        split = [self.v.cut.findall(t) for t in texts]
+        needed = {w for words in split for w in words}
+        missing = needed - self.words.keys()
+        if len(self.words) + len(missing) > WORD_CACHE:
+            self.words.clear()
+            missing = needed
+        self.learn(list(missing))
+        get = self.words.__getitem__
+        return [np.frombuffer(b"".join(map(get, words)), np.int32) for words in split]
+
+    def weight(self, word: str) -> int:
+        found = self.weights.get(word)
         if found is None:
-            found = self.best(word)
-            if len(word) <= 64:
-                if len(self.words) >= WORD_CACHE:
-                    self.words.clear()
-                self.words[word] = found
+            if len(self.weights) >= WORD_CACHE:
+                self.weights.clear()
+            found = self.weights[word] = self.best(word)[0]
         return found
 
-    def ids(self, text: str) -> np.ndarray:
-        word = self.word
-        return np.frombuffer(b"".join([word(w)[1] for w in self.v.cut.findall(text)]), np.int32)
-
     def matrix(self, text: str, right: str) -> np.ndarray:
         """Best scores of a chunk from each number of characters taken on its left to each taken on its right."""
         size, whole, n = self.v.longest, text + right, len(text)
@@ -121,7 +237,7 @@ class Encoder:
         if not inner:
             return self.paths(whole, n, list(range(min(size, n + 1))))
         head, tail = inner[0], inner[-1]
-        middle = sum(self.word(w)[0] for w in self.v.cut.findall(whole[head:tail]))
+        middle = sum(self.weight(w) for w in self.v.cut.findall(whole[head:tail]))
         left = np.array([self.best(whole[i:head])[0] if i <= head else LOW for i in range(size)], np.int64)
         last = self.paths(whole[tail:], n - tail, [0])[0]
         out = np.maximum(left[:, None] + middle + last[None, :], LOW)
@@ -202,7 +318,7 @@ def _giant_states(chunks: DataFrame, vocabulary) -> DataFrame:
 
 def _cut(batches: Iterator[pa.RecordBatch], text_col: str, longest: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for key, text in zip(batch.column(batch.schema.get_field_index("_key")).to_pylist(), texts_of(batch, text_col), strict=True):
+        for key, text in zip(batch.column(batch.schema.get_field_index("__weft_key")).to_pylist(), texts_of(batch, text_col), strict=True):
             text = " " + text
             starts = list(range(0, max(1, len(text) - longest), CHUNK_CHARS))
             ends = [*starts[1:], len(text)]
@@ -212,7 +328,7 @@ def _cut(batches: Iterator[pa.RecordBatch], text_col: str, longest: int) -> Iter
 def encode(df: DataFrame, model_file: str, text_col: str = "text", giant_chars: int | None = None) -> DataFrame:
     """df with ids: the pieces of each text. Documents beyond giant_chars are spread over tasks by chunk."""
     spark = df.sparkSession
-    vocabulary = spark.sparkContext.broadcast(Vocabulary(model_file))
+    vocabulary = Shared(spark, Vocabulary(model_file))
     giant_chars = giant_chars or GIANT_CHARS
     ids = T.StructField("ids", T.ArrayType(T.IntegerType()))
 
@@ -220,7 +336,9 @@ def encode(df: DataFrame, model_file: str, text_col: str = "text", giant_chars:
         encoder = Encoder(vocabulary.value)
 
         def run(batch: pa.RecordBatch) -> list[pa.Array]:
-            parts = [None if t is None else encoder.ids(" " + t) if t else np.zeros(0, np.int32) for t in texts_of(batch, text_col)]
+            texts = texts_of(batch, text_col)
+            made = iter(encoder.ids_of([" " + t for t in texts if t]))
+            parts = [None if t is None else next(made) if t else np.zeros(0, np.int32) for t in texts]
             ends = np.cumsum([0, *(0 if p is None else len(p) for p in parts)])
             flat = np.concatenate([np.zeros(0, np.int32), *(p for p in parts if p is not None)])
             return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array([p is None for p in parts]))]
@@ -230,27 +348,29 @@ def encode(df: DataFrame, model_file: str, text_col: str = "text", giant_chars:
     is_giant = F.coalesce(F.length(text_col) > giant_chars, F.lit(False))
     small = append_columns(df.where(~is_giant), [ids], make)
     scratch = Scratch(spark, "encode")
-    giant = scratch.write(df.drop("ids").where(is_giant).withColumn("_key", F.monotonically_increasing_id()))
+    giant = scratch.write(df.drop("ids").where(is_giant).withColumn("__weft_key", F.monotonically_increasing_id()))
     if giant.isEmpty():
         return small
     longest = vocabulary.value.longest
-    cut = giant.select("_key", text_col).mapInArrow(lambda b: _cut(b, text_col, longest), "key long, chunk int, text string, right string")
+    cut = giant.select("__weft_key", text_col).mapInArrow(lambda b: _cut(b, text_col, longest), "key long, chunk int, text string, right string")
     chunks = scratch.write(cut.repartition("key", "chunk"))
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary.value)
         for batch in batches:
-            out = [encoder.ids((t + r)[i : len(t) + o]) for t, r, i, o in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["key", "chunk", "part"])
+            for at in range(0, batch.num_rows, CHUNKS_AT_ONCE):
+                some = batch.slice(at, CHUNKS_AT_ONCE)
+                out = encoder.ids_of([(t + r)[i : len(t) + o] for t, r, i, o in zip(*(some.column(k).to_pylist() for k in range(2, 6)), strict=True)])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(out, pa.list_(pa.int32()))], names=["key", "chunk", "part"])
 
     parts = chunks.join(_giant_states(chunks, vocabulary), ["key", "chunk"]).select("key", "chunk", "text", "right", "entry", "exit").mapInArrow(between, "key long, chunk int, part array<int>")
-    whole = parts.groupBy(F.col("key").alias("_key")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "part"))), lambda x: x["part"])).alias("ids"))
-    return small.unionByName(giant.join(whole, "_key").drop("_key"))
+    whole = parts.groupBy(F.col("key").alias("__weft_key")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "part"))), lambda x: x["part"])).alias("ids"))
+    return small.unionByName(giant.join(whole, "__weft_key").drop("__weft_key"))
 
 
 def decode(df: DataFrame, model_file: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
     """df with the text that the ids stand for."""
-    vocabulary = df.sparkSession.sparkContext.broadcast(Vocabulary(model_file))
+    vocabulary = Shared(df.sparkSession, Vocabulary(model_file))
 
     def make():
         table = vocabulary.value.bytes

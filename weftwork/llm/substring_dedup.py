@@ -1,11 +1,11 @@
 """Removes word windows that repeat an earlier one, with a count-min sketch ahead of the exact grouping.
 
 Pass one sketches the windows of each partition; merged, the sketches never count too few. Pass two reads the texts
-again, and only windows counted twice or more are grouped, by 128 bits of their word sequence, so no repeat is lost.
+again, and only windows counted twice or more are grouped, by 84 bits of hashes of their words, so no repeat is lost.
 
 A window repeats if its words also start at a smaller (id, position). Defined results: null texts have no words;
 texts under one window stay; a null id is less than any other; rows of one id are versions of one document, where
-equal rows get equal results and don't repeat each other.
+equal rows get equal results and don't repeat each other. A text may have up to 2^28 words.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, append_columns, bytes_of
+from .common import Scratch, append_columns, bytes_of, free_shuffles, slices
 
 #: A word window.
 WINDOW = 20
@@ -28,7 +28,7 @@ DEPTH, MAX_CELLS = 2, 28
 #: Cells in a block of the sketch, as a power of two.
 BLOCK = 20
 #: Words and windows handled at once; words whose hashes a task keeps.
-CHUNK_WORDS, FLUSH, WORD_CACHE = 400_000, 4_000_000, 400_000
+CHUNK_WORDS, FLUSH, WORD_CACHE = 200_000, 4_000_000, 200_000
 ROLL = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 ROW_MIX = (1, 0xBF58476D1CE4E5B9)
 
@@ -109,9 +109,9 @@ def repeated_cells(docs: DataFrame, window: int, bits: int) -> np.ndarray:
         cache, held, n = WordHashes(), [], 0
 
         def flush() -> pa.RecordBatch:
-            h, out = np.concatenate(held), []
+            out = []
             for row in range(DEPTH):
-                cell = ((h * np.uint64(ROW_MIX[row])) >> np.uint64(64 - bits)).astype(np.int64)
+                cell = np.concatenate([(h * np.uint64(ROW_MIX[row])) >> np.uint64(64 - bits) for h in held]).view(np.int64)
                 cell.sort()
                 first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
                 again = np.diff(np.append(first, len(cell))) > 1
@@ -123,7 +123,7 @@ def repeated_cells(docs: DataFrame, window: int, bits: int) -> np.ndarray:
                     out.append((row << 32 | int(of[s]), _gaps(inside), _gaps(inside[again[s:e]])))
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "seen", "again"])
 
-        for batch in batches:
+        for batch in slices(batches):
             texts = bytes_of(batch, "text")
             for _, _, h, _ in word_chunks(texts, list(range(len(texts))), cache, window):
                 held.append(h)
@@ -154,10 +154,10 @@ def repeated_cells(docs: DataFrame, window: int, bits: int) -> np.ndarray:
     merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block long, bits binary")
     out = np.zeros((DEPTH, max(1, 1 << bits >> 3)), np.uint8)
     size = max(1, 1 << block >> 3)
-    for r in merged.toLocalIterator():
+    for r in Scratch(docs.sparkSession, "sketch").write(merged).toLocalIterator():
         at = (r.block & 0xFFFFFFFF) * size
         out[r.block >> 32, at : at + size] = np.frombuffer(r.bits, np.uint8)
-    return out
+    return out  # the caller may free the sketches' shuffle
 
 
 def _first_of_batch(ids: list[int | None]) -> tuple[list[int], bool]:
@@ -166,19 +166,48 @@ def _first_of_batch(ids: list[int | None]) -> tuple[list[int], bool]:
     return order, len(set(ids)) < len(ids)
 
 
+#: Bits of a run in one integer: its start, its windows (longer runs are cut), and some of the hash of the first one.
+POS_BITS, RUN_BITS, CHECK_BITS = 28, 11, 24
+#: Bits of a window's second hash that go to the shuffle; with the place they leave bytes of zeros, which compress.
+MORE_BITS = 20
+
+
+def _pack(pos: np.ndarray, n: np.ndarray, h1: np.ndarray) -> np.ndarray:
+    return pos.astype(np.int64) << (RUN_BITS + CHECK_BITS) | n.astype(np.int64) << CHECK_BITS | (h1.astype(np.int64) & ((1 << CHECK_BITS) - 1))
+
+
+def _unpack(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return code >> (RUN_BITS + CHECK_BITS) & ((1 << POS_BITS) - 1), code >> CHECK_BITS & ((1 << RUN_BITS) - 1), code & ((1 << CHECK_BITS) - 1)
+
+
+def _runs(row: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of runs of neighbouring windows, cut where a length would not fit."""
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1)])
+    at = np.arange(len(row))
+    since = at - np.maximum.accumulate(np.where(new, at, 0))
+    start = np.flatnonzero(new | (since % ((1 << RUN_BITS) - 1) == 0))
+    return start, np.diff(np.append(start, len(row)))
+
+
 def repeats(docs: DataFrame, window: int, bits: int, sketch) -> DataFrame:
-    """(id, pos, n, check): runs of n windows from pos on that start earlier elsewhere; check tells versions of an id apart."""
+    """(id, run): runs of windows that start earlier elsewhere; bits of the hash tell versions of an id apart.
+
+    A row of the shuffle has a window's hash, its document, and its place with more of the hash; or, with the sign
+    bit set, a run that is known to repeat.
+    """
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, twice = WordHashes(), sketch.value
 
-        def rows(h1, h2, ids, row, pos, n) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), ids.take(pa.array(row)), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32))], names=["h1", "h2", "id", "pos", "n"])
+        def rows(h, ids, row, k) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids.take(pa.array(row)), pa.array(k)], names=["h", "id", "k"])
 
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column(0), bytes_of(batch, "text")
             listed = ids.to_pylist()
             order, shared = _first_of_batch(listed)
+            rank = {x: i for i, x in enumerate(dict.fromkeys(listed[i] for i in order))}
+            version = np.array([rank[x] for x in listed])
             for row, pos, h1, h2 in word_chunks(texts, order, cache, window):
                 hit = np.ones(len(h1), bool)
                 for r in range(DEPTH):
@@ -188,57 +217,45 @@ def repeats(docs: DataFrame, window: int, bits: int, sketch) -> DataFrame:
                 if not len(row):
                     continue
                 if shared:
-                    rank = {x: i for i, x in enumerate(dict.fromkeys(listed[i] for i in order))}
-                    by = np.lexsort((pos, np.array([rank[listed[i]] for i in row])))
+                    by = np.lexsort((pos, version[row]))
                     row, pos, h1, h2 = row[by], pos[by], h1[by], h2[by]
                 # Of equal windows only the first here goes to the shuffle, so a hot window makes one row a chunk.
                 by = np.argsort(h1, kind="stable")
                 same = np.concatenate([[False], (h1[by][1:] == h1[by][:-1]) & (h2[by][1:] == h2[by][:-1])])
-                head = np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))
-                later = np.zeros(len(by), bool)
-                later[by] = same
-                if shared:
-                    lead = np.empty(len(by), np.int64)
-                    lead[by] = by[head]
-                    later &= ~(np.array([listed[i] for i in row], object) == np.array([listed[i] for i in row[lead]], object)) | (pos != pos[lead])
-                    drop = np.zeros(len(by), bool)
-                    drop[by] = same
-                    first = ~drop
-                else:
-                    first = ~later
-                yield rows(h1[first], h2[first], ids, row[first], pos[first], np.zeros(int(first.sum())))
+                lead = np.empty(len(by), np.int64)
+                lead[by] = by[np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))]
+                first = lead == np.arange(len(by))
+                later = (version[row] != version[row[lead]]) | (pos != pos[lead])
+                yield rows(h1[first], ids, row[first], (h2[first] >> np.uint64(64 - MORE_BITS) << np.uint64(POS_BITS)).view(np.int64) | pos[first])
                 row, pos, h1, h2 = row[later], pos[later], h1[later], h2[later]
                 if len(row):
                     by = np.lexsort((pos, row))
                     row, pos, h1, h2 = row[by], pos[by], h1[by], h2[by]
-                    start = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1)]))
-                    yield rows(h2[start], h1[start], ids, row[start], pos[start], np.diff(np.append(start, len(row))))
+                    start, n = _runs(row, pos)
+                    yield rows(h2[start], ids, row[start], _pack(pos[start], n, h1[start]) | np.iinfo(np.int64).min)
 
     def later_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = (None, None, None, None)
+        last = None
         for batch in batches:
-            h1, h2, pos, n = (batch.column(i).to_numpy() for i in (0, 1, 3, 4))
-            known = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
-            ids = batch.column(2).fill_null(0).to_numpy()
+            h, k = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            known = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            own = np.where(known, batch.column(1).fill_null(0).to_numpy(), np.iinfo(np.int64).min)
+            dup, words, pos = k < 0, k >> POS_BITS, k & ((1 << POS_BITS) - 1)
             # Windows known as repeats pass; of the others, all but those at the least place of their words do.
-            start = np.concatenate([[(h1[0], h2[0]) != last[:2]], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]) | (n > 0)
-            head = np.maximum.accumulate(np.where(start, np.arange(len(h1)), -1))
-            own = np.where(known, ids, np.iinfo(np.int64).min)
-            at = np.maximum(head, 0)
-            least_id, least_pos = np.where(head < 0, last[2] or 0, own[at]), np.where(head < 0, last[3] or 0, pos[at])
-            again = (n > 0) | (own != least_id) | (pos != least_pos)
-            check = np.where(n > 0, h2, h1) & 0xFFFFFFFF
+            start = np.concatenate([[True], (h[1:] != h[:-1]) | (words[1:] != words[:-1]) | dup[:-1]]) | dup
+            head = np.maximum.accumulate(np.where(start, np.arange(len(h)), 0))
+            least_id, least_pos = own[head], pos[head]
+            if last and not dup[0] and (h[0], words[0]) == last[:2]:
+                least_id, least_pos = np.where(head == 0, last[2], least_id), np.where(head == 0, last[3], least_pos)
+            again = dup | (own != least_id) | (pos != least_pos)
+            last = None if dup[-1] else (h[-1], words[-1], least_id[-1], least_pos[-1])
             if again.any():
-                keep = pa.array(again)
-                yield pa.RecordBatch.from_arrays([batch.column(2).filter(keep), batch.column(3).filter(keep), pa.array(np.maximum(n, 1)[again].astype(np.int32)), pa.array(check[again].astype(np.int64))], names=["id", "pos", "n", "check"])
-            if n[-1] == 0:
-                last = (h1[-1], h2[-1], least_id[-1], least_pos[-1])
-            else:
-                last = (None, None, None, None)
+                code = np.where(dup, k, _pack(pos, np.ones(len(pos), np.int64), h))[again]
+                yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(again)), pa.array(code)], names=["id", "run"])
 
-    found = docs.select("id", "text").mapInArrow(candidates, "h1 long, h2 long, id long, pos int, n int")
-    ordered = found.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "id", "pos", "n")
-    return ordered.mapInArrow(later_ones, "id long, pos int, n int, check long")
+    found = docs.select("id", "text").mapInArrow(candidates, "h long, id long, k long")
+    ordered = found.repartition("h").sortWithinPartitions("h", F.shiftright("k", POS_BITS), "id", "k")
+    return ordered.mapInArrow(later_ones, "id long, run long")
 
 
 def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -251,8 +268,9 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MAX_CELLS, max(10, (size // 3).bit_length()))
     sketch = spark.sparkContext.broadcast(repeated_cells(docs, window, bits))
-    runs = repeats(docs, window, bits, sketch).groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("pos", "n", "check")).alias("_runs"))
-    joined = df.join(runs, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
+    free_shuffles(spark)
+    runs = repeats(docs, window, bits, sketch).groupBy(F.col("id").alias("__weft_id")).agg(F.collect_list("run").alias("__weft_runs"))
+    joined = df.join(runs, F.col(id_col).cast("long").eqNullSafe(F.col("__weft_id")), "left").drop("__weft_id")
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType())]))
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("removed", span)]
 
@@ -266,7 +284,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             h = window_hashes(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)), ROLL[0], window)
             pos, n, check = runs
             ok = pos < len(h)
-            ok[ok] = h[pos[ok]] & np.uint64(0xFFFFFFFF) == check[ok].astype(np.uint64)
+            ok[ok] = h[pos[ok]] & np.uint64((1 << CHECK_BITS) - 1) == check[ok].astype(np.uint64)
             change = np.zeros(len(words) + 1, np.int64)
             np.add.at(change, pos[ok], 1)
             np.add.at(change, np.minimum(pos[ok] + n[ok] + window - 1, len(words)), -1)
@@ -276,9 +294,8 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]), spans
 
         def run(batch: pa.RecordBatch) -> list[pa.Array]:
-            column = batch.column(batch.schema.get_field_index("_runs"))
-            flat = column.flatten()
-            pos, n, check = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            column = batch.column(batch.schema.get_field_index("__weft_runs"))
+            pos, n, check = _unpack(column.flatten().to_numpy(zero_copy_only=False))
             sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             ends = np.cumsum(sizes)
             out = []
@@ -289,4 +306,4 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         return run
 
-    return append_columns(joined, fields, make).drop("_runs")
+    return append_columns(joined, fields, make).drop("__weft_runs")

@@ -32,9 +32,9 @@ GROUP = 64
 #: Chunks that a task segments at once.
 CHUNKS_AT_ONCE = 64
 #: Words whose pieces a task keeps.
-WORD_CACHE = 250_000
+WORD_CACHE = 200_000
 #: Words learned in one go, and the longest that are.
-LEARN_ROWS, LONG_WORD = 4096, 40
+LEARN_ROWS, LONG_WORD = 2048, 40
 #: Slots of a table of pieces, as a power of two; a vocabulary of millions of pieces needs more.
 TABLE_BITS = 20
 #: Scores are integers of this unit, so sums are exact in any order; below it a number by piece makes paths unique.

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, append_columns, bytes_of, components
+from .common import Scratch, append_columns, broadcast_if_small, bytes_of, components, slices
 
 BITS = 64
 #: A table's bucket with more distinct fingerprints is linked through midpoints, whose number is linear in it.
@@ -183,5 +183,143 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(of, "fp").select("id", "fp", "component_id")
 
 
+#: Minima in a band, bands, and how many members before it each member of a bucket is paired with.
+BAND, BANDS, BESIDE = 4, 16, 32
+#: Members of a bucket that one task pairs; a larger one is dealt out.
+BUCKET_ROWS = 8192
+
+
+def shingle_sets(texts: list[bytes | None], words: int) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles, those of its fingerprint."""
+    out = []
+    for text in texts:
+        tokens = text.lower().split() if text else []
+        n = max(1, len(tokens) - words + 1) if tokens else 0
+        out.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(tokens[i : i + words]), 42) for i in range(n)), np.uint64, n)))
+    return out
+
+
+def min_hashes(sets: list[np.ndarray]) -> np.ndarray:
+    """Hashes of the bands of each set: BAND minima each, of as many multiply-and-xor hashes."""
+    rng = np.random.default_rng(11)
+    odd = rng.integers(0, 1 << 63, BAND * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.zeros((len(sets), BAND * BANDS), np.uint64)
+    for i, s in enumerate(sets):
+        for at in range(0, len(s), BLOCK):
+            part = s[at : at + BLOCK]
+            part = part ^ part >> np.uint64(31)
+            for k, a in enumerate(odd):
+                x = part * a
+                least = (x ^ x >> np.uint64(32)).min()
+                out[i, k] = least if at == 0 else min(out[i, k], least)
+    bands = out.reshape(len(sets), BANDS, BAND)
+    h = np.full(bands.shape[:2], 7, np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    for j in range(BAND):
+        h = (h ^ bands[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def row_key(df: DataFrame) -> list:
+    """128 bits of a row's values as two columns: the same in each run, and shared by equal rows alone."""
+    nulls = F.concat(*(F.col(f"`{c}`").isNull().cast("int").cast("string") for c in df.columns))
+    return [F.xxhash64(F.lit(i), nulls, *(F.col(f"`{c}`") for c in df.columns)).alias(f"__weft_k{i}") for i in (1, 2)]
+
+
+def _jaccard_links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets (node, shingles) have at least this Jaccard similarity."""
+    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sa, sb = batch.column(2), batch.column(3)
+            keep = []
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (sa, sb))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= least * (len(x) + len(y) - common))
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _beside(buckets: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different roots from rows (b, salt, turned, node, n, root) sorted by bucket and turned fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in slices(batches):
+            a, b = [], []
+            for bucket, salt, _, node, n, root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (bucket, salt) != key:
+                    key, held = (bucket, salt), []
+                for node2, n2, root2 in held:
+                    if root2 != root and min(n, n2) >= least * max(n, n2):
+                        a.append(min(node, node2))
+                        b.append(max(node, node2))
+                held = [*held[1 - BESIDE :], (node, n, root)]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return buckets.mapInArrow(run, "a long, b long").distinct()
+
+
+def keep_one_of_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """One row of each component of texts whose sets of shingles have a Jaccard similarity of `least` or more.
+
+    The row with the least (id, nulls last; shingle set; row) stays. Equal sets are one node. Candidates are nodes
+    that agree on a band of minima: first each with the first of its bucket, then, where roots still differ, each
+    with those before it by fingerprint, turned otherwise for each band. Every link is verified on the whole sets;
+    only candidates' texts are read for that.
+    """
+    spark = df.sparkSession
+    scratch = Scratch(spark, "near")
+    keyed = df.select("*", *row_key(df))
+    key = ["__weft_k1", "__weft_k2"]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = bytes_of(batch, "text")
+            fps = np.concatenate([fingerprints(texts[i : i + 512], words) for i in range(0, len(texts), 512)])
+            sets = shingle_sets(texts, words)
+            nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets]
+            bands = pa.FixedSizeListArray.from_arrays(pa.array(min_hashes(sets).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(fps.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), bands], names=["id", *key, "node", "fp", "n", "bands"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    columns = keyed.select(F.col(id_col).alias("id"), *key, F.col(text_col).alias("text"))
+    rows = scratch.write(columns.mapInArrow(mark, f"id {kind}, __weft_k1 long, __weft_k2 long, node long, fp long, n long, bands array<long>"))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node", *key)).alias("best")
+    nodes = scratch.write(rows.groupBy("node").agg(best, F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("bands").alias("bands")))
+    turned = F.expr(f"shiftleft(fp, t * {BITS // BANDS}) | shiftrightunsigned(fp, {BITS} - t * {BITS // BANDS})")
+    buckets = nodes.select("node", "fp", "n", F.posexplode("bands").alias("t", "b")).select("b", turned.alias("turned"), "node", "n")
+    first = buckets.groupBy("b").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("first")).where("size > 1")
+    first = broadcast_if_small(scratch.write(first))
+    # Buckets of one node are the most by far and go here.
+    buckets = scratch.write(buckets.join(first, "b"))
+    ratio = F.least("n", "first.n") >= least * F.greatest("n", "first.n")
+    stars = scratch.write(buckets.where((F.col("node") != F.col("first.node")) & ratio).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct())
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = shingle_sets(bytes_of(batch, "text"), words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+
+    wanted = scratch.write(buckets.select("node").distinct().join(nodes.select("node", "best"), "node").select("node", "best.__weft_k1", "best.__weft_k2"))
+    texts = keyed.select(*key, F.col(text_col).alias("text")).join(broadcast_if_small(wanted), key).select("node", "text")
+    sets = scratch.write(texts.mapInArrow(sets_of, "node long, shingles binary").dropDuplicates(["node"]))
+    links = scratch.write(_jaccard_links(stars, sets, least))
+    roots = scratch.write(components(spark, links).distinct())
+    rooted = buckets.join(roots, "node", "left").select("b", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BUCKET_ROWS)).alias("salt"), "turned", "node", "n", F.coalesce("root", "node").alias("root"))
+    more = scratch.write(_beside(rooted.repartition("b", "salt").sortWithinPartitions("b", "salt", "turned", "node"), least))
+    links = links.unionAll(scratch.write(_jaccard_links(more, sets, least)))
+    roots = components(spark, links).distinct()
+    kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
+    kept = scratch.write(kept.select("best.__weft_k1", "best.__weft_k2"))
+    # Equal rows have one key, by which the join has dealt them out.
+    return keyed.join(kept, key, "left_semi").dropDuplicates(key).select(df.columns)
+
+
 def fingerprint_hex(column: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(column))), 16, "0")

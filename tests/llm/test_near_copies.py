@@ -48,3 +48,10 @@ def test_near_copies_of_the_smallest_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null")
     want = brute([(r.doc_id, r.text) for r in docs.collect()])
     assert sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted(want)
+
+
+def test_null_and_shared_ids_keep_different_texts(spark):
+    text = lambda k: " ".join(f"{k}word{j}" for j in range(40))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (7, text("c")), (7, text("d")), (None, text("c")), (9, text("e")), (9, text("e"))]
+    got = stage(spark, rows)
+    assert sorted(map(repr, got)) == sorted(map(repr, [(None, text("a")), (None, text("b")), (7, text("c")), (7, text("d")), (9, text("e"))]))

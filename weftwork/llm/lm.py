@@ -3,7 +3,7 @@
 Word counts of all training documents make the vocabulary: the most frequent words are outputs of the network, in
 classes of neighbouring frequency; all other words fall into classes by their letters, within which a word has its
 smoothed share of the counts, as has one unknown word. The network is trained by truncated backpropagation in numpy,
-on a share of the training documents that is fixed, so its data grow with the corpus; replicas train on their parts
+on all training documents, once; replicas train on their parts
 and are averaged after each round. Scoring carries the state over a whole document, window by window.
 
 Defined results: a null text is an empty one and has the end token alone; a null id is held out as empty text would
@@ -29,8 +29,8 @@ HEAD, CLASS_WORDS, TAIL_CLASSES = 1024, 32, 32
 TABLE = 200_000
 #: Of those, the words from which classes are made; then all words go to the nearest class.
 CLUSTERED = 32_768
-#: State size, steps of a window, streams of a replica, and the share of the training documents the network sees.
-STATE, STEPS, STREAMS, TRAIN_SHARE = 24, 16, 64, 0.08
+#: State size, steps of a window, streams of a replica, and the share of the training documents the network sees: all.
+STATE, STEPS, STREAMS, TRAIN_SHARE = 24, 16, 64, 1.0
 #: Tokens for a replica, most replicas, rounds after which they are averaged, and Adam's step.
 REPLICA_TOKENS, REPLICAS, ROUNDS, RATE = 1_000_000, 256, 2, 4e-3
 #: States whose outputs are taken at once.
@@ -358,8 +358,7 @@ def score_documents(df: DataFrame, held_out: Column, id_col: str = "doc_id", tex
     v = Vocabulary(*most_frequent(counts))
     v.finish(*_tail_totals(counts, Shared(spark, v), v.tails))
     vocabulary = Shared(spark, v)
-    seen = training.where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 20)) < int(TRAIN_SHARE * (1 << 20)))
-    net = Shared(spark, _trained(seen, vocabulary, int(n * TRAIN_SHARE)))
+    net = Shared(spark, _trained(training, vocabulary, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, network = vocabulary.value, net.value

@@ -31,8 +31,10 @@ TABLE = 200_000
 CLUSTERED = 32_768
 #: State size, steps of a window, streams of a replica, and the share of the training documents the network sees: all.
 STATE, STEPS, STREAMS, TRAIN_SHARE = 24, 16, 64, 1.0
-#: Tokens for a replica, most replicas, rounds after which they are averaged, and Adam's step.
-REPLICA_TOKENS, REPLICAS, ROUNDS, RATE = 1_000_000, 256, 2, 4e-3
+#: Tokens for a replica, rounds after which they are averaged, and Adam's step.
+REPLICA_TOKENS, ROUNDS, RATE = 1_000_000, 2, 4e-3
+#: Tokens that a replica holds at once, besides those of one document; replicas that are summed in one task.
+CHUNK_TOKENS, SUMMED = 1 << 19, 32
 #: States whose outputs are taken at once.
 SCORE_ROWS = 1 << 16
 #: Buckets of letter pairs that describe a word.
@@ -213,18 +215,49 @@ class Network:
                 dh[at] += d @ p["W"][k].T
         return logp, dh
 
-    def train(self, docs: list[np.ndarray]) -> None:
-        """One pass of truncated backpropagation; the state goes on between windows and starts anew with a document."""
-        y = np.concatenate(docs)
-        x = np.concatenate([np.zeros(1, y.dtype), y[:-1]])
-        fresh = np.zeros(len(y), bool)
-        fresh[np.cumsum([0, *map(len, docs[:-1])])] = True
-        x[fresh] = 0
-        streams = max(1, min(STREAMS, len(y) // STEPS))
+    def train(self, docs: Iterator[np.ndarray]) -> int:
+        """One pass of truncated backpropagation over documents as they come; returns the number of tokens.
+
+        The state goes on between windows and starts anew with a document, and with a chunk. What does not fill all
+        streams of a chunk goes to the next.
+        """
+        moments = [{k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2)]
+        count = total = held = 0
+        chunk: list[np.ndarray] = []
+        rest = tuple(np.zeros(0, t) for t in (np.int64, np.int64, bool))
+
+        def arrays() -> tuple[np.ndarray, ...]:
+            y = np.concatenate(chunk) if chunk else np.zeros(0, np.int64)
+            x = np.concatenate([np.zeros(1, y.dtype), y])[: len(y)]
+            fresh = np.zeros(len(y), bool)
+            if chunk:
+                fresh[np.cumsum([0, *map(len, chunk[:-1])])] = True
+            x[fresh] = 0
+            return tuple(np.concatenate(z) for z in zip(rest, (x, y, fresh), strict=True))
+
+        for doc in docs:
+            chunk.append(doc)
+            held += len(doc)
+            total += len(doc)
+            if held >= CHUNK_TOKENS:
+                x, y, fresh = arrays()
+                n = len(y) // STREAMS * STREAMS
+                count = self._windows(x[:n], y[:n], fresh[:n], STREAMS, moments, count)
+                rest, chunk, held = (x[n:], y[n:], fresh[n:]), [], 0
+        x, y, fresh = arrays()
+        while len(y):
+            streams = max(1, min(STREAMS, len(y) // STEPS))
+            n = len(y) // streams * streams
+            count = self._windows(x[:n], y[:n], fresh[:n], streams, moments, count)
+            x, y, fresh = x[n:], y[n:], fresh[n:]
+        return total
+
+    def _windows(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, streams: int, moments: list[dict], count: int) -> int:
+        """Trains on tokens that fill all streams; returns the number of steps so far."""
         n = len(y) // streams
-        x, y, fresh = (a[: n * streams].reshape(streams, n).T for a in (x, y, fresh))
-        m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
-        h, s, count = np.zeros((streams, STATE), np.float32), STATE, 0
+        x, y, fresh = (a.reshape(streams, n).T for a in (x, y, fresh))
+        m, v = moments
+        h, s = np.zeros((streams, STATE), np.float32), STATE
         for at in range(0, n, STEPS):
             xs, ys, fs = x[at : at + STEPS], y[at : at + STEPS], fresh[at : at + STEPS]
             kept, states = [], []
@@ -259,6 +292,7 @@ class Network:
                 m[k] += 0.1 * (g - m[k])
                 v[k] += 0.001 * (g * g - v[k])
                 self.p[k] -= (RATE / (1 - 0.9**count)) * m[k] / (np.sqrt(v[k] / (1 - 0.999**count)) + 1e-6)
+        return count
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """Log10 probability of the units of each document, all documents in step."""
@@ -306,7 +340,10 @@ def _tail_totals(counts: DataFrame, vocabulary, tails: int) -> tuple[np.ndarray,
 
 
 def _trained(docs: DataFrame, vocabulary, size: int) -> Network:
-    """The network after rounds of replicas on their parts of docs (text); the driver averages one replica at a time."""
+    """The network after rounds of replicas on their parts of docs (text), which tasks and then the driver average.
+
+    A row's place in the written table deals it out, so copies of a text spread over all replicas and rounds.
+    """
     spark = docs.sparkSession
     v = vocabulary.value
 
@@ -320,27 +357,39 @@ def _trained(docs: DataFrame, vocabulary, size: int) -> Network:
                 out.append(v.units(np.fromiter(map(table.__getitem__, words), np.int64, len(words)), words).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], names=["units"])
 
-    replicas = max(1, min(REPLICAS, size // REPLICA_TOKENS + 1))
+    replicas = size // REPLICA_TOKENS + 1
     data = docs.select("text").mapInArrow(units, "units array<int>")
     scratch = Scratch(spark, "lm")
-    data = scratch.write(data.withColumn("k", F.xxhash64("units")))
+    data = scratch.write(data.withColumn("k", F.monotonically_increasing_id()))
     net = Network(v)
     for turn in range(ROUNDS):
         sent = Shared(spark, net)
 
         def replica(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            docs = [np.array(u, np.int64) for b in batches for u in b.column(0).to_pylist()]
-            if docs:
-                net = sent.value
-                net.p = {k: a.copy() for k, a in net.p.items()}
-                net.train(docs)
-                yield pa.RecordBatch.from_arrays([pa.array(list(net.p)), pa.array([a.tobytes() for a in net.p.values()], pa.binary()), pa.array([sum(map(len, docs))] * len(net.p))], names=["name", "value", "n"])
+            net = sent.value
+            net.p = {k: a.copy() for k, a in net.p.items()}
+            n = net.train(np.array(u, np.int64) for b in batches for some in slices([b]) for u in some.column(0).to_pylist())
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(list(net.p)), pa.array([(n * a.astype(np.float64)).tobytes() for a in net.p.values()], pa.binary()), pa.array([n] * len(net.p))], names=["name", "value", "n"])
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict = {}
+            for b in batches:
+                for i, k in enumerate(b.column(0).to_pylist()):
+                    value, n = sums.get(k, (0.0, 0))
+                    sums[k] = value + np.frombuffer(b.column(1)[i].as_buffer(), np.float64), n + b.column(2)[i].as_py()
+            if sums:
+                yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([a.tobytes() for a, _ in sums.values()], pa.binary()), pa.array([n for _, n in sums.values()])], names=["name", "value", "n"])
 
         sums, weight = {k: np.zeros(a.shape) for k, a in net.p.items()}, Counter()
-        part = data.where(F.pmod(F.col("k"), F.lit(ROUNDS)) == turn).select("units")
+        part = data.where(F.pmod(F.xxhash64(F.lit(5), "k"), F.lit(ROUNDS)) == turn).select("units", "k")
         # Written first, since reading partition by partition would train the replicas one after another.
-        for r in scratch.write(part.repartition(replicas, F.xxhash64("units")).mapInArrow(replica, "name string, value binary, n long")).toLocalIterator():
-            sums[r.name] += r.n * np.frombuffer(r.value, np.float32).reshape(sums[r.name].shape)
+        made, left = scratch.write(part.repartition(replicas, F.xxhash64(F.lit(6), "k")).select("units").mapInArrow(replica, "name string, value binary, n long")), replicas
+        while left > SUMMED:
+            left = -(-left // SUMMED)
+            made = scratch.write(made.repartition(left).mapInArrow(summed, "name string, value binary, n long"))
+        for r in made.toLocalIterator():
+            sums[r.name] += np.frombuffer(r.value, np.float64).reshape(sums[r.name].shape)
             weight[r.name] += r.n
         if weight:
             net.p = {k: (a / weight[k]).astype(np.float32) for k, a in sums.items()}

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +47,15 @@ class Scratch:
         out._scratch = path
         return out
 
+    def write_buckets(self, df: DataFrame, key: str, n: int) -> DataFrame:
+        """Writes a table bucketed by key, whose groups by key need no shuffle later on."""
+        self.n += 1
+        path, name = f"{self.root}/{self.n}", f"weft_{uuid.uuid4().hex}"
+        df.write.format("parquet").option("path", path).bucketBy(n, key).saveAsTable(name)
+        out = self.spark.table(name)
+        out._scratch = path
+        return out
+
     def new_path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
@@ -69,6 +78,10 @@ class Shared:
         return out
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Has the driver let go of shuffles that nothing refers to any more, whose files else stay on the executors' disks."""
     gc.collect()
@@ -115,6 +128,11 @@ def bytes_of(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value evaluated once a row, also where f uses it within a lambda."""
+    return F.transform(F.array(value), f)[0]
+
+
 def crc_of_id(column: str):
     """crc32 of an id as text; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,11 +64,35 @@ def test_chat_round_trip(spark):
     out = chat.render(chat.fold_events(chat.conversation_events(df, delta_chars=7)))
     got = {r.conv_id: r for r in out.select("conv_id", "formatted", "loss_spans", chat.parse(F.col("formatted")).alias("t"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
     for c in (1, 2, None, 3, 4):
-        mine = [(r or "", x or "") for k, _, r, x in rows if k == c]
+        # A row that repeats is a turn of its own.
+        mine = [(r or "", x or "") for k, t, r, x in rows if k == c for _ in range(1 + (c == 1 and t < 4))]
         assert [(t.role, t.text) for t in got[c].t] == mine
         assert got[c].loss == "".join(x for r, x in mine if r == "assistant")
         assert got[c].formatted.count("<|im_start|>") == len(mine)
-    assert out.limit(0).count() == 0
+    assert chat.render(chat.fold_events(chat.conversation_events(df.limit(0)))).count() == 0
+
+
+def test_chat_ties_and_clashing_columns(spark):
+    rows = [(1, 3, r, t) for t in "fbdaec" for r in ("user", "assistant")] + [(1, None, "user", "z"), (1, 0, None, "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("x") for c in ("message_id", "seq", "kind", "log", "turns", "events")})
+    got = chat.fold_events(chat.conversation_events(df)).collect()
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3]))
+    assert [(t.role, t.text) for t in got[0].turns] == [(r or "", t) for _, _, r, t in want]
+
+
+def test_long_conversations_take_time_in_proportion(spark):
+    def took(df):
+        began = time.monotonic()
+        out = chat.render(chat.fold_events(df))
+        row = out.select(F.size(chat.parse(F.col("formatted"))).alias("n"), F.length(chat.loss_text(F.col("formatted"), F.col("loss_spans"))).alias("loss")).collect()[0]
+        return time.monotonic() - began, row
+
+    ids = spark.range(40_000)
+    deltas = ids.select(F.lit(1).alias("conv_id"), F.lit("m").alias("message_id"), F.col("id").alias("seq"), F.lit("assistant").alias("role"), F.lit("delta").alias("kind"), F.lit("abc ").alias("text"))
+    turns = ids.select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.lit("abc ").alias("text"))
+    for df, n in ((deltas, 1), (chat.conversation_events(turns), 40_000)):
+        seconds, row = took(df)
+        assert row == (n, 160_000) and seconds < 30
 
 
 @pytest.mark.parametrize("again", [1, 2])

@@ -2,7 +2,7 @@
 
 OP3 = r"""
 with rows as (
-  select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all
   select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
   union all
@@ -13,8 +13,8 @@ with rows as (
   from rows
 ), grouped as (
   select conv_id, count(*)::bigint as n_turns,
-    string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as turns,
-    coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '') as loss,
+    string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as turns,
+    coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role, text), '') as loss,
     sum(length('<|im_start|>') + length(head) + 1 + length(body) + length('<|im_end|>') + 1)::bigint as formatted_chars
   from sized group by conv_id
 )

@@ -9,12 +9,10 @@ repeated rows count as often as they occur. Columns of df with the names of the
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small
+from .common import Scratch, bind, broadcast_if_small
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: A line goes if over this share of its host's documents hold it, and at least so many do.
@@ -25,11 +23,6 @@ MAX_REMOVED = 70
 MIN_WORDS, MAX_REPEATED, WINDOW = 20, 30, 8
 
 
-def bind(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value) with value evaluated once a row, also where f uses it within a lambda."""
-    return F.transform(F.array(value), f)[0]
-
-
 def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from weftwork.llm import lm
+from weftwork.llm.common import crc_of_id
 
 
 def test_all_training_documents_are_learned_from_in_spread_replicas(spark, monkeypatch):
@@ -13,8 +14,8 @@ def test_all_training_documents_are_learned_from_in_spread_replicas(spark, monke
     monkeypatch.setattr(lm, "SUMMED", 4)
     train = lm.Network.train
 
-    def counted(self, docs):
-        n = train(self, docs)
+    def counted(self, docs, streams):
+        n = train(self, docs, streams)
         seen.add(n)
         most.add(n * n)
         return n
@@ -45,4 +46,25 @@ def test_training_takes_every_token_in_chunks(monkeypatch):
     windows = net._windows
     net._windows = lambda x, y, *rest: (tokens.extend(y.tolist()), windows(x, y, *rest))[1]
     docs = [np.array([1, 2] * k + [0]) for k in (1, 200, 3, 77, 40, 5)]
-    assert net.train(iter(docs)) == len(tokens) and tokens == np.concatenate(docs).tolist()
+    assert net.train(iter(docs), 64) == len(tokens) and tokens == np.concatenate(docs).tolist()
+
+
+def test_shipped_settings_and_tables_without_training_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    wide = docs.withColumns({c: F.lit("x") for c in ("id", "key", "units", "score", "rare", "base", "held_out")})
+    got = lm.score_documents(wide, crc_of_id("doc_id") % 7 == 2).collect()
+    assert len(got) == docs.count() and all(np.isfinite(r.score) and r.score < 0 for r in got)
+    assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
+    none = lm.score_documents(docs.limit(5), F.lit(True)).collect()
+    assert len(none) == 5 and all(r.n_known == 0 and r.train_tokens == 0 and np.isfinite(r.score) for r in none)
+    assert lm.score_documents(docs.limit(0), F.lit(False)).count() == 0
+
+
+def test_a_document_scored_in_parts_is_scored_alike(monkeypatch):
+    v = lm.Vocabulary([b"", *(f"w{i}".encode() for i in range(50))], [9] * 51)
+    v.finish(np.zeros(v.tails), np.zeros(v.tails))
+    net, rng = lm.Network(v), np.random.default_rng(1)
+    docs = [rng.integers(0, 51, n) for n in (1, 40, 17, 300, 16, 2)]
+    whole = net.score(docs)
+    monkeypatch.setattr(lm, "SCORE_ROWS", 20)
+    assert np.allclose(net.score(docs), whole, atol=1e-3)

@@ -351,7 +351,6 @@ def test_depleted_documents_are_rejected(spark):
 
 
 def test_language_model(spark, monkeypatch):
-    monkeypatch.setattr(lm, "TRAIN_SHARE", 1.0)
     monkeypatch.setattr(lm, "TABLE", 60)
     monkeypatch.setattr(lm, "STREAMS", 4)
     monkeypatch.setattr(lm, "RATE", 1e-2)
@@ -376,6 +375,7 @@ def test_network_gradients_and_probabilities():
     v.finish(np.array([3.0] * v.tails), np.array([2.0] * v.tails))
     net = lm.Network(v)
     h = np.random.default_rng(1).normal(0, 1, (2, lm.STATE)).astype(np.float32)
+    h = h.T
     total = np.zeros(2)
     for y in [*range(v.head), *(v.head + k for k in range(v.tails))]:
         total += np.exp(net.output(h, np.array([y, y]))[0])
@@ -402,10 +402,30 @@ def test_state_is_carried_over_windows():
     docs = [np.array([1, 2, 2, 1] * 13 + [0]), np.array([0]), np.array([2] * 40 + [0])]
     want = []
     for d in docs:
-        h, x, total = np.zeros((1, lm.STATE), np.float32), 0, 0.0
+        h, x, total = np.zeros((lm.STATE, 1), np.float32), 0, 0.0
         for y in d:
-            h = net.step(net.p["G"][[x]], h)[0]
+            h = net.step(net.p["G"][[x]].T, h)[0]
             total += net.output(h, np.array([y]))[0][0]
             x = y
         want.append(total / math.log(10))
     assert np.allclose(net.score(docs), want, atol=1e-4)
+
+
+def test_recurrent_gradients_through_time():
+    words = [b"", *(f"w{i}".encode() for i in range(40))]
+    v = lm.Vocabulary(words, [5] * len(words))
+    v.finish(np.array([3.0] * v.tails), np.array([2.0] * v.tails))
+    net, rng = lm.Network(v), np.random.default_rng(3)
+    net.p = {k: (a if k in "cw" else 4 * a).astype(np.float64) for k, a in net.p.items()}
+    x, y = (rng.integers(0, v.head, (7, 5)) for _ in range(2))
+    keep, h = np.ones((7, 5)), rng.normal(0, 1, (lm.STATE, 5))
+    keep[3, 2] = keep[0, 1] = 0
+    _, grads, after = net.gradients(x, y, keep, h)
+    assert after.shape == h.shape
+    for k, at in [("G", (int(x[2, 2]), j)) for j in range(0, 72, 5)] + [("G", (int(x[6, 0]), 3))] + [("U", (i, j)) for i in (0, 7, 23) for j in range(0, 72, 7)] + [("C", (1, 1)), ("W", (0, 2, 5)), ("w", (1, 3)), ("c", (0,))]:
+        was, ends = net.p[k][at], []
+        for d in (1e-5, -1e-5):
+            net.p[k][at] = was + d
+            ends.append(net.gradients(x, y, keep, h)[0])
+        net.p[k][at] = was
+        assert abs((ends[0] - ends[1]) / 2e-5 - grads[k][at]) < 1e-5 * max(1, abs(grads[k][at]))

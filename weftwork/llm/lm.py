@@ -3,8 +3,8 @@
 Word counts of all training documents make the vocabulary: the most frequent words are outputs of the network, in
 classes of neighbouring frequency; all other words fall into classes by their letters, within which a word has its
 smoothed share of the counts, as has one unknown word. The network is trained by truncated backpropagation in numpy,
-on all training documents, once; replicas train on their parts
-and are averaged after each round. Scoring carries the state over a whole document, window by window.
+on all training documents, once; replicas train on their parts and are averaged after each round. Scoring carries the
+state over a whole document, window by window. Words become units once, in a written table that both read.
 
 Defined results: a null text is an empty one and has the end token alone; a null id is held out as empty text would
 be; repeated rows count and are scored as often as they occur; with nothing to learn from, each token is unknown.
@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, Shared, bytes_of, slices
+from .common import Scratch, Shared, append_columns, bytes_of, slices
 
 #: Words that the network predicts, words in one of their classes, and classes of the other words.
 HEAD, CLASS_WORDS, TAIL_CLASSES = 1024, 32, 32
@@ -29,14 +30,16 @@ HEAD, CLASS_WORDS, TAIL_CLASSES = 1024, 32, 32
 TABLE = 200_000
 #: Of those, the words from which classes are made; then all words go to the nearest class.
 CLUSTERED = 32_768
-#: State size, steps of a window, streams of a replica, and the share of the training documents the network sees: all.
-STATE, STEPS, STREAMS, TRAIN_SHARE = 24, 16, 64, 1.0
+#: State size, and steps of a window.
+STATE, STEPS = 24, 16
 #: Tokens for a replica, rounds after which they are averaged, and Adam's step.
-REPLICA_TOKENS, ROUNDS, RATE = 1_000_000, 2, 4e-3
+REPLICA_TOKENS, ROUNDS, RATE = 4_000_000, 2, 8e-3
+#: Streams that a replica trains on side by side: as many as leave it so many updates in a round, within these bounds.
+UPDATES, LEAST_STREAMS, STREAMS = 256, 16, 512
 #: Tokens that a replica holds at once, besides those of one document; replicas that are summed in one task.
 CHUNK_TOKENS, SUMMED = 1 << 19, 32
-#: States whose outputs are taken at once.
-SCORE_ROWS = 1 << 16
+#: States whose outputs are taken at once, and documents that are scored in step.
+SCORE_ROWS, SCORE_DOCS = 1 << 15, 4096
 #: Buckets of letter pairs that describe a word.
 LETTERS = 64
 #: Distinct words that a task counts before it hands them on.
@@ -172,50 +175,95 @@ class Network:
         self.p = {"G": small(units, 3 * STATE), "U": small(STATE, 3 * STATE), "C": small(STATE, self.classes), "c": np.log(shares / shares.sum()).astype(np.float32), "W": small(self.head_classes, STATE, CLASS_WORDS), "w": words.reshape(-1, CLASS_WORDS).astype(np.float32)}
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Next state from gate inputs x, with what backpropagation needs."""
-        s, u = STATE, h @ self.p["U"]
-        zr = 1 / (1 + np.exp(-(x[:, : 2 * s] + u[:, : 2 * s])))
-        z, r, un = zr[:, :s], zr[:, s:], u[:, 2 * s :]
-        n = np.tanh(x[:, 2 * s :] + r * un)
+        """Next state from gate inputs x, with what backpropagation needs. A column is a stream, here and below."""
+        s, u = STATE, self.p["U"].T @ h
+        zr = 1 / (1 + np.exp(-(x[: 2 * s] + u[: 2 * s])))
+        z, r, un = zr[:s], zr[s:], u[2 * s :]
+        n = np.tanh(x[2 * s :] + r * un)
         return n + z * (h - n), z, r, n, un
 
     def output(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each unit y, a class of other words counting as one; gradients if asked for."""
-        p, n = self.p, len(y)
+        p = self.p
         cls = np.where(y < self.head, y // CLASS_WORDS, y - self.head + self.head_classes)
-        a = h @ p["C"] + p["c"]
-        a -= a.max(axis=1, keepdims=True)
-        e = np.exp(a)
-        total = e.sum(axis=1)
-        rows = np.arange(n)
-        logp = (a[rows, cls] - np.log(total)).astype(np.float64)
+        # In the order of their classes, so that a class is one slice.
+        order = np.argsort(cls.astype(np.int16), kind="stable")
+        h, y, cls, rows = np.take(h, order, axis=1), y[order], cls[order], np.arange(len(y))
+
+        def soft(a: np.ndarray, pick: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Log probabilities of the picked ones, and the gradient of their negative sum."""
+            a -= a.max(axis=0)
+            picked = a[pick, rows]
+            e = np.exp(a, out=a)
+            total = e.sum(axis=0)
+            if grads is not None:
+                e /= total
+                e[pick, rows] -= 1
+            return (picked - np.log(total)).astype(np.float64), e
+
+        logp, d = soft(p["C"].T @ h + p["c"][:, None], cls, rows)
         dh = None
         if grads is not None:
-            d = e / total[:, None]
-            d[rows, cls] -= 1
-            grads["C"], grads["c"] = h.T @ d, d.sum(axis=0)
-            dh = d @ p["C"].T
+            grads["C"], grads["c"], dh = h @ d.T, d.sum(axis=1), p["C"] @ d
             grads["W"], grads["w"] = np.zeros_like(p["W"]), np.zeros_like(p["w"])
-        order = np.argsort(cls.astype(np.int16), kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(self.head_classes + 1))
+        bounds = np.searchsorted(cls, np.arange(self.head_classes + 1)).tolist()
         for k in range(self.head_classes):
-            at = order[bounds[k] : bounds[k + 1]]
-            if not len(at):
+            at = slice(bounds[k], bounds[k + 1])
+            if at.start == at.stop:
                 continue
-            hk = h[at]
-            b = hk @ p["W"][k] + p["w"][k]
-            b -= b.max(axis=1, keepdims=True)
-            eb = np.exp(b)
-            tb, i, j = eb.sum(axis=1), np.arange(len(at)), y[at] - k * CLASS_WORDS
-            logp[at] += b[i, j] - np.log(tb)
+            more, d = soft(p["W"][k].T @ h[:, at] + p["w"][k][:, None], y[at] - k * CLASS_WORDS, rows[: at.stop - at.start])
+            logp[at] += more
             if grads is not None:
-                d = eb / tb[:, None]
-                d[i, j] -= 1
-                grads["W"][k], grads["w"][k] = hk.T @ d, d.sum(axis=0)
-                dh[at] += d @ p["W"][k].T
-        return logp, dh
-
-    def train(self, docs: Iterator[np.ndarray]) -> int:
+                grads["W"][k], grads["w"][k] = h[:, at] @ d.T, d.sum(axis=1)
+                dh[:, at] += p["W"][k] @ d
+        out = np.empty_like(logp)
+        out[order] = logp
+        if grads is None:
+            return out, None
+        back = np.empty_like(dh)
+        back[:, order] = dh
+        return out, back
+
+    def gradients(self, x: np.ndarray, y: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[float, dict, np.ndarray]:
+        """Negative log probability of a window of (step, stream) units, its gradients, and the state after it.
+
+        keep is 0 where a document begins and the state starts anew, else 1.
+        """
+        p, s, (steps, streams) = self.p, STATE, x.shape
+        gate = p["G"][x.ravel()].T.reshape(3 * s, steps, streams)
+        kept = np.empty((5, s, steps, streams), gate.dtype)
+        states = np.empty((s, steps, streams), gate.dtype)
+        for t in range(steps):
+            was = h * keep[t]
+            h, *parts = self.step(gate[:, t], was)
+            for k, a in enumerate((was, *parts)):
+                kept[k, :, t] = a
+            states[:, t] = h
+        grads: dict = {}
+        logp, dout = self.output(states.reshape(s, -1), y.ravel(), grads)
+        dout = dout.reshape(s, steps, streams)
+        was, z, r, n, un = kept
+        to_n, to_z, to_r = (1 - z) * (1 - n * n), (was - n) * z * (1 - z), un * r * (1 - r)
+        g, dns = np.empty_like(gate), np.empty_like(states)
+        dh = np.zeros_like(h)
+        for t in range(steps - 1, -1, -1):
+            d = dh + dout[:, t]
+            dn = dns[:, t] = d * to_n[:, t]
+            g[:s, t] = d * to_z[:, t]
+            g[s : 2 * s, t] = dn * to_r[:, t]
+            g[2 * s :, t] = dn * r[:, t]
+            dh = (d * z[:, t] + p["U"] @ g[:, t]) * keep[t]
+        grads["U"] = was.reshape(s, -1) @ g.reshape(3 * s, -1).T
+        # The input of the candidate state is not gated.
+        g[2 * s :] = dns
+        order = np.argsort(x.ravel().astype(np.int32), kind="stable")
+        unit = x.ravel()[order]
+        first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+        grads["G"] = np.zeros_like(p["G"])
+        grads["G"][unit[first]] = np.add.reduceat(np.ascontiguousarray(g.reshape(3 * s, -1).T)[order], first, axis=0)
+        return -float(logp.sum()), grads, h
+
+    def train(self, docs: Iterator[np.ndarray], streams: int) -> int:
         """One pass of truncated backpropagation over documents as they come; returns the number of tokens.
 
         The state goes on between windows and starts anew with a document, and with a chunk. What does not fill all
@@ -241,12 +289,12 @@ class Network:
             total += len(doc)
             if held >= CHUNK_TOKENS:
                 x, y, fresh = arrays()
-                n = len(y) // STREAMS * STREAMS
-                count = self._windows(x[:n], y[:n], fresh[:n], STREAMS, moments, count)
+                n = len(y) // streams * streams
+                count = self._windows(x[:n], y[:n], fresh[:n], streams, moments, count)
                 rest, chunk, held = (x[n:], y[n:], fresh[n:]), [], 0
         x, y, fresh = arrays()
         while len(y):
-            streams = max(1, min(STREAMS, len(y) // STEPS))
+            streams = max(1, min(streams, len(y) // STEPS))
             n = len(y) // streams * streams
             count = self._windows(x[:n], y[:n], fresh[:n], streams, moments, count)
             x, y, fresh = x[n:], y[n:], fresh[n:]
@@ -257,41 +305,17 @@ class Network:
         n = len(y) // streams
         x, y, fresh = (a.reshape(streams, n).T for a in (x, y, fresh))
         m, v = moments
-        h, s = np.zeros((streams, STATE), np.float32), STATE
+        h = np.zeros((STATE, streams), np.float32)
         for at in range(0, n, STEPS):
-            xs, ys, fs = x[at : at + STEPS], y[at : at + STEPS], fresh[at : at + STEPS]
-            kept, states = [], []
-            for t in range(len(xs)):
-                was = h * ~fs[t][:, None]
-                h, z, r, nn, un = self.step(self.p["G"][xs[t]], was)
-                kept.append((was, z, r, nn, un))
-                states.append(h)
-            grads: dict = {}
-            _, dout = self.output(np.concatenate(states), ys.ravel(), grads)
-            dout = dout.reshape(len(xs), streams, s)
-            dh, gates, grads["U"] = np.zeros_like(h), np.empty((len(xs), streams, 3 * s), np.float32), np.zeros_like(self.p["U"])
-            for t in range(len(xs) - 1, -1, -1):
-                was, z, r, nn, un = kept[t]
-                d = dh + dout[t]
-                dn = d * (1 - z) * (1 - nn * nn)
-                g = gates[t]
-                g[:, :s] = d * (was - nn) * z * (1 - z)
-                g[:, s : 2 * s] = dn * un * r * (1 - r)
-                g[:, 2 * s :] = dn * r
-                grads["U"] += was.T @ g
-                dh = (d * z + g @ self.p["U"].T) * ~fs[t][:, None]
-                g[:, 2 * s :] = dn
-            order = np.argsort(xs.ravel(), kind="stable")
-            unit = xs.ravel()[order]
-            first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
-            grads["G"] = np.zeros_like(self.p["G"])
-            grads["G"][unit[first]] = np.add.reduceat(gates.reshape(-1, 3 * s)[order], first, axis=0)
+            ys, keep = y[at : at + STEPS], (~fresh[at : at + STEPS]).astype(np.float32)
+            _, grads, h = self.gradients(x[at : at + STEPS], ys, keep, h)
             count += 1
+            rate = RATE / (1 - 0.9**count)
             for k, g in grads.items():
-                g = g / ys.size
-                m[k] += 0.1 * (g - m[k])
-                v[k] += 0.001 * (g * g - v[k])
-                self.p[k] -= (RATE / (1 - 0.9**count)) * m[k] / (np.sqrt(v[k] / (1 - 0.999**count)) + 1e-6)
+                g /= ys.size
+                m[k] += np.float32(0.1) * (g - m[k])
+                v[k] += np.float32(0.001) * (g * g - v[k])
+                self.p[k] -= np.float32(rate) * m[k] / (np.sqrt(v[k] / np.float32(1 - 0.999**count)) + np.float32(1e-6))
         return count
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
@@ -300,22 +324,27 @@ class Network:
         by = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
         sizes = np.array([len(docs[i]) for i in by])
         flat, start = np.concatenate([docs[i] for i in by]), np.cumsum(sizes) - sizes
-        h = np.zeros((len(docs), STATE), np.float32)
+        h = np.zeros((STATE, len(docs)), np.float32)
         for at in range(0, int(sizes[0]), STEPS):
             k = int((sizes > at).sum())
             left = sizes[:k] - at
             steps = min(STEPS, int(left[0]))
-            h, states = h[:k], np.empty((steps, k, STATE), np.float32)
             ys = flat[np.minimum(start[:k] + at + np.arange(steps)[:, None], len(flat) - 1)]
-            before = np.zeros(k, ys.dtype) if at == 0 else flat[start[:k] + at - 1]
-            for t in range(steps):
-                h = states[t] = self.step(self.p["G"][before if t == 0 else ys[t - 1]], h)[0]
-            ok = np.flatnonzero(np.arange(steps)[:, None] < left)
-            flat_states, flat_ys = states.reshape(-1, STATE), ys.ravel()
-            for i in range(0, len(ok), SCORE_ROWS):
-                at_once = ok[i : i + SCORE_ROWS]
-                logp, _ = self.output(flat_states[at_once], flat_ys[at_once])
-                out += np.bincount(at_once % k, logp, len(docs))
+            before = np.concatenate([(np.zeros(k, ys.dtype) if at == 0 else flat[start[:k] + at - 1])[None], ys[:-1]])
+            # So many documents at once that their states stay small.
+            width = max(1, SCORE_ROWS // steps)
+            new = np.empty((STATE, k), np.float32)
+            for i in range(0, k, width):
+                some = slice(i, min(k, i + width))
+                gate = self.p["G"][before[:, some].ravel()].T.reshape(3 * STATE, steps, -1)
+                states, now = np.empty((STATE, *gate.shape[1:]), np.float32), h[:, some]
+                for t in range(steps):
+                    now = states[:, t] = self.step(gate[:, t], now)[0]
+                new[:, some] = now
+                ok = np.flatnonzero(np.arange(steps)[:, None] < left[some])
+                logp, _ = self.output(np.take(states.reshape(STATE, -1), ok, axis=1), ys[:, some].ravel()[ok])
+                out += np.bincount(ok % gate.shape[2] + i, logp, len(docs))
+            h = new
         result = np.empty(len(docs))
         result[by] = out / LOG10
         return result
@@ -339,28 +368,16 @@ def _tail_totals(counts: DataFrame, vocabulary, tails: int) -> tuple[np.ndarray,
     return n, words
 
 
-def _trained(docs: DataFrame, vocabulary, size: int) -> Network:
-    """The network after rounds of replicas on their parts of docs (text), which tasks and then the driver average.
+def _trained(data: DataFrame, vocabulary, size: int) -> Network:
+    """The network after rounds of replicas on their parts of data (key, units), which tasks and then the driver average.
 
     A row's place in the written table deals it out, so copies of a text spread over all replicas and rounds.
     """
-    spark = docs.sparkSession
+    spark = data.sparkSession
     v = vocabulary.value
-
-    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary.value
-        table = v.table()
-        for batch in slices(batches):
-            out = []
-            for text in bytes_of(batch, "text"):
-                words = tokens(text)
-                out.append(v.units(np.fromiter(map(table.__getitem__, words), np.int64, len(words)), words).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], names=["units"])
-
     replicas = size // REPLICA_TOKENS + 1
-    data = docs.select("text").mapInArrow(units, "units array<int>")
-    scratch = Scratch(spark, "lm")
-    data = scratch.write(data.withColumn("k", F.monotonically_increasing_id()))
+    streams = min(STREAMS, max(LEAST_STREAMS, size // (replicas * ROUNDS * STEPS * UPDATES)))
+    scratch = Scratch(spark, "lm-replicas")
     net = Network(v)
     for turn in range(ROUNDS):
         sent = Shared(spark, net)
@@ -368,7 +385,7 @@ def _trained(docs: DataFrame, vocabulary, size: int) -> Network:
         def replica(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             net = sent.value
             net.p = {k: a.copy() for k, a in net.p.items()}
-            n = net.train(np.array(u, np.int64) for b in batches for some in slices([b]) for u in some.column(0).to_pylist())
+            n = net.train((np.frombuffer(u, np.int16).astype(np.int64) for b in batches for some in slices([b]) for u in some.column(0).to_pylist()), streams)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array(list(net.p)), pa.array([(n * a.astype(np.float64)).tobytes() for a in net.p.values()], pa.binary()), pa.array([n] * len(net.p))], names=["name", "value", "n"])
 
@@ -382,9 +399,9 @@ def _trained(docs: DataFrame, vocabulary, size: int) -> Network:
                 yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([a.tobytes() for a, _ in sums.values()], pa.binary()), pa.array([n for _, n in sums.values()])], names=["name", "value", "n"])
 
         sums, weight = {k: np.zeros(a.shape) for k, a in net.p.items()}, Counter()
-        part = data.where(F.pmod(F.xxhash64(F.lit(5), "k"), F.lit(ROUNDS)) == turn).select("units", "k")
+        part = data.where(F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(ROUNDS)) == turn).select("units", "key")
         # Written first, since reading partition by partition would train the replicas one after another.
-        made, left = scratch.write(part.repartition(replicas, F.xxhash64(F.lit(6), "k")).select("units").mapInArrow(replica, "name string, value binary, n long")), replicas
+        made, left = scratch.write(part.repartition(replicas, F.xxhash64(F.lit(6), "key")).select("units").mapInArrow(replica, "name string, value binary, n long")), replicas
         while left > SUMMED:
             left = -(-left // SUMMED)
             made = scratch.write(made.repartition(left).mapInArrow(summed, "name string, value binary, n long"))
@@ -407,37 +424,45 @@ def score_documents(df: DataFrame, held_out: Column, id_col: str = "doc_id", tex
     v = Vocabulary(*most_frequent(counts))
     v.finish(*_tail_totals(counts, Shared(spark, v), v.tails))
     vocabulary = Shared(spark, v)
-    net = Shared(spark, _trained(training, vocabulary, n))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, network = vocabulary.value, net.value
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary.value
         table = v.table()
-        for batch in batches:
+        for batch in slices(batches):
             units, rows, rare = [], [], []
-            for some in slices([batch]):
-                for text in bytes_of(some, "text"):
-                    words = tokens(text)
-                    index = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
-                    u = v.units(index, words)
-                    known = index >= 0
-                    tail = u >= v.head
-                    # A word of a class has its share there; what a rare word's count adds comes by the join.
-                    inside = v.log_count[index[known & tail]].sum() - v.tail_log[u[tail] - v.head].sum()
-                    found = (v.count[index[known]] > 0).sum()
-                    rows.append((len(words), int(found), v.log_count[index[known]].sum(), inside))
-                    rare.append(list(Counter([words[i] for i in np.flatnonzero(~known).tolist()]).items()))
-                    units.append(u.astype(np.int32))
+            for text in bytes_of(batch, "text"):
+                words = tokens(text)
+                index = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
+                u = v.units(index, words)
+                known = index >= 0
+                tail = u >= v.head
+                # A word of a class has its share there; what a rare word's count adds comes by the join.
+                inside = v.log_count[index[known & tail]].sum() - v.tail_log[u[tail] - v.head].sum()
+                found = (v.count[index[known]] > 0).sum()
+                rows.append((len(words), int(found), v.log_count[index[known]].sum(), inside))
+                rare.append(list(Counter([words[i] for i in np.flatnonzero(~known).tolist()]).items()))
+                units.append(u.astype(np.int16).tobytes())
             n_tokens, n_known, base, inside = zip(*rows, strict=True)
-            scores = network.score(units) + np.array(inside)
             sizes = np.cumsum([0, *map(len, rare)])
             words = pa.StructArray.from_arrays([pa.array([w for r in rare for w, _ in r], pa.binary()), pa.array([c for r in rare for _, c in r], pa.int64())], names=["word", "tf"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), words)], names=["id", "held_out", "n_tokens", "n_known", "base", "model", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(inside, pa.float64()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), words), pa.array(units, pa.binary())], names=["id", "held_out", "n_tokens", "n_known", "base", "inside", "rare", "units"])
 
-    made = docs.select("id", "held_out", "text").mapInArrow(run, f"id {dict(docs.dtypes)['id']}, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<struct<word:binary,tf:long>>")
+    made = docs.select("id", "held_out", "text").mapInArrow(units, f"id {dict(docs.dtypes)['id']}, held_out boolean, n_tokens long, n_known long, base double, inside double, rare array<struct<word:binary,tf:long>>, units binary")
     made = scratch.write(made.withColumn("key", F.monotonically_increasing_id()))
+    net = Shared(spark, _trained(made.where(~F.col("held_out")), vocabulary, n))
+
+    def make():
+        network = net.value
+
+        def run(batch: pa.RecordBatch) -> list[pa.Array]:
+            return [pa.array(network.score([np.frombuffer(u, np.int16).astype(np.int64) for u in batch.column(batch.schema.get_field_index("units")).to_pylist()]))]
+
+        return run
+
+    scored = append_columns(made.drop("rare"), [T.StructField("model", T.DoubleType())], make, SCORE_DOCS)
     rare = made.select("key", F.explode("rare").alias("r")).select("key", "r.word", "r.tf").join(counts, "word")
     more = rare.groupBy("key").agg(F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("more"), F.sum("tf").alias("found"))
-    out = made.drop("rare").join(more, "key", "left")
+    out = scored.drop("units").join(more, "key", "left")
     more = F.coalesce("more", F.lit(0.0))
     return out.select(
         "id",
@@ -446,5 +471,5 @@ def score_documents(df: DataFrame, held_out: Column, id_col: str = "doc_id", tex
         (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + more - F.col("n_tokens") * F.lit(math.log10(n + distinct + 1))).alias("base_score"),
-        (F.col("model") + more).alias("score"),
+        (F.col("model") + F.col("inside") + more).alias("score"),
     )

@@ -117,6 +117,35 @@ def test_unquote_inverts_quoting(spark, names):
     assert df.where(~R.unquote(F.col("q")).eqNullSafe(F.col("n"))).count() == 0
 
 
+def test_folder_names_are_decoded(spark, tmp_path):
+    for name in ("my repo%", "a+b", "ü", "repo=x%2520y"):
+        (tmp_path / "log" / name).mkdir(parents=True)
+        (tmp_path / "log" / name / "e.txt").write_text(rec(name))
+    got = {r.sha: r.repo for r in tables.records(read_log(spark, str(tmp_path / "log")))[0].collect()}
+    # The writer of `repo=` folders escapes values, here x%20y.
+    assert got == {"my repo%": "my repo%", "a+b": "a+b", "ü": "ü", "repo=x%2520y": "x%20y"}
+
+
+def test_bad_records_are_written(spark, tmp_path):
+    good, bad = tables.records(export(spark, tmp_path))
+    write_tables(tables.commits(good), tables.file_changes(P.parse_times(good), "committed_at"), str(tmp_path / "out"), bad)
+    assert sorted(r.reason for r in spark.read.parquet(str(tmp_path / "out/bad_records")).collect()) == ["parts", "parts", "sha", "time"]
+    assert spark.read.parquet(str(tmp_path / "out/file_changes")).columns == ["repo", "sha", "pos", "path", "old_path", "added", "deleted", "is_binary", "month"]
+
+
+def test_stream_keeps_old_commits_and_bad_records(spark, tmp_path):
+    from weftwork.streaming.log_stream import stream_bad_records, stream_records, write_available
+
+    (tmp_path / "log" / "r1").mkdir(parents=True)
+    old = "2005-01-01T00:00:00Z"
+    for k, records in enumerate(([rec("a"), rec("b")], [rec("old", at=old, ct=old), rec("a"), "junk"], [rec("c")])):
+        (tmp_path / "log" / "r1" / f"{k}.txt").write_text(RS.join(records))
+        write_available(stream_records(spark, str(tmp_path / "log")), str(tmp_path / "out"), str(tmp_path / "at"))
+        write_available(stream_bad_records(spark, str(tmp_path / "log")), str(tmp_path / "bad"), str(tmp_path / "bad_at"))
+    assert sorted(r.sha for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c", "old"]
+    assert [(r.repo, r.raw, r.reason) for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [("r1", "junk", "parts")]
+
+
 def test_stream_drops_a_commit_that_comes_again(spark, tmp_path):
     from weftwork.streaming.log_stream import stream_records, write_available
 

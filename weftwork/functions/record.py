@@ -13,6 +13,13 @@ ESCAPES = {"a": "07", "b": "08", "t": "09", "n": "0A", "v": "0B", "f": "0C", "r"
 QUOTED = r'"(?:[^"\\]|\\.)*"'
 
 
+def repo_of(file_path: Column) -> Column:
+    """The folder of a file, decoded; `repo=` before it marks a value that the writer has escaped once more."""
+    decode = lambda x: F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))
+    folder = decode(F.regexp_extract(file_path, r"([^/]+)/[^/]+$", 1))
+    return F.when(folder.startswith("repo="), decode(F.substring(folder, F.lit(6), F.length(folder)))).otherwise(folder)
+
+
 def instant(text: Column) -> Column:
     return F.try_to_timestamp(text)
 
@@ -49,11 +56,11 @@ def trailers(message: Column) -> Column:
     return F.when(F.coalesce((F.size(paragraphs(message)) > 1) & is_trailers(last), F.lit(False)), pairs).otherwise(none)
 
 
-def body(message: Column) -> Column:
-    """What stands between the subject and the trailers."""
+def body(message: Column, n_trailers: Column) -> Column:
+    """What stands between the subject and the trailers, if there are any."""
     p = paragraphs(message)
     head = F.trim(F.regexp_replace(F.get(p, F.lit(0)), r"^[^\n]*\n?", ""))
-    n = F.size(p) - F.when(F.size(trailers(message)) > 0, 2).otherwise(1)
+    n = F.size(p) - F.when(n_trailers > 0, 2).otherwise(1)
     rest = F.slice(p, 2, F.greatest(n, F.lit(0)))
     return F.array_join(F.filter(F.concat(F.array(head), rest), lambda x: x != ""), "\n\n")
 

@@ -51,15 +51,15 @@ def join_parents(edges: DataFrame, commits: DataFrame, *fields: str) -> DataFram
 
 def parse_message(df: DataFrame) -> DataFrame:
     m = F.col("message")
-    return df.withColumns({"subject": R.subject(m), "body": R.body(m), "trailers": R.trailers(m)})
+    return df.withColumns({"subject": R.subject(m), "trailers": R.trailers(m)}).withColumn("body", R.body(m, F.size("trailers")))
 
 
-def parse_numstat(df: DataFrame) -> DataFrame:
-    """(repo, sha, pos, printed, added, deleted, is_binary): a row for each line of the tail, counted from 0."""
+def parse_numstat(df: DataFrame, *keep: str) -> DataFrame:
+    """(repo, sha, pos, printed, added, deleted, is_binary) and columns to keep: a row for each line of the tail, from 0."""
     lines = F.filter(F.split("tail", "\n"), lambda x: F.trim(x) != "")
-    parts = df.select("repo", "sha", F.posexplode(lines).alias("pos", "line")).withColumn("p", F.split("line", "\t", 3))
+    parts = df.select("repo", "sha", *keep, F.posexplode(lines).alias("pos", "line")).withColumn("p", F.split("line", "\t", 3))
     added, deleted = F.get("p", F.lit(0)), F.get("p", F.lit(1))
-    return parts.select("repo", "sha", "pos", F.get("p", F.lit(2)).alias("printed"), added.try_cast("long").alias("added"), deleted.try_cast("long").alias("deleted"), ((added == "-") & (deleted == "-")).alias("is_binary"))
+    return parts.select("repo", "sha", "pos", F.get("p", F.lit(2)).alias("printed"), added.try_cast("long").alias("added"), deleted.try_cast("long").alias("deleted"), ((added == "-") & (deleted == "-")).alias("is_binary"), *keep)
 
 
 def parse_paths(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftwork.operators import parsing as P
 from weftwork.plans import standin, tables
 from weftwork.sources.git_log import read_log, write_tables
-from weftwork.streaming.log_stream import stream_records, write_available
+from weftwork.streaming.log_stream import stream_bad_records, stream_records, write_available
 
 
 def _good(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +18,7 @@ def _good(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_log(spark, standin.write_log(spark, sf_dir)).groupBy("repo").agg(F.count("*").alias("records"))
+    return read_log(spark, standin.write_log(spark, sf_dir))
 
 
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,24 +53,43 @@ def bad_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.records(read_log(spark, standin.write_log(spark, sf_dir)))[1].select("repo", "reason", F.col("raw"))
 
 
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each printed path stands for, and how often it occurs."""
+    printed = P.parse_numstat(_good(spark, sf_dir)).withColumn("as_printed", F.col("printed"))
+    return P.parse_paths(printed).groupBy("as_printed", "path", "old_path").agg(F.count("*").alias("changes"))
+
+
 def deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _good(spark, sf_dir).groupBy("repo").agg(F.count("*").alias("commits"), F.countDistinct("sha").alias("shas"))
+    return _good(spark, sf_dir).select("repo", "sha", "parents", "author_name", "author_email", "authored", "committed", "message", "tail")
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> str:
+    (good, bad), out = tables.records(read_log(spark, standin.write_log(spark, sf_dir))), f"{standin.shared_folder(spark)}/tables"
+    write_tables(tables.commits(good), tables.file_changes(P.parse_times(good), "committed_at"), out, bad)
+    return out
 
 
 def written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = standin.write_log(spark, sf_dir)
-    good, out = tables.records(read_log(spark, log))[0], log.removesuffix("export") + "tables"
-    write_tables(tables.commits(good), tables.file_changes(good), out)
+    out = _tables(spark, sf_dir)
     commits = spark.read.parquet(f"{out}/commits").groupBy(F.col("month").cast("string").alias("month")).agg(F.count("*").alias("commits"))
     changes = spark.read.parquet(f"{out}/file_changes").groupBy(F.col("month").cast("string").alias("month")).agg(F.count("*").alias("changes"), F.sum("added").alias("added"))
     return commits.join(changes, "month", "left").select("month", "commits", F.coalesce("changes", F.lit(0)).alias("changes"), "added")
 
 
+def written_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{_tables(spark, sf_dir)}/bad_records")
+
+
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = standin.write_log(spark, sf_dir)
-    root = log.removesuffix("export")
-    write_available(stream_records(spark, log).select("repo", "sha", "author_offset"), f"{root}stream", f"{root}progress")
-    return spark.read.parquet(f"{root}stream")
+    log, root = standin.write_log(spark, sf_dir), standin.shared_folder(spark)
+    write_available(stream_records(spark, log).select("repo", "sha", "author_offset"), f"{root}/stream", f"{root}/progress")
+    return spark.read.parquet(f"{root}/stream")
+
+
+def streamed_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, root = standin.write_log(spark, sf_dir), standin.shared_folder(spark)
+    write_available(stream_bad_records(spark, log), f"{root}/stream", f"{root}/progress")
+    return spark.read.parquet(f"{root}/stream")
 
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +100,7 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def latest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When each path of a repository was last changed, and how often; a maximum, so that a hot path combines early."""
-    good = _good(spark, sf_dir)
-    changes = tables.file_changes(good).join(P.parse_times(good).select("repo", "sha", "committed_at"), ["repo", "sha"])
+    changes = tables.file_changes(P.parse_times(_good(spark, sf_dir)), "committed_at")
     last = F.max(F.struct("committed_at", "sha")).alias("last")
     return changes.groupBy("repo", "path").agg(last, F.count("*").alias("changes")).select("repo", "path", F.col("last.sha").alias("last_sha"), "changes")
 
@@ -95,10 +113,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "b4_parent_edges": edges,
     "b4_parent_join": parents,
     "b5_messages": messages,
+    "b7_paths": paths,
     "b8_bad_records": bad_records,
     "b9_dedupe": deduped,
     "b10_written_tables": written,
+    "b10_bad_table": written_bad,
     "stream_records": streamed,
+    "stream_bad_records": streamed_bad,
     "activity_by_week": activity,
     "latest_changes": latest_changes,
 }
@@ -127,19 +148,38 @@ _CHANGES = rf"""
   from l
 )
 """
+_RECORDS = rf"""
+{_CHANGES}, t as (
+  select o_orderkey as k, string_agg(x, chr(10) order by x) as stat from (select o_orderkey, a || chr(9) || d || chr(9) || printed as x from l) group by 1
+), r as (
+  select repo, o_orderkey, o_orderstatus, sha, coalesce(lpad(lower(printf('%X', before)), 40, '0'), '') as parents, 'C, "' || o_custkey || '"' as author_name,
+    o_custkey || '@example.com' as author_email, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || zone as authored,
+    'Order ' || o_orderkey || chr(10) || chr(10) || 'First line of ' || o_orderkey || chr(10) || 'Note: not a trailer' || chr(10) || chr(10) || 'Priority: '
+      || o_orderpriority || chr(10) || 'Status: ' || o_orderstatus || chr(10) || 'Status: again' || chr(10) as message,
+    chr(10) || chr(10) || coalesce(stat, '') || chr(10) as tail
+  from o left join t on k = o_orderkey
+), w as (
+  select *, concat_ws(chr(31), sha, parents, author_name, author_email, authored, authored, message, tail) as raw from r
+)
+"""
+_BAD = f"with {_ORDERS} select repo, 'parts' as reason, 'cut' || chr(31) || o_orderkey as raw from o where o_orderkey % 50 = 0"
 ORACLE_SQL = {
-    "b1_read_log": f"with {_ORDERS} select repo, sum(1 + (o_orderstatus = 'O')::int + (o_orderkey % 50 = 0)::int)::bigint as records from o group by repo",
+    "b1_read_log": f"""with {_RECORDS} select repo, raw from w union all select repo, raw from w where o_orderstatus = 'O'
+  union all select repo, 'cut' || chr(31) || o_orderkey from w where o_orderkey % 50 = 0""",
     "b2_headers": f"""with {_ORDERS} select repo, sha, 'C, "' || o_custkey || '"' as author_name, o_custkey || '@example.com' as author_email, 8 as n_parts from o""",
     "b3_times": f"with {_ORDERS} select sha, s as authored_s, zone as author_offset, s as committed_s from o",
     "b4_parent_edges": f"with {_ORDERS} select repo, sha as child, lpad(lower(printf('%X', before)), 40, '0') as parent, 0::bigint as ordinal from o where before is not null",
     "b4_parent_join": f"with {_ORDERS} select repo, sha as child, lpad(lower(printf('%X', before)), 40, '0') as parent, o_custkey || '@example.com' as parent_author_email from o where before is not null",
     "b5_messages": f"with {_ORDERS} select sha, 'Order ' || o_orderkey as subject, 'First line of ' || o_orderkey || chr(10) || 'Note: not a trailer' as body, 'Priority=' || o_orderpriority || ';Status=' || o_orderstatus || ';Status=again' as trailers from o",
     "b6_file_changes": f"with {_CHANGES} select repo, sha, pos::bigint as pos, path, old_path, coalesce(try_cast(a as bigint), -1) as added, coalesce(try_cast(d as bigint), -1) as deleted, is_binary from f",
-    "b8_bad_records": f"with {_ORDERS} select repo, 'parts' as reason, 'cut' || chr(31) || o_orderkey as raw from o where o_orderkey % 50 = 0",
-    "b9_dedupe": f"with {_ORDERS} select repo, count(*) as commits, count(distinct sha) as shas from o group by repo",
+    "b7_paths": f"with {_CHANGES} select printed as as_printed, path, old_path, count(*) as changes from f group by all",
+    "b8_bad_records": _BAD,
+    "b9_dedupe": f"with {_RECORDS} select repo, sha, parents, author_name, author_email, authored, authored as committed, message, tail from r",
     "b10_written_tables": f"""with {_CHANGES}, m as (select strftime(make_timestamp(s * 1000000), '%Y-%m') as month, count(*) as commits from o group by 1),
   n as (select strftime(make_timestamp(s * 1000000), '%Y-%m') as month, count(*) as changes, sum(try_cast(a as bigint))::bigint as added from f group by 1)
   select m.month, commits, coalesce(changes, 0) as changes, added from m left join n using (month)""",
+    "b10_bad_table": _BAD,
+    "stream_bad_records": _BAD,
     "stream_records": f"with {_ORDERS} select repo, sha, zone as author_offset from o",
     "activity_by_week": f"with {_ORDERS} select o_custkey || '@example.com' as author_email, strftime(date_trunc('week', make_timestamp(s * 1000000)), '%Y-%m-%d') as week, count(*) as commits from o group by 1, 2",
     "latest_changes": f"with {_CHANGES} select repo, path, arg_max(sha, (s, sha)) as last_sha, count(*) as changes from f group by repo, path",

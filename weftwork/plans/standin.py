@@ -57,8 +57,20 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select("repo", F.explode(F.array_compact(F.array(whole, again, short))).alias("value"))
 
 
+#: Exports rendered by this application, by input folder.
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def _complete(spark: SparkSession, path: str) -> bool:
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def write_log(spark: SparkSession, sf_dir: str) -> str:
-    """Writes the export and returns its folder."""
-    path = f"{shared_folder(spark)}/export"
-    rendered(spark, sf_dir).write.partitionBy("repo").option("lineSep", RECORD).text(path)
-    return path
+    """The folder of the export, which an application renders once for each input."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN or not _complete(spark, _WRITTEN[key]):
+        path = f"{shared_folder(spark)}/export"
+        rendered(spark, sf_dir).write.partitionBy("repo").option("lineSep", RECORD).text(path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]

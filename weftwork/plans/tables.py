@@ -18,5 +18,6 @@ def commits(good: DataFrame) -> DataFrame:
     return out.select("repo", "sha", "parents", "author_name", "author_email", "authored_at", "author_offset", "committed_at", "subject", "body", "trailers")
 
 
-def file_changes(good: DataFrame) -> DataFrame:
-    return P.parse_paths(P.parse_numstat(good)).select("repo", "sha", "pos", "path", "old_path", "added", "deleted", "is_binary")
+def file_changes(good: DataFrame, *keep: str) -> DataFrame:
+    """File changes with columns of their commit to keep."""
+    return P.parse_paths(P.parse_numstat(good, *keep)).select("repo", "sha", "pos", "path", "old_path", "added", "deleted", "is_binary", *keep)

@@ -5,20 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.functions.record import RECORD
+from weftwork.functions.record import RECORD, repo_of
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """(repo, raw): one row for each record; blank ones are dropped. Uncompressed files are read in splits."""
     raw = spark.read.option("lineSep", RECORD).option("recursiveFileLookup", "true").text(path)
-    repo = F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1), "^repo=", "")
-    return raw.select(repo.alias("repo"), F.col("value").alias("raw")).where(F.col("raw").rlike(r"\S"))
+    return raw.select(repo_of(F.col("_metadata.file_path")).alias("repo"), F.col("value").alias("raw")).where(F.col("raw").rlike(r"\S"))
 
 
-def write_tables(commits: DataFrame, file_changes: DataFrame, path: str) -> None:
-    """Parquet by month of the commit. A month is rebalanced into files of the advised size, however large it is."""
+def write_tables(commits: DataFrame, file_changes: DataFrame, path: str, bad_records: DataFrame | None = None) -> None:
+    """Parquet by month of the commit. A month is rebalanced into files of the advised size, however large it is.
+
+    File changes that carry committed_at need no join for their month; others are joined to their commits. Bad records
+    have no time of their own and make one table.
+    """
     month = F.date_format(F.date_trunc("month", "committed_at"), "yyyy-MM")
     commits = commits.withColumn("month", month)
-    changes = file_changes.join(commits.select("repo", "sha", "month"), ["repo", "sha"])
+    if "committed_at" in file_changes.columns:
+        changes = file_changes.withColumn("month", month).drop("committed_at")
+    else:
+        changes = file_changes.join(commits.select("repo", "sha", "month"), ["repo", "sha"])
     commits.hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(f"{path}/commits")
     changes.hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(f"{path}/file_changes")
+    if bad_records is not None:
+        bad_records.write.mode("overwrite").parquet(f"{path}/bad_records")

@@ -2,7 +2,10 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
+from weftwork.llm import simhash
 
 
 def shingles(text):
@@ -55,3 +58,27 @@ def test_null_and_shared_ids_keep_different_texts(spark):
     rows = [(None, text("a")), (None, text("b")), (None, text("b")), (7, text("c")), (7, text("d")), (None, text("c")), (9, text("e")), (9, text("e"))]
     got = stage(spark, rows)
     assert sorted(map(repr, got)) == sorted(map(repr, [(None, text("a")), (None, text("b")), (7, text("c")), (7, text("d")), (9, text("e"))]))
+
+
+def test_drifting_copies_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 16)
+    monkeypatch.setattr(simhash, "PAIRS", 1)
+    rng = random.Random(8)
+    rows = []
+    for k in range(2):
+        w = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        for i in range(90):
+            # The last words change at first, so all share most bands, though their ends are unlike.
+            w[110 - i // 2 if k else rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+            rows.append((1000 * k + i, " ".join(w)))
+    rng.shuffle(rows)
+    assert sorted(stage(spark, rows)) == sorted(brute(rows))
+
+
+def test_sketches_rule_out_no_similar_pair():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 2000)), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 63, int(rng.integers(0, 100)), dtype=np.uint64)]))
+        x, y = simhash.odd_sketches([a, b])
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))

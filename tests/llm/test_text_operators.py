@@ -281,9 +281,12 @@ def test_profile_counts_are_exact(spark):
 # op6
 
 
-@pytest.mark.parametrize("shards", [1, 3, 16])
-def test_shards(spark, shards):
+@pytest.mark.parametrize(("shards", "digits"), [(1, 3), (3, 3), (16, 3), (16, 1)])
+def test_shards(spark, monkeypatch, shards, digits):
+    monkeypatch.setattr(sharding, "DIGITS", digits)
+    monkeypatch.setattr(sharding, "MORE_DIGITS", 3 - 2 * (digits == 1))
     rows = mixed(11)
+    rows += [(i, f"text {i} " * (i % 50)) for i in range(3000 if digits == 1 else 0)]
     got = sharding.minimax_shards(docs(spark, rows), shards).collect()
     assert len(got) == len(rows)
     sizes, counts = Counter(), Counter()

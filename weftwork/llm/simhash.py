@@ -29,8 +29,8 @@ HOT_BUCKET = 4096
 BLOCK = 1 << 16
 
 
-def fingerprints(texts: list[bytes | None], words: int) -> np.ndarray:
-    """64-bit SimHash of each text over shingles of so many lower-case words."""
+def shingle_hashes(texts: list[bytes | None], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of so many lower-case words, text after text, and their number in each."""
     hashes: list[int] = []
     counts = np.zeros(len(texts), np.int64)
     xxh64 = xxhash.xxh64_intdigest
@@ -47,9 +47,13 @@ def fingerprints(texts: list[bytes | None], words: int) -> np.ndarray:
         starts = [0, *ends[:-words].tolist()]
         hashes += [xxh64(flat[s:e], 42) for s, e in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)]
         counts[i] = len(tokens) - words + 1
-    h = np.array(hashes, np.uint64)
-    set_bits = np.zeros((len(texts), BITS), np.int64)
-    owner = np.repeat(np.arange(len(texts)), counts)
+    return np.array(hashes, np.uint64), counts
+
+
+def majority_bits(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """64-bit SimHash of each text from its shingles' hashes."""
+    set_bits = np.zeros((len(counts), BITS), np.int64)
+    owner = np.repeat(np.arange(len(counts)), counts)
     for at in range(0, len(h), BLOCK):
         own = owner[at : at + BLOCK]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
@@ -59,6 +63,10 @@ def fingerprints(texts: list[bytes | None], words: int) -> np.ndarray:
     return np.packbits(on, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
 
 
+def fingerprints(texts: list[bytes | None], words: int) -> np.ndarray:
+    return majority_bits(*shingle_hashes(texts, words))
+
+
 def with_fingerprint(df: DataFrame, text_col: str = "text", words: int = 4) -> DataFrame:
     """df with column fp (long): the fingerprint's bits."""
 
@@ -178,25 +186,34 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     middle = links.where("hot").select("a", "b")
     stars = middle.join(middle.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("x")).where("m < x").select("a", "m"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     roots = components(spark, links.where("not hot").select("a", "b").unionAll(stars))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    rooted = scratch.write(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    # Written, so that the join sees two plain shuffles and may split a component that has a large share of all.
+    least = scratch.write(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    of = scratch.write(rooted.join(least, "root").select("fp", "component_id"))
     return docs.join(of, "fp").select("id", "fp", "component_id")
 
 
-#: Minima in a band, bands, and how many members before it each member of a bucket is paired with.
-BAND, BANDS, BESIDE = 4, 16, 32
-#: Members of a bucket that one task pairs; a larger one is dealt out.
-BUCKET_ROWS = 8192
+#: Minima in a band, and bands.
+BAND, BANDS = 4, 16
+#: Bits of a set's sketch, members of a bucket that one task compares, and pairs that it first hands on of two components.
+SKETCH_BITS, BUCKET_ROWS, PAIRS = 1024, 4096, 4
 
 
-def shingle_sets(texts: list[bytes | None], words: int) -> list[np.ndarray]:
-    """The sorted distinct hashes of each text's shingles, those of its fingerprint."""
-    out = []
-    for text in texts:
-        tokens = text.lower().split() if text else []
-        n = max(1, len(tokens) - words + 1) if tokens else 0
-        out.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(tokens[i : i + words]), 42) for i in range(n)), np.uint64, n)))
-    return out
+def shingle_sets(h: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles."""
+    return [np.unique(x) for x in np.split(h, np.cumsum(counts)[:-1])] if len(counts) else []
+
+
+def _by_size(sets: list[np.ndarray]) -> Iterator[slice]:
+    """Slices of the sets that together stay small."""
+    start = n = 0
+    for i, s in enumerate(sets):
+        if n and n + len(s) > 1 << 20:
+            yield slice(start, i)
+            start, n = i, 0
+        n += len(s)
+    if start < len(sets):
+        yield slice(start, len(sets))
 
 
 def min_hashes(sets: list[np.ndarray]) -> np.ndarray:
@@ -204,14 +221,16 @@ def min_hashes(sets: list[np.ndarray]) -> np.ndarray:
     rng = np.random.default_rng(11)
     odd = rng.integers(0, 1 << 63, BAND * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     out = np.zeros((len(sets), BAND * BANDS), np.uint64)
-    for i, s in enumerate(sets):
-        for at in range(0, len(s), BLOCK):
-            part = s[at : at + BLOCK]
-            part = part ^ part >> np.uint64(31)
-            for k, a in enumerate(odd):
-                x = part * a
-                least = (x ^ x >> np.uint64(32)).min()
-                out[i, k] = least if at == 0 else min(out[i, k], least)
+    some = np.flatnonzero([len(s) for s in sets])
+    for part in _by_size([sets[i] for i in some]):
+        rows = some[part]
+        flat = np.concatenate([sets[i] for i in rows])
+        first = np.cumsum([0, *(len(sets[i]) for i in rows[:-1])])
+        flat ^= flat >> np.uint64(31)
+        for k, a in enumerate(odd):
+            x = flat * a
+            x ^= x >> np.uint64(32)
+            out[rows, k] = np.minimum.reduceat(x, first)
     bands = out.reshape(len(sets), BANDS, BAND)
     h = np.full(bands.shape[:2], 7, np.uint64) + np.arange(BANDS, dtype=np.uint64)
     for j in range(BAND):
@@ -220,6 +239,18 @@ def min_hashes(sets: list[np.ndarray]) -> np.ndarray:
     return h
 
 
+def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Parities of the number of hashes in each of SKETCH_BITS cells: two of them differ in no more bits than the sets in hashes."""
+    out = np.zeros((len(sets), SKETCH_BITS // 64), np.uint64)
+    for part in _by_size(sets):
+        some = sets[part]
+        cell = ((np.concatenate(some) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(40)) % np.uint64(SKETCH_BITS)
+        owner = np.repeat(np.arange(len(some)), [len(s) for s in some])
+        odd = np.bincount(owner * SKETCH_BITS + cell.astype(np.int64), minlength=len(some) * SKETCH_BITS) & 1
+        out[part] = np.packbits(odd.astype(np.uint8)).view(np.uint64).reshape(len(some), -1)
+    return out
+
+
 def row_key(df: DataFrame) -> list:
     """128 bits of a row's values as two columns: the same in each run, and shared by equal rows alone."""
     nulls = F.concat(*(F.col(f"`{c}`").isNull().cast("int").cast("string") for c in df.columns))
@@ -245,33 +276,55 @@ def _jaccard_links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _beside(buckets: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of different roots from rows (b, salt, turned, node, n, root) sorted by bucket and turned fingerprint."""
+def _across(blocks: DataFrame, least: float, most: int) -> DataFrame:
+    """(a, b, cut) from rows (b, salt, node, n, root, sketch, other, mine) by block: pairs of different roots that may be similar.
+
+    Each row of a block that is its own is compared with the bucket's rows of other roots, which all blocks have. Sets
+    with this similarity differ in few hashes, so their sketches differ in as few bits at most. Of the pairs of two roots
+    the `most` nearest are given; cut says that there are more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, mine, others = None, [], []
+
+        def close() -> pa.RecordBatch:
+            pairs: dict[tuple[int, int], list] = {}
+            if mine and others:
+                node, n, root = (np.array([r[k] for r in mine]) for k in (0, 1, 2))
+                sketch = np.array([np.frombuffer(r[3], np.uint64) for r in mine])
+                for other, size, of, bits in others:
+                    differ = np.bitwise_count(sketch ^ np.frombuffer(bits, np.uint64)).sum(axis=1)
+                    # Sets of sizes x and y with similarity s differ in (1 - s) / (1 + s) * (x + y) hashes.
+                    ok = (differ * (1 + least) <= (1 - least) * (n + size) + 1e-6) & (np.minimum(n, size) >= least * np.maximum(n, size)) & (root != of)
+                    for i in np.flatnonzero(ok).tolist():
+                        pairs.setdefault((min(int(root[i]), of), max(int(root[i]), of)), []).append((int(differ[i]), min(int(node[i]), other), max(int(node[i]), other)))
+            out = [(a, b, len(found) > most) for found in pairs.values() for _, a, b in sorted(set(found))[:most]]
+            a, b, cut = zip(*out, strict=True) if out else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(cut, pa.bool_())], names=["a", "b", "cut"])
+
         for batch in slices(batches):
-            a, b = [], []
-            for bucket, salt, _, node, n, root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for bucket, salt, node, n, root, sketch, other, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (bucket, salt) != key:
-                    key, held = (bucket, salt), []
-                for node2, n2, root2 in held:
-                    if root2 != root and min(n, n2) >= least * max(n, n2):
-                        a.append(min(node, node2))
-                        b.append(max(node, node2))
-                held = [*held[1 - BESIDE :], (node, n, root)]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    yield close()
+                    key, mine, others = (bucket, salt), [], []
+                row = (node, n, root, sketch)
+                if own:
+                    mine.append(row)
+                if other:
+                    others.append(row)
+        yield close()
 
-    return buckets.mapInArrow(run, "a long, b long").distinct()
+    return blocks.mapInArrow(run, "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
 
 def keep_one_of_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """One row of each component of texts whose sets of shingles have a Jaccard similarity of `least` or more.
 
     The row with the least (id, nulls last; shingle set; row) stays. Equal sets are one node. Candidates are nodes
-    that agree on a band of minima: first each with the first of its bucket, then, where roots still differ, each
-    with those before it by fingerprint, turned otherwise for each band. Every link is verified on the whole sets;
-    only candidates' texts are read for that.
+    that agree on a band of minima: first each with the first of its bucket. Then every pair of a bucket whose roots
+    still differ is compared by sketches that rule out no similar pair; those that may be similar are verified, the
+    nearest of two components first, and again with more of them until no bucket holds one back. Every link is
+    verified on the whole sets; only candidates' texts are read for that.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "near")
@@ -280,43 +333,57 @@ def keep_one_of_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = bytes_of(batch, "text")
-            fps = np.concatenate([fingerprints(texts[i : i + 512], words) for i in range(0, len(texts), 512)])
-            sets = shingle_sets(texts, words)
+            h, counts = shingle_hashes(bytes_of(batch, "text"), words)
+            sets = shingle_sets(h, counts)
             nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets]
             bands = pa.FixedSizeListArray.from_arrays(pa.array(min_hashes(sets).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(fps.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), bands], names=["id", *key, "node", "fp", "n", "bands"])
+            sketches = pa.array([x.tobytes() for x in odd_sketches(sets)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(majority_bits(h, counts).view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), bands, sketches], names=["id", *key, "node", "fp", "n", "bands", "sketch"])
 
     kind = df.schema[id_col].dataType.simpleString()
     columns = keyed.select(F.col(id_col).alias("id"), *key, F.col(text_col).alias("text"))
-    rows = scratch.write(columns.mapInArrow(mark, f"id {kind}, __weft_k1 long, __weft_k2 long, node long, fp long, n long, bands array<long>"))
+    rows = scratch.write(columns.mapInArrow(mark, f"id {kind}, __weft_k1 long, __weft_k2 long, node long, fp long, n long, bands array<long>, sketch binary"))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node", *key)).alias("best")
-    nodes = scratch.write(rows.groupBy("node").agg(best, F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("bands").alias("bands")))
-    turned = F.expr(f"shiftleft(fp, t * {BITS // BANDS}) | shiftrightunsigned(fp, {BITS} - t * {BITS // BANDS})")
-    buckets = nodes.select("node", "fp", "n", F.posexplode("bands").alias("t", "b")).select("b", turned.alias("turned"), "node", "n")
-    first = buckets.groupBy("b").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("first")).where("size > 1")
+    nodes = scratch.write(rows.groupBy("node").agg(best, F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")))
+    buckets = nodes.select("node", "fp", "n", F.explode("bands").alias("b"))
+    first = buckets.groupBy("b").agg(F.count("*").alias("size"), F.min(F.struct("fp", "node", "n")).alias("first")).where("size > 1")
     first = broadcast_if_small(scratch.write(first))
     # Buckets of one node are the most by far and go here.
     buckets = scratch.write(buckets.join(first, "b"))
     ratio = F.least("n", "first.n") >= least * F.greatest("n", "first.n")
-    stars = scratch.write(buckets.where((F.col("node") != F.col("first.node")) & ratio).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct())
+    stars = scratch.write(buckets.where((F.col("node") != F.col("first.node")) & ratio).select(F.least("first.node", "node").alias("a"), F.greatest("first.node", "node").alias("b")).distinct())
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = shingle_sets(bytes_of(batch, "text"), words)
+            sets = shingle_sets(*shingle_hashes(bytes_of(batch, "text"), words))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 
     wanted = scratch.write(buckets.select("node").distinct().join(nodes.select("node", "best"), "node").select("node", "best.__weft_k1", "best.__weft_k2"))
     texts = keyed.select(*key, F.col(text_col).alias("text")).join(broadcast_if_small(wanted), key).select("node", "text")
     sets = scratch.write(texts.mapInArrow(sets_of, "node long, shingles binary").dropDuplicates(["node"]))
     links = scratch.write(_jaccard_links(stars, sets, least))
-    roots = scratch.write(components(spark, links).distinct())
-    rooted = buckets.join(roots, "node", "left").select("b", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BUCKET_ROWS)).alias("salt"), "turned", "node", "n", F.coalesce("root", "node").alias("root"))
-    more = scratch.write(_beside(rooted.repartition("b", "salt").sortWithinPartitions("b", "salt", "turned", "node"), least))
-    links = links.unionAll(scratch.write(_jaccard_links(more, sets, least)))
+    verified, most = stars, PAIRS
+    while True:
+        roots = scratch.write(components(spark, links).distinct())
+        rooted = scratch.write(buckets.select("b", "node", "n", "size").join(roots, "node", "left").select("b", "node", "n", "size", F.coalesce("root", "node").alias("root")))
+        # Buckets of one component go here. Of the others, the root with the most members is dealt to blocks, the rest to all.
+        main = rooted.groupBy("b", "root").agg(F.count("*").alias("n")).groupBy("b").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("b", "main.root")
+        main = scratch.write(main.withColumnRenamed("root", "main"))
+        blocks = F.ceil(F.col("size") / BUCKET_ROWS).cast("int")
+        open_ = rooted.join(broadcast_if_small(main), "b").withColumns({"own": F.pmod(F.xxhash64("node"), blocks).cast("int"), "other": F.col("root") != F.col("main")})
+        open_ = open_.withColumn("salt", F.explode(F.when(F.col("other"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("own"))))
+        open_ = open_.join(nodes.select("node", "sketch"), "node").select("b", "salt", "node", "n", "root", "sketch", "other", (F.col("salt") == F.col("own")).alias("mine"))
+        found = scratch.write(_across(open_.repartition("b", "salt").sortWithinPartitions("b", "salt"), least, most))
+        new = scratch.write(found.select("a", "b").join(verified, ["a", "b"], "left_anti"))
+        if not new.isEmpty():
+            links = links.unionAll(scratch.write(_jaccard_links(new, sets, least)))
+            verified = verified.unionAll(new)
+        if found.where("cut").isEmpty():
+            break
+        most *= 16
     roots = components(spark, links).distinct()
-    kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
-    kept = scratch.write(kept.select("best.__weft_k1", "best.__weft_k2"))
+    rooted = scratch.write(nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "best"))
+    kept = scratch.write(rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.__weft_k1", "best.__weft_k2"))
     # Equal rows have one key, by which the join has dealt them out.
     return keyed.join(kept, key, "left_semi").dropDuplicates(key).select(df.columns)
 

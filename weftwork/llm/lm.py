@@ -15,14 +15,16 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, Shared, append_columns, bytes_of, slices
+from .common import Scratch, Shared, append_columns, slices
 
 #: Words that the network predicts, words in one of their classes, and classes of the other words.
 HEAD, CLASS_WORDS, TAIL_CLASSES = 1024, 32, 32
@@ -48,8 +50,16 @@ END = b""
 LOG10 = math.log(10)
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return [*(text.lower().split() if text else ()), END]
+def word_codes(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of column text, the number of each word among them, text after text, and words of each text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column(batch.schema.get_field_index("text")), "")))
+    flat = lists.flatten()
+    some = pc.greater(pc.binary_length(flat), 0)
+    before = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)
+    sizes = np.diff(before[np.concatenate([[0], ends])])
+    coded = flat.filter(some).dictionary_encode()
+    return coded.dictionary.cast(pa.binary()), coded.indices.to_numpy().astype(np.int64), sizes
 
 
 def letter_pairs(words: list[bytes]) -> np.ndarray:
@@ -88,11 +98,12 @@ def count_words(docs: DataFrame) -> DataFrame:
         held: Counter = Counter()
         rows = lambda: pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
         for batch in slices(batches):
-            for text in bytes_of(batch, "text"):
-                held.update(tokens(text))
-                if len(held) > COUNT_FLUSH:
-                    yield rows()
-                    held.clear()
+            words, code, sizes = word_codes(batch)
+            held.update(dict(zip(words.to_pylist(), np.bincount(code, minlength=len(words)).tolist(), strict=True)))
+            held[END] += len(sizes)
+            if len(held) > COUNT_FLUSH:
+                yield rows()
+                held.clear()
         if held:
             yield rows()
 
@@ -114,13 +125,6 @@ def most_frequent(counts: DataFrame) -> tuple[list[bytes], list[int]]:
     return [words[i] for i in order], [c[i] for i in order]
 
 
-class Table(dict):
-    """Numbers of the broadcast words; -1 for others."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 class Vocabulary:
     """What scoring needs to know of words; its size is bounded by TABLE."""
 
@@ -146,17 +150,14 @@ class Vocabulary:
         """Takes the counts and numbers of all words outside the head, by class."""
         self.tail_n, self.tail_log = tail_n, np.log10(tail_n + tail_v + 1.0)
 
-    def table(self) -> Table:
-        return Table(zip(self.words, range(len(self.words)), strict=True))
+    def table(self) -> dict[bytes, int]:
+        return dict(zip(self.words, range(len(self.words)), strict=True))
 
     def units(self, index: np.ndarray, words: list[bytes]) -> np.ndarray:
-        """The network's units: a head word's own, or that of a class of other words."""
+        """The network's units of distinct words, -1 being the index of a rare one: a word's own, or its class's."""
         out = np.where(index < self.head, index, self.head + self.tail_class[np.maximum(index, 0)])
         rare = np.flatnonzero(index < 0)
-        if len(rare):
-            known: dict[bytes, int] = {}
-            of = [known.setdefault(words[i], len(known)) for i in rare.tolist()]
-            out[rare] = self.head + letter_classes(list(known), self.centres)[of]
+        out[rare] = self.head + letter_classes([words[i] for i in rare.tolist()], self.centres)
         return out
 
 
@@ -324,14 +325,19 @@ class Network:
         by = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
         sizes = np.array([len(docs[i]) for i in by])
         flat, start = np.concatenate([docs[i] for i in by]), np.cumsum(sizes) - sizes
-        h = np.zeros((STATE, len(docs)), np.float32)
+        h, held, n = np.zeros((STATE, len(docs)), np.float32), [], 0
+
+        def flush() -> None:
+            states, ys, of = (np.concatenate(x, axis=-1) for x in zip(*held, strict=True))
+            out[:] += np.bincount(of, self.output(states, ys)[0], len(docs))
+
         for at in range(0, int(sizes[0]), STEPS):
             k = int((sizes > at).sum())
             left = sizes[:k] - at
             steps = min(STEPS, int(left[0]))
             ys = flat[np.minimum(start[:k] + at + np.arange(steps)[:, None], len(flat) - 1)]
             before = np.concatenate([(np.zeros(k, ys.dtype) if at == 0 else flat[start[:k] + at - 1])[None], ys[:-1]])
-            # So many documents at once that their states stay small.
+            # So many documents at once that their states stay small; outputs wait until there are enough.
             width = max(1, SCORE_ROWS // steps)
             new = np.empty((STATE, k), np.float32)
             for i in range(0, k, width):
@@ -342,9 +348,14 @@ class Network:
                     now = states[:, t] = self.step(gate[:, t], now)[0]
                 new[:, some] = now
                 ok = np.flatnonzero(np.arange(steps)[:, None] < left[some])
-                logp, _ = self.output(np.take(states.reshape(STATE, -1), ok, axis=1), ys[:, some].ravel()[ok])
-                out += np.bincount(ok % gate.shape[2] + i, logp, len(docs))
+                held.append((np.take(states.reshape(STATE, -1), ok, axis=1), ys[:, some].ravel()[ok], ok % gate.shape[2] + i))
+                n += len(ok)
+                if n >= SCORE_ROWS:
+                    flush()
+                    held, n = [], 0
             h = new
+        if held:
+            flush()
         result = np.empty(len(docs))
         result[by] = out / LOG10
         return result
@@ -429,23 +440,27 @@ def score_documents(df: DataFrame, held_out: Column, id_col: str = "doc_id", tex
         v = vocabulary.value
         table = v.table()
         for batch in slices(batches):
-            units, rows, rare = [], [], []
-            for text in bytes_of(batch, "text"):
-                words = tokens(text)
-                index = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
-                u = v.units(index, words)
-                known = index >= 0
-                tail = u >= v.head
-                # A word of a class has its share there; what a rare word's count adds comes by the join.
-                inside = v.log_count[index[known & tail]].sum() - v.tail_log[u[tail] - v.head].sum()
-                found = (v.count[index[known]] > 0).sum()
-                rows.append((len(words), int(found), v.log_count[index[known]].sum(), inside))
-                rare.append(list(Counter([words[i] for i in np.flatnonzero(~known).tolist()]).items()))
-                units.append(u.astype(np.int16).tobytes())
-            n_tokens, n_known, base, inside = zip(*rows, strict=True)
-            sizes = np.cumsum([0, *map(len, rare)])
-            words = pa.StructArray.from_arrays([pa.array([w for r in rare for w, _ in r], pa.binary()), pa.array([c for r in rare for _, c in r], pa.int64())], names=["word", "tf"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(inside, pa.float64()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), words), pa.array(units, pa.binary())], names=["id", "held_out", "n_tokens", "n_known", "base", "inside", "rare", "units"])
+            dictionary, code, sizes = word_codes(batch)
+            words = dictionary.to_pylist()
+            index = np.fromiter(map(table.get, words, repeat(-1)), np.int64, len(words))
+            # The end token comes last here; it has number 0 in the vocabulary.
+            unit, index = np.append(v.units(index, words), 0), np.append(index, 0)
+            known, tail = index >= 0, unit >= v.head
+            log_count = np.where(known, v.log_count[index], 0)
+            # A word of a class has its share there; what a rare word's count adds comes by the join.
+            inside = np.where(tail, log_count - v.tail_log[np.maximum(unit - v.head, 0)], 0)
+            ends = np.cumsum(sizes + 1)
+            starts = ends - sizes - 1
+            full = np.full(int(ends[-1]), len(words))
+            full[np.delete(np.arange(len(full)), ends - 1)] = code
+            sums = lambda of, full=full, starts=starts: np.add.reduceat(of[full], starts)
+            at = np.flatnonzero(~known[full])
+            pair, tf = np.unique(np.searchsorted(ends, at, "right") * (len(words) + 1) + full[at], return_counts=True)
+            first = np.searchsorted(pair, np.arange(len(sizes) + 1) * (len(words) + 1))
+            rare = pa.StructArray.from_arrays([dictionary.take(pa.array(pair % (len(words) + 1))), pa.array(tf, pa.int64())], names=["word", "tf"])
+            units = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((2 * np.append(0, ends)).astype(np.int32)), pa.py_buffer(unit[full].astype(np.int16))])
+            found = sums((known & (v.count[index] > 0)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes + 1), pa.array(found), pa.array(sums(log_count)), pa.array(sums(inside)), pa.ListArray.from_arrays(pa.array(first, pa.int32()), rare), units], names=["id", "held_out", "n_tokens", "n_known", "base", "inside", "rare", "units"])
 
     made = docs.select("id", "held_out", "text").mapInArrow(units, f"id {dict(docs.dtypes)['id']}, held_out boolean, n_tokens long, n_known long, base double, inside double, rare array<struct<word:binary,tf:long>>, units binary")
     made = scratch.write(made.withColumn("key", F.monotonically_increasing_id()))

@@ -1,17 +1,22 @@
 """SentencePiece segmentation as a max-plus parallel scan, and its inverse.
 
-The segmentation is the path of pieces with the largest sum of the vocabulary's scores. A giant document is cut into
-chunks; a chunk's matrix holds, for each number of characters that a piece reaches in from the left and out to the
-right, the best score between. Matrices combine associatively under (max, +); the combined ones give each chunk its
-two boundary states, and each chunk is then segmented between them on its own.
+The segmentation is the path of pieces with the largest sum of weights. A giant document is cut into chunks; a chunk's
+matrix holds, for each number of characters that a piece reaches in from the left and out to the right, the best weight
+between. Matrices combine associatively under (max, +); the combined ones give the best weights at each chunk's start.
+From these each chunk tells on its own where the best path to each of its ends comes in, these maps are composed from
+the right, and each chunk is then segmented between its two boundary states.
+
+Weights are the scores of a unigram file. A file whose scores are ranks, as of the BPE kind, has no weights of its own;
+a piece of rank r then has the logarithm of Zipf's probability, in proportion to 1 / (r + 1).
 
 A character that is in no piece becomes its UTF-8 bytes, as does U+2581, which pieces use for a space; so decoding
-returns each text exactly. Defined results: a null text has null ids; an empty text has none; rows repeat as given. Of equally good paths the
-one with the longest last pieces is taken; where such paths cross a cut of a giant document, either may be.
+returns each text exactly. Defined results: a null text has null ids; an empty text has none; rows repeat as given. Of
+equally good paths the one with the longest last pieces is taken, in giant documents too.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections.abc import Iterator
@@ -19,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,16 +35,16 @@ from .common import Scratch, Shared, append_columns, texts_of
 GIANT_CHARS, CHUNK_CHARS = 32_768, 16_384
 #: Chunks whose matrices are combined in one group.
 GROUP = 64
-#: Chunks that a task segments at once.
-CHUNKS_AT_ONCE = 64
+#: Chunks that a task segments at once, and documents.
+CHUNKS_AT_ONCE, ROWS_AT_ONCE = 64, 512
 #: Words whose pieces a task keeps.
 WORD_CACHE = 200_000
 #: Words learned in one go, and the longest that are.
 LEARN_ROWS, LONG_WORD = 2048, 40
 #: Slots of a table of pieces, as a power of two; a vocabulary of millions of pieces needs more.
 TABLE_BITS = 20
-#: Scores are integers of this unit, so sums are exact in any order; below it a number by piece makes paths unique.
-UNIT = 1 << 24
+#: Weights are integers of this unit, so sums are exact in any order.
+UNIT = 1 << 30
 LOW = -(1 << 60)
 
 
@@ -73,6 +79,11 @@ class Vocabulary:
         self.piece: dict[str, tuple[int, int]] = {}
         self.byte_id = [0] * 256
         scores = [m.get_score(i) for i in range(m.get_piece_size())]
+        normal = [x for i, x in enumerate(scores) if x > -1e8 and not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
+        # Ranks are distinct whole numbers that leave few out.
+        if len(normal) > 1 and all(x <= 0 and x == int(x) for x in normal) and len(set(normal)) == len(normal) > -min(normal) / 2:
+            total = math.log(sum(1 / (1 - x) for x in normal))
+            scores = [-math.log(1 - x) - total if -1e8 < x <= 0 else x for x in scores]
         least = min((x for x in scores if x > -1e8), default=0.0)
         for i in range(m.get_piece_size()):
             # Marks for `never` count as twice the least score, so that sums over long texts stay in range.
@@ -84,7 +95,7 @@ class Vocabulary:
                 self.bytes.append(b"")
             else:
                 text = p.replace("▁", " ")
-                self.piece[text] = (round(score * UNIT) + i * 40503 % 16384, i)
+                self.piece[text] = (round(score * UNIT), i)
                 self.bytes.append(text.encode())
         self.longest = max(map(len, self.piece))
         # Hashes of the pieces in two tables by different bits; the last entry stands for none.
@@ -100,8 +111,11 @@ class Vocabulary:
         self.starts: dict[str, tuple[int, int] | None] = {p[:n]: None for p in self.piece for n in range(1, len(p))}
         self.starts |= self.piece
         self.fallback = round((least - 10) * UNIT)
-        # No piece goes on past a space, so the start of each run of spaces cuts every path.
-        self.cut = re.compile(r" *[^ ]+| +\Z") if not any(" " in p.lstrip(" ") for p in self.piece) else re.compile(r"(?s).+")
+        # No piece goes on past a space, so the start of each run of spaces cuts every path; so does a line's end if it
+        # is in no longer piece.
+        self.words = not any(" " in p.lstrip(" ") for p in self.piece)
+        self.lines = self.words and not any("\n" in p for p in self.piece if len(p) > 1)
+        self.cut = re.compile(r"\n| *[^ \n]+| +" if self.lines else r" *[^ ]+| +" if self.words else r"(?s).+")
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Numbers of the pieces with these hashes, the last number where there is none."""
@@ -163,7 +177,7 @@ class Encoder:
         for w in words:
             by.setdefault(len(w), []).append(w)
         for n, group in by.items():
-            if n > LONG_WORD:
+            if n == 0 or n > LONG_WORD:
                 self.words |= {w: self.best(w)[1] for w in group}
                 continue
             for at in range(0, len(group), LEARN_ROWS):
@@ -212,14 +226,60 @@ class Encoder:
     def ids_of(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts, each between forced cuts or boundary states."""
         split = [self.v.cut.findall(t) for t in texts]
-        needed = {w for words in split for w in words}
-        missing = needed - self.words.keys()
+        needed = list({w for words in split for w in words})
+        get = dict(zip(needed, self._ids_of_words(needed), strict=True)).__getitem__
+        return [np.frombuffer(b"".join(map(get, words)), np.int32) for words in split]
+
+    def _ids_of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words as 32-bit integers."""
+        missing = [w for w in words if w not in self.words]
         if len(self.words) + len(missing) > WORD_CACHE:
             self.words.clear()
-            missing = needed
-        self.learn(list(missing))
-        get = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), np.int32) for words in split]
+            missing = words
+        self.learn(missing)
+        return list(map(self.words.__getitem__, words))
+
+    def ids_of_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column, one after another, and how many each has. Words are looked up once each."""
+        texts = pc.fill_null(column, "")
+        if not self.v.words:
+            parts = self.ids_of([" " + t if t else t for t in texts.to_pylist()])
+            return np.concatenate([np.zeros(0, np.int32), *parts]), np.array([len(x) for x in parts], np.int64)
+        n_docs = len(texts)
+        lines = pc.split_pattern(texts, "\n") if self.v.lines else pa.ListArray.from_arrays(pa.array(range(n_docs + 1), pa.int32()), texts)
+        n_lines = pc.list_value_length(lines).to_numpy().astype(np.int64)
+        split = pc.split_pattern(lines.flatten(), " ")
+        parts, n_parts = split.flatten(), pc.list_value_length(split).to_numpy().astype(np.int64)
+        begin = np.cumsum(n_parts) - n_parts
+        doc_of_line = np.repeat(np.arange(n_docs), n_lines)
+        first_line = np.zeros(len(n_parts), bool)
+        first_line[np.cumsum(n_lines) - n_lines] = True
+        # A part has the space before it, but for what begins a later line.
+        spaced, last = np.ones(len(parts), bool), np.zeros(len(parts), bool)
+        spaced[begin[~first_line]] = False
+        last[begin + n_parts - 1] = True
+        empty = pc.binary_length(parts).to_numpy() == 0
+        line_of, doc_of = np.repeat(np.arange(len(n_parts)), n_parts), np.repeat(doc_of_line, n_parts)
+        coded = pc.binary_join_element_wise(pc.if_else(pa.array(spaced), " ", ""), parts, "").dictionary_encode()
+        words = [*coded.dictionary.to_pylist(), "\n"]
+        # Between two lines of a document stands the line's end as a word.
+        full = np.full(len(parts) + len(n_parts) - n_docs, len(words) - 1)
+        full[np.arange(len(parts)) + line_of - doc_of] = coded.indices.to_numpy()
+        blobs = self._ids_of_words(words)
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        at = np.cumsum(size) - size
+        sizes = size[full]
+        source = np.repeat(at[full] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        ids = np.frombuffer(b"".join(blobs), np.int32)[source]
+        n_words = np.bincount(doc_of, minlength=n_docs) + n_lines - 1
+        counts = np.add.reduceat(sizes, np.cumsum(n_words) - n_words) if n_docs else np.zeros(0, np.int64)
+        # Runs of several spaces are one word with what follows; such documents go by the rule of cuts, empty ones have none.
+        odd = np.unique(np.concatenate([doc_of[spaced & empty & ~last], np.flatnonzero(pc.binary_length(texts).to_numpy() == 0)]))
+        if len(odd):
+            own = dict(zip(odd.tolist(), self.ids_of([" " + t if t else t for t in texts.take(pa.array(odd)).to_pylist()]), strict=True))
+            pieces = [own.get(i, x) for i, x in enumerate(np.split(ids, np.cumsum(counts)[:-1]))]
+            ids, counts = np.concatenate(pieces), np.array([len(x) for x in pieces], np.int64)
+        return ids, counts
 
     def weight(self, word: str) -> int:
         found = self.weights.get(word)
@@ -260,6 +320,37 @@ class Encoder:
         return out
 
 
+    def comes_in(self, text: str, right: str, start: np.ndarray) -> list[int]:
+        """For each number of characters taken on a chunk's right, that on its left on the best path there.
+
+        start has the best weights of paths up to the chunk, by characters taken; of equal ones the longest last pieces win.
+        """
+        size, whole, n = self.v.longest, text + right, len(text)
+        inner = next((m.start() for m in self.v.cut.finditer(whole) if size <= m.start() <= n), None)
+        # All paths pass a cut.
+        end, whole = (n, whole) if inner is None else (inner, whole[:inner])
+        total: list = [None] * (len(whole) + size + 1)
+        came = [-1] * len(total)
+        for i, x in enumerate(start.tolist()):
+            if x > LOW // 2:
+                total[i] = x
+        for p in range(end):
+            if total[p] is not None:
+                for length, weight in self.edges(whole, p):
+                    x = total[p] + weight
+                    if total[p + length] is None or x > total[p + length]:
+                        total[p + length], came[p + length] = x, p
+
+        def entry(p: int) -> int:
+            while came[p] >= 0:
+                p = came[p]
+            return p
+
+        if inner is not None:
+            return [entry(end)] * size
+        return [entry(end + o) if end + o <= len(whole) and total[end + o] is not None else 0 for o in range(size)]
+
+
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Max-plus product, less its largest entry so that sums of any length stay in range."""
     out = np.maximum((a[:, :, None] + b[None, :, :]).max(axis=1), LOW)
@@ -267,20 +358,12 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(out > LOW // 2, out - top, LOW)
 
 
-def _states(matrices: list[np.ndarray], entry: int, exit_: int) -> list[int]:
-    """Boundary states before, between and after the matrices, on the best path from entry to exit."""
-    reach = [np.full(matrices[0].shape[0], LOW, np.int64)]
-    reach[0][entry] = 0
-    for m in matrices:
-        reach.append(times(reach[-1][None, :], m)[0])
-    out = [exit_]
-    for m, r in zip(reversed(matrices), reversed(reach[:-1]), strict=True):
-        out.append(int((r + m[:, out[-1]]).argmax()))
-    return out[::-1]
-
-
 def _giant_states(chunks: DataFrame, vocabulary) -> DataFrame:
-    """(key, chunk, entry, exit) of all chunks: products of groups, a pass over these, and a pass within each group."""
+    """(key, chunk, entry, exit) of all chunks.
+
+    Weights go from left to right over products of groups, then within each group; maps of ends to starts go back likewise.
+    """
+    size = vocabulary.value.longest
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary.value)
@@ -288,8 +371,6 @@ def _giant_states(chunks: DataFrame, vocabulary) -> DataFrame:
             made = [encoder.matrix(t, r).tobytes() for t, r in zip(texts_of(batch, "text"), texts_of(batch, "right"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["key", "chunk", "m"])
 
-    size = vocabulary.value.longest
-
     def square(b: bytes) -> np.ndarray:
         return np.frombuffer(b, np.int64).reshape(size, size)
 
@@ -299,21 +380,54 @@ def _giant_states(chunks: DataFrame, vocabulary) -> DataFrame:
             out = square(b) if out is None else times(out, square(b))
         return pd.DataFrame({"key": [pdf.key.iloc[0]], "group": [pdf.group.iloc[0]], "p": [out.tobytes()]})
 
+    def along(start: np.ndarray, steps: list[bytes]) -> list[bytes]:
+        """Weights before each step."""
+        out = []
+        for b in steps:
+            out.append(start.tobytes())
+            start = times(start[None, :], square(b))[0]
+        return out
+
     def outer(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("group")
-        s = _states([square(b) for b in pdf.p], 0, 0)
-        return pd.DataFrame({"key": pdf.key, "group": pdf.group, "entry": s[:-1], "exit": s[1:]})
+        first = np.full(size, LOW, np.int64)
+        first[0] = 0
+        return pd.DataFrame({"key": pdf.key, "group": pdf.group, "first": along(first, list(pdf.p))})
 
     def inner(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
-        s = _states([square(b) for b in pdf.m], int(pdf.entry.iloc[0]), int(pdf.exit.iloc[0]))
-        return pd.DataFrame({"key": pdf.key, "chunk": pdf.chunk, "entry": s[:-1], "exit": s[1:]})
+        return pd.DataFrame({"key": pdf.key, "chunk": pdf.chunk, "start": along(np.frombuffer(pdf["first"].iloc[0], np.int64), list(pdf.m))})
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(vocabulary.value)
+        for batch in batches:
+            made = [encoder.comes_in(t, r, np.frombuffer(x, np.int64)) for t, r, x in zip(*(batch.column(k).to_pylist() for k in range(2, 5)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.int32()))], names=["key", "chunk", "back"])
+
+    def composed(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.arange(size)
+        for b in pdf.sort_values("chunk", ascending=False).back:
+            out = np.asarray(b)[out]
+        return pd.DataFrame({"key": [pdf.key.iloc[0]], "group": [pdf.group.iloc[0]], "back": [out.astype(np.int32)]})
+
+    def back(pdf: pd.DataFrame, by: str, last: int) -> pd.DataFrame:
+        pdf = pdf.sort_values(by, ascending=False)
+        ends = [last]
+        for b in pdf.back:
+            ends.append(int(b[ends[-1]]))
+        return pd.DataFrame({"key": pdf.key, by: pdf[by], "entry": ends[1:], "exit": ends[:-1]})
 
     scratch = Scratch(chunks.sparkSession, "scan")
-    made = scratch.write(chunks.select("key", "chunk", "text", "right").mapInArrow(matrices, "key long, chunk int, m binary").withColumn("group", (F.col("chunk") / GROUP).cast("int")))
+    group = (F.col("chunk") / GROUP).cast("int")
+    made = scratch.write(chunks.select("key", "chunk", "text", "right").mapInArrow(matrices, "key long, chunk int, m binary").withColumn("group", group))
     products = made.groupBy("key", "group").applyInPandas(product, "key long, group int, p binary")
-    bounds = products.groupBy("key").applyInPandas(outer, "key long, group int, entry int, exit int")
-    return made.join(bounds, ["key", "group"]).groupBy("key", "group").applyInPandas(inner, "key long, chunk int, entry int, exit int")
+    firsts = products.groupBy("key").applyInPandas(outer, "key long, group int, first binary")
+    starts = made.join(firsts, ["key", "group"]).groupBy("key", "group").applyInPandas(inner, "key long, chunk int, start binary")
+    maps = chunks.join(starts, ["key", "chunk"]).select("key", "chunk", "text", "right", "start").mapInArrow(entries, "key long, chunk int, back array<int>")
+    maps = scratch.write(maps.withColumn("group", group))
+    of_groups = maps.groupBy("key", "group").applyInPandas(composed, "key long, group int, back array<int>")
+    ends = of_groups.groupBy("key").applyInPandas(lambda pdf: back(pdf, "group", 0), "key long, group int, entry int, exit int").select("key", "group", F.col("exit").alias("end"))
+    return maps.join(ends, ["key", "group"]).groupBy("key", "group").applyInPandas(lambda pdf: back(pdf, "chunk", int(pdf.end.iloc[0])), "key long, chunk int, entry int, exit int")
 
 
 def _cut(batches: Iterator[pa.RecordBatch], text_col: str, longest: int) -> Iterator[pa.RecordBatch]:
@@ -336,17 +450,14 @@ def encode(df: DataFrame, model_file: str, text_col: str = "text", giant_chars:
         encoder = Encoder(vocabulary.value)
 
         def run(batch: pa.RecordBatch) -> list[pa.Array]:
-            texts = texts_of(batch, text_col)
-            made = iter(encoder.ids_of([" " + t for t in texts if t]))
-            parts = [None if t is None else next(made) if t else np.zeros(0, np.int32) for t in texts]
-            ends = np.cumsum([0, *(0 if p is None else len(p) for p in parts)])
-            flat = np.concatenate([np.zeros(0, np.int32), *(p for p in parts if p is not None)])
-            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array([p is None for p in parts]))]
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            ids, counts = encoder.ids_of_column(texts)
+            return [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids), mask=texts.is_null())]
 
         return run
 
     is_giant = F.coalesce(F.length(text_col) > giant_chars, F.lit(False))
-    small = append_columns(df.where(~is_giant), [ids], make)
+    small = append_columns(df.where(~is_giant), [ids], make, ROWS_AT_ONCE)
     scratch = Scratch(spark, "encode")
     giant = scratch.write(df.drop("ids").where(is_giant).withColumn("__weft_key", F.monotonically_increasing_id()))
     if giant.isEmpty():
@@ -373,17 +484,19 @@ def decode(df: DataFrame, model_file: str, ids_col: str = "ids", name: str = "de
     vocabulary = Shared(df.sparkSession, Vocabulary(model_file))
 
     def make():
-        table = vocabulary.value.bytes
+        table = pa.array(vocabulary.value.bytes, pa.binary())
 
         def run(batch: pa.RecordBatch) -> list[pa.Array]:
             column = batch.column(batch.schema.get_field_index(ids_col))
-            ids, ends = column.flatten().to_numpy(), np.cumsum(column.value_lengths().fill_null(0).to_numpy())
-            out, at = [], 0
-            for end, ok in zip(ends.tolist(), column.is_valid().to_pylist(), strict=True):
-                out.append(b"".join(map(table.__getitem__, ids[at:end].tolist()))[1:] if ok else None)
-                at = end
-            return [pa.array(out, pa.binary()).cast(pa.string())]
+            found = table.take(column.flatten())
+            ends = np.append(0, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+            # The pieces lie one after another, so a text is a stretch of their bytes; its first is the space put before it.
+            _, offsets, data = found.buffers()
+            at = np.frombuffer(offsets, np.int32)[found.offset : found.offset + len(found) + 1][ends].tolist()
+            data = memoryview(data or b"")
+            texts = [data[s + 1 : e].tobytes() if ok else None for s, e, ok in zip(at, at[1:], column.is_valid().to_pylist(), strict=False)]
+            return [pa.array(texts, pa.binary()).cast(pa.string())]
 
         return run
 
-    return append_columns(df, [T.StructField(name, T.StringType())], make)
+    return append_columns(df, [T.StructField(name, T.StringType())], make, ROWS_AT_ONCE)

@@ -2,11 +2,11 @@
 
 from collections import Counter
 
-import numpy as np
 import pyarrow.parquet as pq
 import sentencepiece
 from pyspark.sql import functions as F
-from test_text_operators import brute_components, brute_dedup, brute_fingerprint, distance
+from test_near_copies import brute as one_of_near_copies
+from test_text_operators import brute_dedup, distance
 
 import corpus_pipeline
 from weftwork.llm import langid, registry
@@ -42,20 +42,24 @@ def brute(rows, items):
             least = min(sum(abs(p[g] - r) if g in p else langid.TOP for g, r in mine.items()) for p in profiles.values())
             if 1 - least / (langid.TOP * len(mine)) >= corpus_pipeline.MIN_LANGUAGE_SCORE:
                 kept.append((i, t))
-    of = brute_components([i for i, _ in kept], np.array([brute_fingerprint(t, 5) for _, t in kept], np.uint64), 4)
-    kept = list(dict.fromkeys((i, t) for (i, t), c in zip(kept, of, strict=True) if i == c))
+    kept = list(dict.fromkeys(one_of_near_copies(kept)))
     out = [(i, t if not gone else new) for i, t, n, gone, new in brute_dedup(kept) if gone == 0 or gone < n]
-    plain = lambda t: " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
-    items = [plain(x) for x in items]
-    shingles = [{x[j : j + 5] for j in range(len(x) - 4)} for x in items]
+    return {i: t for i, t in out if not leaks(t, items)}
 
-    def leaked(t):
-        p = plain(t)
-        have = {p[j : j + 5] for j in range(len(p) - 4)}
-        # An edit spoils at most five of an item's 5-grams; only items with the rest are worth the full distance.
-        return any(len(s - have) <= 5 * int(0.07 * len(x)) and distance(x, p) <= int(0.07 * len(x)) for x, s in zip(items, shingles, strict=True))
 
-    return {i: t for i, t in out if not leaked(t)}
+def leaks(t, items):
+    """Ids of the items (id, text) that lie in a text, edits allowed for."""
+    plain = lambda t: " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
+    p = plain(t)
+    have = {p[j : j + 5] for j in range(len(p) - 4)}
+    out = set()
+    for i, x in items:
+        x = plain(x)
+        shingles = {x[j : j + 5] for j in range(len(x) - 4)}
+        # An edit spoils at most five of an item's 5-grams; only items with the rest are worth the full distance.
+        if len(shingles - have) <= 5 * int(0.07 * len(x)) and distance(x, p) <= int(0.07 * len(x)):
+            out.add(i)
+    return out
 
 
 def test_pipeline_matches_plain_stages(spark, tmp_path):
@@ -66,7 +70,7 @@ def test_pipeline_matches_plain_stages(spark, tmp_path):
     spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(str(tmp_path / "documents.parquet")).collect()]
-    want = brute(rows, pq.read_table(f"{DATA}/benchmark.parquet").column("text").to_pylist())
+    want = brute(rows, [(r["item_id"], r["text"]) for r in pq.read_table(f"{DATA}/benchmark.parquet").to_pylist()])
     assert {r.doc_id: r.text for r in got} == want and len(got) == len(want)
     assert all(r.round_trip and r.n_tokens == len(r.ids) for r in got)
     model = sentencepiece.SentencePieceProcessor(model_file=registry.MODEL_FILE)

@@ -211,6 +211,13 @@ def test_decontamination(spark, monkeypatch):
     assert any(len(x) for x in want.values())
 
 
+def test_short_items_are_reported_apart(spark):
+    bench = spark.createDataFrame([(1, "Paris"), (2, "a b!"), (3, "?"), (None, "x"), (4, "漢字")], "item_id long, text string")
+    rows = [(1, "In paris, A: B"), (2, "Parisian a bc"), (3, "x"), (4, "漢字 x 漢字"), (5, None)]
+    got = {r.doc_id: (r.matches, [(m.item_id, m.start, m.end) for m in r.short_matches]) for r in decontam.find_contamination(docs(spark, rows), bench).collect()}
+    assert got == {1: ([], [(1, 3, 8), (2, 9, 12)]), 2: ([], []), 3: ([], [(None, 0, 1)]), 4: ([], [(4, 0, 2), (None, 3, 4), (4, 5, 7)]), 5: ([], [])}
+
+
 # op7
 
 
@@ -373,6 +380,15 @@ def test_quality_edges(spark):
     assert got[0].kept_text is None and quality.quality_rules(df.limit(0)).count() == 0
 
 
+def test_many_frequent_lines_meet_their_rows_in_a_join(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    df = df.unionAll(spark.createDataFrame([(900 + i, "One line\nTwo lines \n" + "x" * i, None, None if i % 2 else "s", 0) for i in range(40)], df.schema)).withColumn("h", F.lit("clash"))
+    few = quality.quality_rules(df).collect()
+    monkeypatch.setattr(quality, "LIST_LINES", 0)
+    assert sorted(map(repr, quality.quality_rules(df).collect())) == sorted(map(repr, few))
+    assert sum(r.n_lines_removed for r in few) >= 80
+
+
 def test_depleted_documents_are_rejected(spark):
     unique = lambda i, n: " ".join(f"w{i}k{j}" for j in range(n))
     boiler = " ".join(f"b{j}" for j in range(60))

@@ -4,8 +4,9 @@ An item of m characters may differ by k = floor(rate * m) edits. Cut into k + 1
 unedited, so exact hits of pieces find all candidates; each is verified by Myers' bit-parallel distance.
 
 Texts are compared in lower case, with every run of other than letters, marks and digits as one space. Defined
-results: null and empty texts match nothing; null items and items under MIN_ITEM_CHARS after this are not searched;
-repeated items are each reported; repeated documents are each answered.
+results: null and empty texts match nothing; null items and items without a letter or digit are in no text; items under
+MIN_ITEM_CHARS after this occur by chance, so they are searched for as whole words and reported apart; repeated items
+are each reported; repeated documents are each answered.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .common import Scratch, append_columns, texts_of
 
 #: Edits allowed as a share of an item's characters.
 MAX_ERROR_RATE = 0.07
-#: Shorter items would match by chance.
+#: Shorter items occur by chance and are reported apart.
 MIN_ITEM_CHARS = 20
 #: Characters of items in one block: what is searched for, and broadcast, at once.
 BLOCK_CHARS = 2_000_000
@@ -66,7 +67,7 @@ def pieces(m: int, k: int) -> list[tuple[int, int]]:
 
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
-        self.items = [(i, t, int(rate * len(t))) for i, t in items]
+        self.items = [(i, t, int(rate * len(t)) if len(t) >= MIN_ITEM_CHARS else 0) for i, t in items]
         where: dict[str, list[tuple[int, int]]] = {}
         for n, (_, t, k) in enumerate(self.items):
             for s, e in pieces(len(t), k):
@@ -77,17 +78,22 @@ class Matcher:
         if where:
             self.automaton.make_automaton()
 
-    def find(self, text: str | None) -> list[dict]:
+    def find(self, text: str | None) -> tuple[list[dict], list[dict]]:
+        """Matches of items, and of short ones."""
         if not text or not len(self.automaton):
-            return []
+            return [], []
         starts: dict[int, set[int]] = {}
         for last, at in self.automaton.iter(text):
             for n, e in at:
                 starts.setdefault(n, set()).add(last + 1 - e)
-        out = []
+        out, short = [], []
         for n, found in starts.items():
             item, pattern, k = self.items[n]
             m, done = len(pattern), -1
+            if m < MIN_ITEM_CHARS:
+                whole = [s for s in found if (s == 0 or text[s - 1] == " ") and (s + m == len(text) or text[s + m] == " ")]
+                short += [{"item_id": item, "start": s, "end": s + m, "distance": 0} for s in whole]
+                continue
             # Overlapping windows of one item are searched as one; its best place is reported.
             spans: list[list[int]] = []
             for s in sorted(found):
@@ -107,12 +113,13 @@ class Matcher:
                     start = end - (m if distance == 0 else myers(pattern[::-1], back, k)[1])
                     out.append({"item_id": item, "start": start, "end": end, "distance": distance})
                     done = end
-        return sorted(out, key=lambda x: (x["start"], x["end"], x["item_id"]))
+        order = lambda x: (x["start"], x["end"], x["item_id"] is not None, x["item_id"])
+        return sorted(out, key=order), sorted(short, key=order)
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     block, chars = [], 0
-    for r in benchmark.select(F.col(id_col).cast("long").alias("i"), normal(text_col).alias("t")).where(F.length("t") >= MIN_ITEM_CHARS).orderBy("i", "t").toLocalIterator():
+    for r in benchmark.select(F.col(id_col).cast("long").alias("i"), normal(text_col).alias("t")).where("t <> ''").orderBy("i", "t").toLocalIterator():
         block.append((r.i, r.t))
         chars += len(r.t)
         if chars >= BLOCK_CHARS:
@@ -122,28 +129,34 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
         yield block
 
 
-def _with_block(df: DataFrame, block: list[tuple[int, str]], rate: float, name: str) -> DataFrame:
+def _with_block(df: DataFrame, block: list[tuple[int, str]], rate: float, names: list[str]) -> DataFrame:
     items = df.sparkSession.sparkContext.broadcast(block)
 
     def make():
         matcher = Matcher(items.value, rate)
-        return lambda batch: [pa.array([matcher.find(t) for t in texts_of(batch, "__weft_normal")], ARROW_MATCHES)]
 
-    return append_columns(df, [T.StructField(name, MATCHES)], make)
+        def run(batch: pa.RecordBatch) -> list[pa.Array]:
+            found = [matcher.find(t) for t in texts_of(batch, "__weft_normal")]
+            return [pa.array([f[i] for f in found], ARROW_MATCHES) for i in range(2)]
+
+        return run
+
+    return append_columns(df, [T.StructField(name, MATCHES) for name in names], make)
 
 
 def find_contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = MAX_ERROR_RATE) -> DataFrame:
-    """df with matches: items found, with their span in the normalised text and their distance.
+    """df with matches: items found, with their span in the normalised text and their distance; and short_matches.
 
     One pass over df for each block of the benchmark; the documents are not shuffled. With several blocks each
     pass is written, so that a task holds one block at a time.
     """
+    names, more = ["matches", "short_matches"], ["__weft_more", "__weft_more_short"]
     blocks = _blocks(benchmark, item_id, item_text)
     first = next(blocks, [])
-    out = _with_block(df.withColumn("__weft_normal", normal(text_col)), first, rate, "matches")
+    out = _with_block(df.withColumn("__weft_normal", normal(text_col)), first, rate, names)
     scratch = None
     for block in blocks:
         scratch = scratch or Scratch(df.sparkSession, "decontam")
         was = scratch.write(out)
-        out = _with_block(was, block, rate, "__weft_more").withColumn("matches", F.concat("matches", "__weft_more")).drop("__weft_more")
+        out = _with_block(was, block, rate, more).withColumns({a: F.concat(a, b) for a, b in zip(names, more, strict=True)}).drop(*more)
     return out.drop("__weft_normal")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bind, broadcast_if_small
+from .common import BROADCAST_ROWS, Scratch, bind
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: A line goes if over this share of its host's documents hold it, and at least so many do.
@@ -21,6 +21,8 @@ MAX_SHARE, MIN_DOCS = 0.1, 10
 MAX_REMOVED = 70
 #: Rules on words: fewer than MIN_WORDS, or over MAX_REPEATED per cent in repeated windows, fails.
 MIN_WORDS, MAX_REPEATED, WINDOW = 20, 30, 8
+#: The most frequent lines of one host that its documents may be searched for as a list.
+LIST_LINES = 256
 
 
 def words(text: Column) -> Column:
@@ -70,27 +72,48 @@ def base(text: Column) -> Column:
     )
 
 
+def line_hashes(text: Column) -> Column:
+    """Hashes of the distinct normalised lines."""
+    return F.array_distinct(F.transform(lines(F.coalesce(text, F.lit(""))), lambda x: F.xxhash64(normal_line(x))))
+
+
 def frequent_lines(df: DataFrame, host_col: str, text_col: str, max_share: float, min_docs: int) -> DataFrame:
-    """(_host, _common): hashes of the lines above the limit of each host that has any.
+    """(__weft_host, h): hashes of the lines above the limit of their host.
 
     A line counts once in a document. Counts combine in the tasks before the shuffle, so neither a hot host nor a
     hot line makes a large group. A host has at most 1 / max_share times a document's mean number of lines.
     """
-    docs = df.select(F.col(host_col).alias("__weft_host"), F.array_distinct(F.transform(lines(F.coalesce(F.col(text_col), F.lit(""))), lambda x: F.xxhash64(normal_line(x)))).alias("hashes"))
+    docs = df.select(F.col(host_col).alias("__weft_host"), line_hashes(F.col(text_col)).alias("hashes"))
     hosts = df.groupBy(F.col(host_col).alias("__weft_of")).agg(F.count("*").alias("docs"))
     counts = docs.select("__weft_host", F.explode("hashes").alias("h")).groupBy("__weft_host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    over = counts.join(hosts, F.col("__weft_host").eqNullSafe(F.col("__weft_of"))).where(F.col("n") > max_share * F.col("docs"))
-    return over.groupBy("__weft_host").agg(F.sort_array(F.collect_list("h")).alias("__weft_common"))
+    return counts.join(hosts, F.col("__weft_host").eqNullSafe(F.col("__weft_of"))).where(F.col("n") > max_share * F.col("docs")).select("__weft_host", "h")
+
+
+def with_common(df: DataFrame, common: DataFrame, host_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """df with __weft_common, a list in which each frequent line of the row is; null if there is none.
+
+    Short lists of few hosts are broadcast, as their number and length are counted first. Otherwise lines meet the
+    frequent ones in a join by host and line, and each row gets its own.
+    """
+    total, longest = common.groupBy("__weft_host").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if total <= BROADCAST_ROWS and longest <= LIST_LINES:
+        lists = common.groupBy("__weft_host").agg(F.sort_array(F.collect_list("h")).alias("__weft_common"))
+        return df.join(F.broadcast(lists), F.col(host_col).eqNullSafe(F.col("__weft_host")), "left").drop("__weft_host")
+    rows = scratch.write(df.withColumn("__weft_row", F.monotonically_increasing_id()))
+    own = rows.select("__weft_row", F.col(host_col).alias("__weft_of"), F.explode(line_hashes(F.col(text_col))).alias("own"))
+    met = own.join(common, (F.col("own") == F.col("h")) & F.col("__weft_of").eqNullSafe(F.col("__weft_host")))
+    return rows.join(met.groupBy("__weft_row").agg(F.collect_list("h").alias("__weft_common")), "__weft_row", "left").drop("__weft_row")
 
 
 def quality_rules(df: DataFrame, text_col: str = "text", host_col: str = "source", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
     """df with the measures, base_failed, n_lines_removed, kept_text (text without frequent lines) and kept.
 
-    The texts are read twice and never shuffled unless there are very many hosts with frequent lines.
+    The texts are read twice and never shuffled unless there are very many frequent lines.
     """
-    common = broadcast_if_small(Scratch(df.sparkSession, "quality").write(frequent_lines(df, host_col, text_col, max_share, min_docs)))
+    scratch = Scratch(df.sparkSession, "quality")
+    common = scratch.write(frequent_lines(df, host_col, text_col, max_share, min_docs))
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines_removed", "kept_text", "kept"]
-    joined = df.drop(*new).join(common, F.col(host_col).eqNullSafe(F.col("__weft_host")), "left").drop("__weft_host")
+    joined = with_common(df.drop(*new), common, host_col, text_col, scratch)
     t = F.coalesce(F.col(text_col), F.lit(""))
     hit = lambda x: F.array_contains("__weft_common", F.xxhash64(normal_line(x)))
     sized = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, x: n + F.length(normal_line(x)))

@@ -1,12 +1,13 @@
 """WARC archives: writing captures, reading records, and assembling transactions.
 
-Archives are ordinary .warc.gz files, written and read by Spark's text source with the blank line as separator, so
-any store that Spark reaches will do and a task holds one record at a time. A reader joins the pieces again by
+Archives are gzip files of WARC records, written and read by Spark's text source with the blank line as separator, so
+any store that Spark reaches will do and a task holds one record at a time. A file is one gzip member with the name that
+Spark gives it: it reads from its start, and nothing can seek to a record within. A reader joins the pieces again by
 Content-Length, so payloads may hold blank lines or whole records.
 
 Defined results: a null payload is empty; a null page id is written as none and read as null, and is less than any
-other; pages that repeat in id, address and payload are one capture, since they have one record id; what is not a
-record is returned with type `invalid`, a record cut off by the end of a file with truncated true.
+other; each row is a capture, also where rows repeat; of equal payloads all rows with the largest page id are responses;
+what is not a record is returned with type `invalid`, a record cut off by the end of a file with truncated true.
 """
 
 from __future__ import annotations
@@ -50,17 +51,25 @@ def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """Writes a response or revisit, a request and a metadata record for each page, beside each other.
 
     Of equal payloads of least_bytes or more, the page with the largest id (then address) keeps the payload. Payloads
-    are digested where they are read; only ids of payloads that repeat are joined.
+    are digested where they are read; only ids of payloads that repeat are joined. Only if rows repeat in all that names
+    a record, the pages are written once with a mark for each.
     """
     scratch = Scratch(pages.sparkSession, "warc-write")
     clean = F.regexp_replace(F.regexp_replace(F.col(url_col), "\r", "%0D"), "\n", "%0A")
     df = pages.select(F.col(id_col).cast("long").alias("id"), clean.alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload")).withColumn("digest", base32_sha1(F.col("payload")))
-    top = df.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.max(F.struct("id", "url")).alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
-    df = df.join(broadcast_if_small(scratch.write(top)), "digest", "left")
-    me = F.struct("id", "url")
-    revisit = F.col("top").isNotNull() & ~F.col("top").eqNullSafe(me)
-    main = _urn("main", F.col("id"), F.col("url"), F.col("digest"))
-    first = _urn("main", F.col("top.id"), F.col("top.url"), F.col("digest"))
+    enough = F.octet_length("payload") >= least_bytes
+    once = df.groupBy("digest", "id", "url", enough.alias("enough")).agg(F.count("*").alias("n"))
+    found = once.groupBy("digest").agg(F.max(F.struct("id", "url", F.lit(0).cast("long").alias("mark"))).alias("top"), F.sum("n").alias("n"), F.max("n").alias("same"), F.max("enough").alias("enough"))
+    found = scratch.write(found.where("n > 1"))
+    if found.where("same > 1").isEmpty():
+        df = df.withColumn("mark", F.lit(0).cast("long"))
+    else:
+        df = scratch.write(df.withColumn("mark", F.monotonically_increasing_id()))
+        found = scratch.write(df.groupBy("digest").agg(F.max(F.struct("id", "url", "mark")).alias("top"), F.count("*").alias("n"), F.max(enough).alias("enough")).where("n > 1"))
+    df = df.join(broadcast_if_small(found.where("enough").select("digest", "top")), "digest", "left")
+    revisit = F.col("top").isNotNull() & ~F.col("top.id").eqNullSafe(F.col("id"))
+    main = _urn("main", F.col("id"), F.col("url"), F.col("digest"), F.col("mark"))
+    first = _urn("main", F.col("top.id"), F.col("top.url"), F.col("digest"), F.col("top.mark"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit(SEPARATOR))
     url, digest = F.col("url"), F.concat(F.lit("sha1:"), F.col("digest"))
     host, target = F.regexp_extract(F.coalesce(url, F.lit("")), r"^\w+://([^/?#]*)", 1), F.regexp_extract(F.coalesce(url, F.lit("")), r"^\w+://[^/?#]*([^#]*)", 1)

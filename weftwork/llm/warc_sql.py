@@ -10,7 +10,7 @@ with p as (
 )
 select page_id, payload_bytes,
   array_to_string(list_transform(v, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x::int + 1, 1)), '') as payload_digest,
-  case when page_id = last then 'response' else 'revisit' end as record_type,
-  case when page_id = last then null else last end as refers_to
+  case when page_id is not distinct from last then 'response' else 'revisit' end as record_type,
+  case when page_id is not distinct from last then null else last end as refers_to
 from bits
 """

@@ -127,3 +127,16 @@ def test_empty_tables_and_clashing_columns(spark, tables, tmp_path, name):
         assert wide.count() == spark.read.parquet(f"{tmp_path}/wide/conversations.parquet").select("conv_id").distinct().count() + 1
     else:
         assert wide.count() == spark.read.parquet(f"{tmp_path}/wide/{table}.parquet").count()
+
+
+def test_scratch_is_cleared(spark, tables):
+    from pathlib import Path
+
+    from weftwork.llm import common
+
+    out = registry.op4_substring_dedup(spark, tables[0]).collect()
+    assert out and any(Path(f.removeprefix("file://")).exists() for f in common._FOLDERS)
+    made = list(common._FOLDERS)
+    common.clear_scratch(spark)
+    assert not any(Path(f.removeprefix("file://")).exists() for f in made)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("weft_")]

@@ -33,11 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Folders and tables made by this process, for clear_scratch().
+_FOLDERS: list[str] = []
+_TABLES: list[str] = []
+
+
 class Scratch:
-    """Written tables in the shared folder. They cut lineage, outlive executors and are read by column."""
+    """Written tables in the shared folder. They cut lineage, outlive executors and are read by column.
+
+    Results may read them, so they stay until clear_scratch() is called.
+    """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        _FOLDERS.append(self.root)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -51,6 +60,7 @@ class Scratch:
         """Writes a table bucketed by key, whose groups by key need no shuffle later on."""
         self.n += 1
         path, name = f"{self.root}/{self.n}", f"weft_{uuid.uuid4().hex}"
+        _TABLES.append(name)
         df.write.format("parquet").option("path", path).bucketBy(n, key).saveAsTable(name)
         out = self.spark.table(name)
         out._scratch = path
@@ -61,8 +71,20 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a table written here that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, df._scratch)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all scratch tables that this process has made; call it when the results have been written or read."""
+    while _TABLES:
+        spark.sql(f"drop table if exists {_TABLES.pop()}")
+    while _FOLDERS:
+        _delete(spark, _FOLDERS.pop())
 
 
 class Shared:
@@ -139,15 +161,19 @@ def crc_of_id(column: str):
 
 
 def _stars(scratch: Scratch, edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step. edges: a > b, distinct."""
+    """One large-star and one small-star step. edges: a > b, distinct.
+
+    Minima are written, so that their join sees two plain shuffles and may split a node with very many edges.
+    """
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = scratch.write(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
     large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
     large = scratch.write(large)
-    low = large.groupBy("a").agg(F.min("b").alias("m"))
+    low = scratch.write(large.groupBy("a").agg(F.min("b").alias("m")))
     small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
     out = scratch.write(small.where("a > b").distinct())
-    scratch.drop(large)
+    for done in (least, large, low):
+        scratch.drop(done)
     return out
 
 

@@ -23,7 +23,7 @@ from .common import Scratch
 #: Digits of the hash by which groups are summed at first, and digits that are added where that is too coarse.
 DIGITS, MORE_DIGITS = 3, 2
 #: Parts into which each group's rows are dealt.
-SALTS = 1024
+SALTS = 256
 
 
 def group_key(text: str):

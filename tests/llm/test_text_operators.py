@@ -267,8 +267,8 @@ def test_ids_of_a_unigram_file_are_those_of_the_library(spark, monkeypatch, tmp_
     monkeypatch.setattr(sentencepiece_scan, "GROUP", 4)
     library = sentencepiece.SentencePieceProcessor(model_file=model)
     for giant in (1 << 30, 150):
-        got = sentencepiece_scan.encode(docs(spark, list(enumerate(texts))), model, giant_chars=giant).collect()
-        assert all(r.ids == library.encode(r.text) for r in got) and len(got) == len(texts)
+        got = sentencepiece_scan.encode(docs(spark, list(enumerate(texts))), model, giant_chars=giant, round_trip="same").collect()
+        assert all(r.ids == library.encode(r.text) and r.same for r in got) and len(got) == len(texts)
 
 
 def test_best_path_is_the_best():

@@ -136,6 +136,8 @@ def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[]
         for batch in slices(batches, rows):
             new = f(batch)
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in kept), *new], names=out)
+        # Workers are used again, and would keep what they no longer need.
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, T.StructType([*df_kept, *fields]))
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, Shared, append_columns, texts_of
+from .common import Scratch, Shared, append_columns, bytes_of, texts_of
 
 #: Longer documents are cut into chunks of so many characters.
 GIANT_CHARS, CHUNK_CHARS = 32_768, 16_384
@@ -38,7 +38,7 @@ GROUP = 64
 #: Chunks that a task segments at once, and documents.
 CHUNKS_AT_ONCE, ROWS_AT_ONCE = 64, 512
 #: Words whose pieces a task keeps.
-WORD_CACHE = 200_000
+WORD_CACHE = 120_000
 #: Words learned in one go, and the longest that are.
 LEARN_ROWS, LONG_WORD = 2048, 40
 #: Slots of a table of pieces, as a power of two; a vocabulary of millions of pieces needs more.
@@ -439,25 +439,43 @@ def _cut(batches: Iterator[pa.RecordBatch], text_col: str, longest: int) -> Iter
             yield pa.RecordBatch.from_arrays([pa.array([key] * len(starts), pa.int64()), pa.array(range(len(starts)), pa.int32()), pa.array([text[s:e] for s, e in zip(starts, ends, strict=True)]), pa.array([text[e : e + longest - 1] for e in ends])], names=["key", "chunk", "text", "right"])
 
 
-def encode(df: DataFrame, model_file: str, text_col: str = "text", giant_chars: int | None = None) -> DataFrame:
-    """df with ids: the pieces of each text. Documents beyond giant_chars are spread over tasks by chunk."""
+def texts_of_ids(table: pa.Array, column: pa.Array) -> list[bytes | None]:
+    """The text of each list of ids, given the bytes of each piece."""
+    found = table.take(column.flatten())
+    ends = np.append(0, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+    # The pieces lie one after another, so a text is a stretch of their bytes; its first is the space put before it.
+    _, offsets, data = found.buffers()
+    at = np.frombuffer(offsets, np.int32)[found.offset : found.offset + len(found) + 1][ends].tolist()
+    data = memoryview(data or b"")
+    return [data[s + 1 : e].tobytes() if ok else None for s, e, ok in zip(at, at[1:], column.is_valid().to_pylist(), strict=False)]
+
+
+def encode(df: DataFrame, model_file: str, text_col: str = "text", giant_chars: int | None = None, round_trip: str | None = None) -> DataFrame:
+    """df with ids: the pieces of each text. Documents beyond giant_chars are spread over tasks by chunk.
+
+    A name given as round_trip is that of a further column: whether decoding the ids gives the text again.
+    """
     spark = df.sparkSession
     vocabulary = Shared(spark, Vocabulary(model_file))
     giant_chars = giant_chars or GIANT_CHARS
-    ids = T.StructField("ids", T.ArrayType(T.IntegerType()))
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField(round_trip, T.BooleanType())] if round_trip else [])]
 
     def make():
         encoder = Encoder(vocabulary.value)
+        table = pa.array(encoder.v.bytes, pa.binary())
 
         def run(batch: pa.RecordBatch) -> list[pa.Array]:
             texts = batch.column(batch.schema.get_field_index(text_col))
             ids, counts = encoder.ids_of_column(texts)
-            return [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids), mask=texts.is_null())]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids), mask=texts.is_null())
+            if not round_trip:
+                return [lists]
+            return [lists, pa.array([a == b for a, b in zip(texts_of_ids(table, lists), bytes_of(batch, text_col), strict=True)], pa.bool_())]
 
         return run
 
     is_giant = F.coalesce(F.length(text_col) > giant_chars, F.lit(False))
-    small = append_columns(df.where(~is_giant), [ids], make, ROWS_AT_ONCE)
+    small = append_columns(df.where(~is_giant), fields, make, ROWS_AT_ONCE)
     scratch = Scratch(spark, "encode")
     giant = scratch.write(df.drop("ids").where(is_giant).withColumn("__weft_key", F.monotonically_increasing_id()))
     if giant.isEmpty():
@@ -476,27 +494,18 @@ def encode(df: DataFrame, model_file: str, text_col: str = "text", giant_chars:
 
     parts = chunks.join(_giant_states(chunks, vocabulary), ["key", "chunk"]).select("key", "chunk", "text", "right", "entry", "exit").mapInArrow(between, "key long, chunk int, part array<int>")
     whole = parts.groupBy(F.col("key").alias("__weft_key")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "part"))), lambda x: x["part"])).alias("ids"))
-    return small.unionByName(giant.join(whole, "__weft_key").drop("__weft_key"))
+    giant = giant.drop(*(f.name for f in fields)).join(whole, "__weft_key").drop("__weft_key")
+    if round_trip:
+        giant = decode(giant, model_file, name="__weft_decoded").withColumn(round_trip, F.col("__weft_decoded").eqNullSafe(F.col(text_col))).drop("__weft_decoded")
+    return small.unionByName(giant)
 
 
 def decode(df: DataFrame, model_file: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
     """df with the text that the ids stand for."""
-    vocabulary = Shared(df.sparkSession, Vocabulary(model_file))
+    pieces = df.sparkSession.sparkContext.broadcast(Vocabulary(model_file).bytes)
 
     def make():
-        table = pa.array(vocabulary.value.bytes, pa.binary())
-
-        def run(batch: pa.RecordBatch) -> list[pa.Array]:
-            column = batch.column(batch.schema.get_field_index(ids_col))
-            found = table.take(column.flatten())
-            ends = np.append(0, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
-            # The pieces lie one after another, so a text is a stretch of their bytes; its first is the space put before it.
-            _, offsets, data = found.buffers()
-            at = np.frombuffer(offsets, np.int32)[found.offset : found.offset + len(found) + 1][ends].tolist()
-            data = memoryview(data or b"")
-            texts = [data[s + 1 : e].tobytes() if ok else None for s, e, ok in zip(at, at[1:], column.is_valid().to_pylist(), strict=False)]
-            return [pa.array(texts, pa.binary()).cast(pa.string())]
-
-        return run
+        table = pa.array(pieces.value, pa.binary())
+        return lambda batch: [pa.array(texts_of_ids(table, batch.column(batch.schema.get_field_index(ids_col))), pa.binary()).cast(pa.string())]
 
     return append_columns(df, [T.StructField(name, T.StringType())], make, ROWS_AT_ONCE)

@@ -129,6 +129,15 @@ def test_empty_tables_and_clashing_columns(spark, tables, tmp_path, name):
         assert wide.count() == spark.read.parquet(f"{tmp_path}/wide/{table}.parquet").count()
 
 
+def test_only_small_tables_are_broadcast(spark):
+    from weftwork.llm.common import broadcast_if_small
+
+    marked = lambda df, **kw: "ResolvedHint" in broadcast_if_small(df, **kw)._jdf.queryExecution().analyzed().toString()
+    few = spark.range(50).select("id", F.struct(F.lit("x").alias("url"), F.array("id").alias("h")).alias("s"))
+    assert marked(few) and not marked(few, rows=49) and marked(few.limit(0))
+    assert not marked(spark.range(50).select("id", F.struct(F.repeat(F.lit("x"), 400_000).alias("url")).alias("s")))
+
+
 def test_scratch_is_cleared(spark, tables):
     from pathlib import Path
 

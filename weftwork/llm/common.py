@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A table of at most this many narrow rows may be broadcast.
-BROADCAST_ROWS = 100_000
+#: A table of at most so many rows, and of so many bytes, may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 #: Rows that a function of a batch gets at once, so that what it makes stays small.
 SLICE_ROWS = 1024
 
@@ -116,9 +116,22 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def _width(column: Column, kind: T.DataType) -> Column:
+    """About the bytes of a value."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(column), F.lit(0)).cast("long")
+    if isinstance(kind, T.ArrayType):
+        return F.greatest(F.coalesce(F.size(column), F.lit(0)), F.lit(0)).cast("long") * 8
+    if isinstance(kind, T.StructType):
+        return sum((_width(column[f.name], f.dataType) for f in kind.fields), F.lit(0).cast("long"))
+    return F.lit(8).cast("long")
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a written, narrow table for broadcast if it has at most `rows` rows; else Spark joins by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """Marks a written table for broadcast if its rows and their bytes are few; else Spark joins by shuffle."""
+    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0).cast("long"))
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= BROADCAST_BYTES else df
 
 
 def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], rows: int = SLICE_ROWS) -> DataFrame:

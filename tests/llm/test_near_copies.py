@@ -82,3 +82,20 @@ def test_sketches_rule_out_no_similar_pair():
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 63, int(rng.integers(0, 100)), dtype=np.uint64)]))
         x, y = simhash.odd_sketches([a, b])
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_candidates_grow_with_the_nodes(spark, monkeypatch):
+    """Copies that are near to one text, but not to each other, don't meet in pairs."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = [(500, " ".join(base))]
+    for i in range(150):
+        w = list(base)
+        for k in rng.sample(range(200), 3):
+            w[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    verified = []
+    links = simhash._jaccard_links
+    monkeypatch.setattr(simhash, "_jaccard_links", lambda pairs, *rest: (verified.append(pairs.count()), links(pairs, *rest))[1])
+    assert sorted(stage(spark, rows)) == sorted(brute(rows))
+    assert sum(verified) < 10 * len(rows)

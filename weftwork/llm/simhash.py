@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -195,8 +195,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 #: Minima in a band, and bands.
 BAND, BANDS = 4, 16
-#: Bits of a set's sketch, members of a bucket that one task compares, and pairs that it first hands on of two components.
-SKETCH_BITS, BUCKET_ROWS, PAIRS = 1024, 4096, 4
+#: Bits of a set's sketch, members of a bucket that one task compares, and pairs of a node that are verified at first.
+SKETCH_BITS, BUCKET_ROWS, PAIRS = 1024, 4096, 2
 
 
 def shingle_sets(h: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
@@ -279,28 +279,27 @@ def _jaccard_links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame
 def _across(blocks: DataFrame, least: float, most: int) -> DataFrame:
     """(a, b, cut) from rows (b, salt, node, n, root, sketch, other, mine) by block: pairs of different roots that may be similar.
 
-    Each row of a block that is its own is compared with the bucket's rows of other roots, which all blocks have. Sets
-    with this similarity differ in few hashes, so their sketches differ in as few bits at most. Of the pairs of two roots
-    the `most` nearest are given; cut says that there are more.
+    Each row of another root than the bucket's main one, which all blocks have, is compared with a block's own rows. Sets
+    with this similarity differ in few hashes, so their sketches differ in as few bits at most. Each such row gives the
+    `most` nearest pairs, so their number is in proportion to the rows; cut says that it has more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, mine, others = None, [], []
 
         def close() -> pa.RecordBatch:
-            pairs: dict[tuple[int, int], list] = {}
+            out = []
             if mine and others:
                 node, n, root = (np.array([r[k] for r in mine]) for k in (0, 1, 2))
                 sketch = np.array([np.frombuffer(r[3], np.uint64) for r in mine])
                 for other, size, of, bits in others:
-                    differ = np.bitwise_count(sketch ^ np.frombuffer(bits, np.uint64)).sum(axis=1)
+                    differ = np.bitwise_count(sketch ^ np.frombuffer(bits, np.uint64)).sum(axis=1).astype(np.int64)
                     # Sets of sizes x and y with similarity s differ in (1 - s) / (1 + s) * (x + y) hashes.
-                    ok = (differ * (1 + least) <= (1 - least) * (n + size) + 1e-6) & (np.minimum(n, size) >= least * np.maximum(n, size)) & (root != of)
-                    for i in np.flatnonzero(ok).tolist():
-                        pairs.setdefault((min(int(root[i]), of), max(int(root[i]), of)), []).append((int(differ[i]), min(int(node[i]), other), max(int(node[i]), other)))
-            out = [(a, b, len(found) > most) for found in pairs.values() for _, a, b in sorted(set(found))[:most]]
-            a, b, cut = zip(*out, strict=True) if out else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(cut, pa.bool_())], names=["a", "b", "cut"])
+                    ok = np.flatnonzero((differ * (1 + least) <= (1 - least) * (n + size) + 1e-6) & (np.minimum(n, size) >= least * np.maximum(n, size)) & (root != of))
+                    near = ok[np.lexsort((node[ok], differ[ok]))[:most]]
+                    out += [(other, x, d, len(ok) > most) for x, d in zip(node[near].tolist(), differ[near].tolist(), strict=True)]
+            node, near, differ, more = zip(*out, strict=True) if out else ((), (), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(near, pa.int64()), pa.array(differ, pa.int64()), pa.array(more, pa.bool_())], names=["node", "near", "differ", "more"])
 
         for batch in slices(batches):
             for bucket, salt, node, n, root, sketch, other, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -314,7 +313,12 @@ def _across(blocks: DataFrame, least: float, most: int) -> DataFrame:
                     others.append(row)
         yield close()
 
-    return blocks.mapInArrow(run, "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
+    # A node meets the same one in several buckets; of what all its buckets and blocks give, the nearest go on.
+    met = blocks.mapInArrow(run, "node long, near long, differ long, more boolean").groupBy("node", "near").agg(F.min("differ").alias("differ"), F.max("more").alias("more"))
+    met = met.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("differ", "near")))
+    cut = F.max(F.col("more") | (F.col("rank") > most)).over(Window.partitionBy("node")).alias("cut")
+    met = met.select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b"), "rank", cut)
+    return met.where(F.col("rank") <= most).groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
 
 def keep_one_of_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
@@ -323,7 +327,7 @@ def keep_one_of_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str
     The row with the least (id, nulls last; shingle set; row) stays. Equal sets are one node. Candidates are nodes
     that agree on a band of minima: first each with the first of its bucket. Then every pair of a bucket whose roots
     still differ is compared by sketches that rule out no similar pair; those that may be similar are verified, the
-    nearest of two components first, and again with more of them until no bucket holds one back. Every link is
+    nearest of each node first, and again with more of them until none is held back. Every link is
     verified on the whole sets; only candidates' texts are read for that.
     """
     spark = df.sparkSession
@@ -380,7 +384,7 @@ def keep_one_of_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str
             verified = verified.unionAll(new)
         if found.where("cut").isEmpty():
             break
-        most *= 16
+        most *= 8
     roots = components(spark, links).distinct()
     rooted = scratch.write(nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "best"))
     kept = scratch.write(rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.__weft_k1", "best.__weft_k2"))

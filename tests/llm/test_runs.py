@@ -1,0 +1,97 @@
+"""Periodic runs against a search of every period."""
+
+import hashlib
+import random
+import re
+import zlib
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from weftwork.llm import registry, runs
+
+DATA = "/root/testdata/sf0.001"
+
+
+def brute(w):
+    """Runs (start, length, period) of the words, by every period in turn."""
+    least = {}
+    for q in range(len(w) // 4, 0, -1):
+        j = 0
+        while j + q < len(w):
+            s = j
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            if j - s + q >= max(6, 4 * q):
+                least[s, j - s + q] = q
+            j += j == s
+    return sorted((s, n, q) for (s, n), q in least.items())
+
+
+def planted(w, doc_id):
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10 or not w:
+        return w
+    g, n = h // 10, len(w)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+
+def answer(doc_id, text):
+    w = planted(re.findall(r"[^\x20\x09-\x0D]+", text or ""), "" if doc_id is None else doc_id)
+    found = brute(w)
+    best = max(found, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2])) if found else (None, None, None)
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    lines = "".join(f"{s},{n},{q}\n" for s, n, q in found)
+    return (doc_id, len(found), *best, 1000 * best[1] // best[2] if found else None, sha(lines), sha(" ".join(x for i, x in enumerate(w) if i not in gone)))
+
+
+@pytest.mark.parametrize("chunk", [1, 300, 400_000])
+def test_runs_of_few_letters(monkeypatch, chunk):
+    monkeypatch.setattr(runs, "STEP", 2)
+    rng = random.Random(chunk)
+    texts = []
+    for _ in range(400):
+        w = [rng.randrange(rng.choice([1, 2, 3, 9])) for _ in range(rng.randrange(70))]
+        texts.append(planted(w, next(i for i in iter(lambda: rng.randrange(10**6), None) if zlib.crc32(str(i).encode()) % 10 == 0)) if rng.random() < 0.5 else w)
+    got = runs.runs_of(np.array([x for w in texts for x in w]), np.array([len(w) for w in texts]))
+    assert got == [brute(w) for w in texts] and sum(map(len, got)) > 100
+
+
+def test_neighbouring_texts_make_no_run_together():
+    one = [7] * 5
+    assert runs.runs_of(np.array(one * 4), np.array([5] * 4)) == [[]] * 4
+    assert runs.runs_of(np.array([7] * 6), np.array([0, 6, 0])) == [[], [(0, 6, 1)], []]
+
+
+def test_edges_and_other_columns(spark):
+    rows = [(1, None, "x"), (2, "", "x"), (3, " \n\t", "x"), (4, "a a a a a", "x"), (5, "a\ta\na a  a a", "x"), (6, "p q " * 4 + "p", "x"), (6, "p q " * 4 + "p", "x"), (None, "           ", "x"), (8, "x y x y x y x y z z z z z z", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, runs string")
+    got = runs.find_runs(df).collect()
+    assert [(r.doc_id, r.n_words, [tuple(x) for x in r.runs], r.collapsed_text) for r in got] == [
+        (1, 0, [], ""), (2, 0, [], ""), (3, 0, [], ""), (4, 5, [], "a a a a a"), (5, 6, [(0, 6, 1)], "a"), (6, 9, [(0, 9, 2)], "p q"), (6, 9, [(0, 9, 2)], "p q"),
+        (None, 6, [(0, 6, 1)], " "), (8, 14, [(0, 8, 2), (8, 6, 1)], "x y z"),
+    ]
+    assert got[0].best_run is None and tuple(got[8].best_run) == (8, 6, 1)
+
+
+def test_a_giant_text(spark):
+    words = [f"w{i % 5003}" for i in range(300_000)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, "a b")], "doc_id long, text string")
+    got = {r.doc_id: r for r in runs.find_runs(df).collect()}
+    assert [tuple(x) for x in got[1].runs] == [(0, 300_000, 5003)] and got[1].collapsed_text == " ".join(words[:5003])
+
+
+def test_registered_query(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    extra = [(None, "null id"), (3, ""), (40, None), *((i, "one two three four five six seven " * 3) for i in range(5000, 5040))]
+    more = spark.createDataFrame([(i, t, "en", None, None) for i, t in extra], docs.schema)
+    docs.where(F.length("text") < 4000).unionAll(more).unionAll(docs.where("doc_id < 4")).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", "text").collect()
+    got = registry.op13_periodic_runs(spark, str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr(answer(*r)) for r in rows)
+    assert sum(r.n_runs > 0 for r in got) > 5

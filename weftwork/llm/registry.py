@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, lm, quality, sentencepiece_scan, sharding, simhash, substring_dedup, warc
+from . import chat, decontam, langid, lm, pii, quality, runs, sentencepiece_scan, sharding, simhash, substring_dedup, warc, whitening
 from .chat_sql import OP3
 from .common import Scratch, crc_of_id
 from .quality_sql import OP9
@@ -99,6 +99,29 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    listed = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    count = lambda k: F.size(F.filter("base_spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    every = F.concat("base_spans", "term_spans")
+    return out.select("doc_id", *map(count, pii.KINDS), F.sha2(listed(F.col("base_spans")), 256).alias("base_sha256"), listed(every).alias("spans"), F.size("term_spans").cast("long").alias("n_terms"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=4)
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("k", "c")
+    return out.select("vec_id", "n", "deviation", "identity_error", each).select("vec_id", (F.col("k") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = runs.find_runs(docs.withColumn("text", runs.with_planted_runs(F.col("text"), crc_of_id("doc_id"))))
+    best = lambda k: F.col(f"best_run.{k}").alias(k)
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    milli = F.expr("best_run.length * 1000 div best_run.period").alias("exponent_milli")
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best("start"), best("length"), best("period"), milli, F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_lm_score": op2_lm_score,
@@ -110,6 +133,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
+    "op11_pii": op11_pii,
+    "op12_whitening": op12_whitening,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -133,24 +133,41 @@ def test_bad_records_are_written(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/file_changes")).columns == ["repo", "sha", "pos", "path", "old_path", "added", "deleted", "is_binary", "month"]
 
 
-def test_stream_keeps_old_commits_and_bad_records(spark, tmp_path):
-    from weftwork.streaming.log_stream import stream_bad_records, stream_records, write_available
-
-    (tmp_path / "log" / "r1").mkdir(parents=True)
-    old = "2005-01-01T00:00:00Z"
-    for k, records in enumerate(([rec("a"), rec("b")], [rec("old", at=old, ct=old), rec("a"), "junk"], [rec("c")])):
-        (tmp_path / "log" / "r1" / f"{k}.txt").write_text(RS.join(records))
-        write_available(stream_records(spark, str(tmp_path / "log")), str(tmp_path / "out"), str(tmp_path / "at"))
-        write_available(stream_bad_records(spark, str(tmp_path / "log")), str(tmp_path / "bad"), str(tmp_path / "bad_at"))
-    assert sorted(r.sha for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c", "old"]
-    assert [(r.repo, r.raw, r.reason) for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [("r1", "junk", "parts")]
-
-
-def test_stream_drops_a_commit_that_comes_again(spark, tmp_path):
-    from weftwork.streaming.log_stream import stream_records, write_available
-
-    export(spark, tmp_path)
-    for _ in range(2):
-        write_available(stream_records(spark, str(tmp_path / "log")).select("repo", "sha"), str(tmp_path / "out"), str(tmp_path / "at"))
-        (tmp_path / "log" / "r1" / "later.txt").write_text(RS + rec("new") + RS + rec("root"))
-    assert sorted(r.sha for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(["bin", "body", "empty", "merge", "name", "ren", "root", "new"])
+def test_malformed_lines_are_set_aside_and_others_stay(spark, tmp_path):
+    tail = "\n\n1\t2\tf\ngarbage\n12\tx\n-\t3\tp\n99999999999999999999\t1\tq\n3\t-\tr\n+1\t1\ts\n 1\t1\tt\n1\t1\t\n1\t1\n\t\tu\n-\t-\timg\n7\t8\ta\tb\n"
+    good = tables.records(export(spark, tmp_path, [rec("a", tail=tail), rec("b", tail="\n\nnothing good\n"), rec("c")]))[0]
+    changes = [(r.sha, r.pos, r.path, r.added, r.is_binary) for r in tables.file_changes(good).collect()]
+    assert sorted(changes, key=repr) == [("a", 0, "f", 1, False), ("a", 11, "img", None, True), ("a", 12, "a\tb", 7, False)]
+    bad = {(r.sha, r.pos): r.raw for r in tables.bad_lines(good).collect()}
+    assert bad == {("a", k + 1): x for k, x in enumerate(["garbage", "12\tx", "-\t3\tp", "99999999999999999999\t1\tq", "3\t-\tr", "+1\t1\ts", " 1\t1\tt", "1\t1\t", "1\t1", "\t\tu"])} | {("b", 0): "nothing good"}
+    assert {r.reason for r in tables.bad_lines(good).collect()} == {"numstat"}
+    write_tables(tables.commits(good), tables.file_changes(good), str(tmp_path / "out"), bad_lines=tables.bad_lines(good))
+    assert spark.read.parquet(str(tmp_path / "out/bad_lines")).count() == 11
+
+
+UNLIKE = [rec("a"), rec("a", tail="\n1\t1\tf\n"), rec("a", tail="\n1\t1\tg\n"), rec("a", msg="other\n", tail="\n1\t1\tf\n"), rec("a", tail="\n1\t1\tf\n"), rec("a", name="Z", tail=""), rec("b"), rec("b"), rec("c", tail="")]
+
+
+def test_which_of_unlike_copies_stays_is_no_chance(spark, tmp_path):
+    log = export(spark, tmp_path, UNLIKE)
+    for parts in (1, 3, 7):
+        good, _ = P.split_bad(P.parse_header(log.repartition(parts, "raw").orderBy("raw", ascending=parts == 3)))
+        kept = {r.sha: (r.message, r.tail) for r in P.dedupe(good).collect()}
+        # Three tails are equally long; the greatest record of these stays.
+        assert kept == {"a": ("s\n", "\n1\t1\tg\n"), "b": ("s\n", "\n"), "c": ("s\n", "")}
+    found = {r.raw: (r.sha, r.copies, r.kept) for r in P.conflicts(good).collect()}
+    assert found == {x: ("a", UNLIKE.count(x), x == UNLIKE[2]) for x in UNLIKE[:6]}
+    assert P.dedupe(good.select("repo", "sha")).count() == 3 and P.conflicts(good.where("sha <> 'a'")).count() == 0
+
+
+def test_times_without_a_zone_are_bad_in_any_session(spark, tmp_path):
+    good, bad = tables.records(export(spark, tmp_path, [rec("a", at="2024-03-01T10:00:00"), rec("b", ct="2024-03-01 10:00:00"), rec("c")]))
+    assert [r.sha for r in good.collect()] == ["c"] and [r.reason for r in bad.collect()] == ["time", "time"]
+
+
+def test_repositories_of_one_name_are_told_apart_by_more_levels(spark, tmp_path):
+    for name in ("a/tool", "b/tool"):
+        (tmp_path / "log" / name).mkdir(parents=True)
+        (tmp_path / "log" / name / "e.txt").write_text(rec("x"))
+    assert sorted(r.repo for r in read_log(spark, str(tmp_path / "log"), levels=2).collect()) == ["a/tool", "b/tool"]
+    assert [r.repo for r in tables.records(read_log(spark, str(tmp_path / "log")))[0].collect()] == ["tool"]

@@ -13,15 +13,16 @@ ESCAPES = {"a": "07", "b": "08", "t": "09", "n": "0A", "v": "0B", "f": "0C", "r"
 QUOTED = r'"(?:[^"\\]|\\.)*"'
 
 
-def repo_of(file_path: Column) -> Column:
-    """The folder of a file, decoded; `repo=` before it marks a value that the writer has escaped once more."""
+def repo_of(file_path: Column, levels: int = 1) -> Column:
+    """The last so many folders of a file, decoded; `repo=` before them marks a value that the writer has escaped once more."""
     decode = lambda x: F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))
-    folder = decode(F.regexp_extract(file_path, r"([^/]+)/[^/]+$", 1))
+    folder = decode(F.regexp_extract(file_path, rf"([^/]+(?:/[^/]+){{{levels - 1}}})/[^/]+$", 1))
     return F.when(folder.startswith("repo="), decode(F.substring(folder, F.lit(6), F.length(folder)))).otherwise(folder)
 
 
 def instant(text: Column) -> Column:
-    return F.try_to_timestamp(text)
+    """The instant of a time with its zone; without one the text means no instant, so it gives null in any session."""
+    return F.when(offset(text).isNotNull(), F.try_to_timestamp(text))
 
 
 def offset(text: Column) -> Column:

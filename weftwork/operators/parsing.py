@@ -1,4 +1,4 @@
-"""Parsing jobs over log records. All but dedupe and the parent join are maps without a shuffle."""
+"""Parsing jobs over log records. All but dedupe, its conflicts and the parent join are maps without a shuffle."""
 
 from __future__ import annotations
 
@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from weftwork.functions import record as R
 
 
-def parse_header(df: DataFrame) -> DataFrame:
-    """(repo, raw, n_parts, fields, tail) from (repo, raw); a short record has nulls for what it lacks."""
+def parse_header(df: DataFrame, *keep: str) -> DataFrame:
+    """(repo, raw, n_parts, fields, tail) and columns to keep from (repo, raw); a short record has nulls for what it lacks."""
     parts = df.withColumn("parts", F.split("raw", R.FIELD))
-    return parts.select("repo", "raw", F.size("parts").alias("n_parts"), *(F.get("parts", F.lit(i)).alias(k) for i, k in enumerate(R.FIELDS)), F.get("parts", F.lit(len(R.FIELDS))).alias("tail"))
+    return parts.select("repo", "raw", F.size("parts").alias("n_parts"), *(F.get("parts", F.lit(i)).alias(k) for i, k in enumerate(R.FIELDS)), F.get("parts", F.lit(len(R.FIELDS))).alias("tail"), *keep)
 
 
 def split_bad(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Good records, and (repo, raw, reason) of those with another number of parts, no sha or no readable time."""
+    """Good records, and (repo, raw, reason) of those with another number of parts, no sha, or no readable time with a zone."""
     reason = (
         F.when(F.col("n_parts") != len(R.FIELDS) + 1, "parts")
         .when(F.coalesce(F.trim("sha"), F.lit("")) == "", "sha")
@@ -25,9 +25,36 @@ def split_bad(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null").select("repo", "raw", "reason")
 
 
+def _rank(df: DataFrame) -> list:
+    """What copies of a commit are ordered by: the length of the tail, then all values. Unlike copies never tie."""
+    values = [c for c in df.columns if c not in ("repo", "sha")]
+    size = [F.coalesce(F.octet_length("tail"), F.lit(-1)).alias("_size")] if "tail" in values else []
+    return size + [F.col(f"`{c}`") for c in sorted(values, key=lambda c: c != "raw")]
+
+
 def dedupe(df: DataFrame) -> DataFrame:
-    """One row for each (repo, sha), before anything is exploded."""
-    return df.dropDuplicates(["repo", "sha"])
+    """One row for each (repo, sha), before anything is exploded: of unlike copies that with the longest tail.
+
+    A maximum, so it is the same for any order of the rows, and copies combine in the tasks before the shuffle.
+    """
+    rank = _rank(df)
+    if not rank:
+        return df.distinct()
+    best = df.groupBy("repo", "sha").agg(F.max(F.struct(*rank)).alias("_best"))
+    return best.select(*(F.col(c) if c in ("repo", "sha") else F.col("_best")[c].alias(c) for c in df.columns))
+
+
+def conflicts(df: DataFrame) -> DataFrame:
+    """(repo, sha, raw, copies, kept): each version of the commits whose copies are unlike, and whether dedupe keeps it.
+
+    Records must not be deduplicated yet. Which commits these are is found by hashes of 64 bits, so texts of others
+    aren't shuffled.
+    """
+    h = F.xxhash64("raw")
+    unlike = df.groupBy("repo", "sha").agg(F.min(h).alias("low"), F.max(h).alias("high")).where("low < high").select("repo", "sha")
+    versions = df.join(unlike, ["repo", "sha"], "left_semi").groupBy("repo", "sha", "raw", "tail").agg(F.count("*").alias("copies"))
+    best = versions.groupBy("repo", "sha").agg(F.max(F.struct(*_rank(versions.drop("copies")))).alias("best"))
+    return versions.join(best, ["repo", "sha"]).select("repo", "sha", "raw", "copies", (F.col("raw") == F.col("best.raw")).alias("kept"))
 
 
 def parse_times(df: DataFrame) -> DataFrame:
@@ -38,9 +65,9 @@ def parse_parents(df: DataFrame) -> DataFrame:
     return df.withColumn("parents", R.parents(F.col("parents")))
 
 
-def parent_edges(df: DataFrame) -> DataFrame:
-    """(repo, child, parent, ordinal) from parsed parents; the first parent has ordinal 0."""
-    return df.select("repo", F.col("sha").alias("child"), F.posexplode("parents").alias("ordinal", "parent")).select("repo", "child", "parent", "ordinal")
+def parent_edges(df: DataFrame, *keep: str) -> DataFrame:
+    """(repo, child, parent, ordinal) and columns to keep from parsed parents; the first parent has ordinal 0."""
+    return df.select("repo", F.col("sha").alias("child"), F.posexplode("parents").alias("ordinal", "parent"), *keep).select("repo", "child", "parent", "ordinal", *keep)
 
 
 def join_parents(edges: DataFrame, commits: DataFrame, *fields: str) -> DataFrame:
@@ -54,12 +81,26 @@ def parse_message(df: DataFrame) -> DataFrame:
     return df.withColumns({"subject": R.subject(m), "trailers": R.trailers(m)}).withColumn("body", R.body(m, F.size("trailers")))
 
 
-def parse_numstat(df: DataFrame, *keep: str) -> DataFrame:
-    """(repo, sha, pos, printed, added, deleted, is_binary) and columns to keep: a row for each line of the tail, from 0."""
+def split_numstat(df: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
+    """The lines of the tails as file changes, and the malformed ones apart.
+
+    Changes are (repo, sha, pos, printed, added, deleted, is_binary) and columns to keep; pos is the line's place among the
+    tail's lines that aren't blank, from 0. A line is malformed if it lacks a part, or if its counts are neither whole
+    numbers that a long holds nor both `-`: such lines are (repo, sha, pos, raw, reason), and the commit's others stay.
+    """
     lines = F.filter(F.split("tail", "\n"), lambda x: F.trim(x) != "")
-    parts = df.select("repo", "sha", *keep, F.posexplode(lines).alias("pos", "line")).withColumn("p", F.split("line", "\t", 3))
-    added, deleted = F.get("p", F.lit(0)), F.get("p", F.lit(1))
-    return parts.select("repo", "sha", "pos", F.get("p", F.lit(2)).alias("printed"), added.try_cast("long").alias("added"), deleted.try_cast("long").alias("deleted"), ((added == "-") & (deleted == "-")).alias("is_binary"), *keep)
+    parts = df.select("repo", "sha", *keep, F.posexplode(lines).alias("pos", "raw")).withColumn("p", F.split("raw", "\t", 3))
+    added, deleted, printed = (F.get("p", F.lit(i)) for i in range(3))
+    count = lambda x: x.rlike("^[0-9]+$") & x.try_cast("long").isNotNull()
+    binary = (added == "-") & (deleted == "-")
+    marked = parts.withColumn("ok", F.coalesce((F.trim(printed) != "") & (binary | (count(added) & count(deleted))), F.lit(False)))
+    good = marked.where("ok").select("repo", "sha", "pos", printed.alias("printed"), added.try_cast("long").alias("added"), deleted.try_cast("long").alias("deleted"), binary.alias("is_binary"), *keep)
+    return good, marked.where("not ok").select("repo", "sha", "pos", "raw", F.lit("numstat").alias("reason"))
+
+
+def parse_numstat(df: DataFrame, *keep: str) -> DataFrame:
+    """The well-formed lines of the tails as file changes; see split_numstat."""
+    return split_numstat(df, *keep)[0]
 
 
 def parse_paths(df: DataFrame) -> DataFrame:

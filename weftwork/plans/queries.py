@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from weftwork.operators import parsing as P
 from weftwork.plans import standin, tables
 from weftwork.sources.git_log import read_log, write_tables
-from weftwork.streaming.log_stream import stream_bad_records, stream_records, write_available
+from weftwork.streaming.log_stream import append_available, stream_bad_records, stream_parents, stream_records, write_available
 
 
-def _good(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.records(read_log(spark, standin.write_log(spark, sf_dir)))[0]
+def _good(spark: SparkSession, sf_dir: str, flawed: bool = False) -> DataFrame:
+    return tables.records(read_log(spark, standin.write_log(spark, sf_dir, flawed)))[0]
 
 
 def read_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,10 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = P.parse_parents(_good(spark, sf_dir))
+    # Deduplicated once: what both sides of the join need is written, which is little beside the export.
+    path = f"{standin.shared_folder(spark)}/narrow"
+    P.parse_parents(_good(spark, sf_dir)).select("repo", "sha", "parents", "author_email").write.parquet(path)
+    good = spark.read.parquet(path)
     return P.join_parents(P.parent_edges(good), good, "author_email").select("repo", "child", "parent", "parent_author_email")
 
 
@@ -49,6 +52,16 @@ def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"pos": F.col("pos").cast("long"), "added": F.coalesce("added", F.lit(-1)), "deleted": F.coalesce("deleted", F.lit(-1))})
 
 
+def good_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File changes of an export with malformed lines between them."""
+    out = tables.file_changes(_good(spark, sf_dir, flawed=True))
+    return out.withColumns({"pos": F.col("pos").cast("long"), "added": F.coalesce("added", F.lit(-1)), "deleted": F.coalesce("deleted", F.lit(-1))})
+
+
+def bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.bad_lines(_good(spark, sf_dir, flawed=True)).withColumn("pos", F.col("pos").cast("long"))
+
+
 def bad_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.records(read_log(spark, standin.write_log(spark, sf_dir)))[1].select("repo", "reason", F.col("raw"))
 
@@ -63,6 +76,16 @@ def deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _good(spark, sf_dir).select("repo", "sha", "parents", "author_name", "author_email", "authored", "committed", "message", "tail")
 
 
+def unlike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of commits whose copies are unlike."""
+    return _good(spark, sf_dir, flawed=True).select("repo", "sha", "message", "tail")
+
+
+def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good, _ = P.split_bad(P.parse_header(read_log(spark, standin.write_log(spark, sf_dir, flawed=True))))
+    return P.conflicts(good)
+
+
 def _tables(spark: SparkSession, sf_dir: str) -> str:
     (good, bad), out = tables.records(read_log(spark, standin.write_log(spark, sf_dir))), f"{standin.shared_folder(spark)}/tables"
     write_tables(tables.commits(good), tables.file_changes(P.parse_times(good), "committed_at"), out, bad)
@@ -76,6 +99,16 @@ def written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commits.join(changes, "month", "left").select("month", "commits", F.coalesce("changes", F.lit(0)).alias("changes"), "added")
 
 
+def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by month of tables that two streams have appended the same files to, some files in a batch."""
+    log, root = standin.write_log(spark, sf_dir, flawed=True), standin.shared_folder(spark)
+    for name in ("first", "second"):
+        append_available(spark, log, f"{root}/tables", f"{root}/{name}", name, files=4)
+    commits = spark.read.parquet(f"{root}/tables/commits").groupBy(F.col("month").cast("string").alias("month")).agg(F.count("*").alias("commits"))
+    changes = spark.read.parquet(f"{root}/tables/file_changes").groupBy(F.col("month").cast("string").alias("month")).agg(F.count("*").alias("changes"), F.sum("added").alias("added"))
+    return commits.join(changes, "month", "left").select("month", "commits", F.coalesce("changes", F.lit(0)).alias("changes"), "added")
+
+
 def written_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{_tables(spark, sf_dir)}/bad_records")
 
@@ -86,6 +119,12 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/stream")
 
 
+def streamed_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, root = standin.write_log(spark, sf_dir), standin.shared_folder(spark)
+    write_available(stream_parents(spark, log, "author_email", wait="1 day").drop("ordinal"), f"{root}/stream", f"{root}/progress")
+    return spark.read.parquet(f"{root}/stream")
+
+
 def streamed_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
     log, root = standin.write_log(spark, sf_dir), standin.shared_folder(spark)
     write_available(stream_bad_records(spark, log), f"{root}/stream", f"{root}/progress")
@@ -113,12 +152,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "b4_parent_edges": edges,
     "b4_parent_join": parents,
     "b5_messages": messages,
+    "b6_good_lines": good_lines,
+    "b6_bad_lines": bad_lines,
     "b7_paths": paths,
     "b8_bad_records": bad_records,
     "b9_dedupe": deduped,
+    "b9_unlike_copies": unlike,
+    "b9_conflicts": conflicts,
     "b10_written_tables": written,
     "b10_bad_table": written_bad,
+    "b10_appended_tables": appended,
     "stream_records": streamed,
+    "stream_parents": streamed_parents,
     "stream_bad_records": streamed_bad,
     "activity_by_week": activity,
     "latest_changes": latest_changes,
@@ -162,6 +207,34 @@ _RECORDS = rf"""
   select *, concat_ws(chr(31), sha, parents, author_name, author_email, authored, authored, message, tail) as raw from r
 )
 """
+_FLAWED = rf"""
+{_RECORDS}, x as (
+  select *, '' || o_orderkey as k from r
+), y as (
+  select repo, o_orderkey, sha, message, concat_ws(chr(31), sha, parents, author_name, author_email, authored, authored) as head, if(o_orderstatus = 'O', 2, 1) as n,
+    chr(10) || chr(10) || case when o_orderkey % 11 = 0 then 'garbage ' || k || chr(10) || '12' || chr(9) || 'x' || k || chr(10) || '-' || chr(9) || '3' || chr(9) || 'p' || k
+      || chr(10) || '99999999999999999999' || chr(9) || '1' || chr(9) || 'q' || k || chr(10) else '' end || substr(tail, 3) as tail
+  from x
+), z as (
+  select repo, o_orderkey, sha, message, tail, n, head from y
+  union all select repo, o_orderkey, sha, message, repeat(chr(10), 3), 1, head from y where o_orderkey % 13 = 0
+  union all select repo, o_orderkey, sha, message || 'Late: note' || chr(10), tail, 1, head from y where o_orderkey % 13 = 0
+), versions as (
+  select repo, sha, message, tail, concat_ws(chr(31), head, message, tail) as raw, sum(n)::bigint as copies from z group by all
+), ranked as (
+  select *, row_number() over (partition by repo, sha order by strlen(tail) desc, raw desc) = 1 as kept, count(*) over (partition by repo, sha) as unlike from versions
+)
+"""
+_BAD_LINES = """
+  select repo, sha, 0::bigint as pos, 'garbage ' || o_orderkey as raw, 'numstat' as reason from o where o_orderkey % 11 = 0
+  union all select repo, sha, 1, '12' || chr(9) || 'x' || o_orderkey, 'numstat' from o where o_orderkey % 11 = 0
+  union all select repo, sha, 2, '-' || chr(9) || '3' || chr(9) || 'p' || o_orderkey, 'numstat' from o where o_orderkey % 11 = 0
+  union all select repo, sha, 3, '99999999999999999999' || chr(9) || '1' || chr(9) || 'q' || o_orderkey, 'numstat' from o where o_orderkey % 11 = 0
+"""
+_BY_MONTH = f"""with {_CHANGES}, m as (select strftime(make_timestamp(s * 1000000), '%Y-%m') as month, count(*) as commits from o group by 1),
+  n as (select strftime(make_timestamp(s * 1000000), '%Y-%m') as month, count(*) as changes, sum(try_cast(a as bigint))::bigint as added from f group by 1)
+  select m.month, commits, coalesce(changes, 0) as changes, added from m left join n using (month)"""
+_PARENTS = f"with {_ORDERS} select repo, sha as child, lpad(lower(printf('%X', before)), 40, '0') as parent, o_custkey || '@example.com' as parent_author_email from o where before is not null"
 _BAD = f"with {_ORDERS} select repo, 'parts' as reason, 'cut' || chr(31) || o_orderkey as raw from o where o_orderkey % 50 = 0"
 ORACLE_SQL = {
     "b1_read_log": f"""with {_RECORDS} select repo, raw from w union all select repo, raw from w where o_orderstatus = 'O'
@@ -169,15 +242,19 @@ ORACLE_SQL = {
     "b2_headers": f"""with {_ORDERS} select repo, sha, 'C, "' || o_custkey || '"' as author_name, o_custkey || '@example.com' as author_email, 8 as n_parts from o""",
     "b3_times": f"with {_ORDERS} select sha, s as authored_s, zone as author_offset, s as committed_s from o",
     "b4_parent_edges": f"with {_ORDERS} select repo, sha as child, lpad(lower(printf('%X', before)), 40, '0') as parent, 0::bigint as ordinal from o where before is not null",
-    "b4_parent_join": f"with {_ORDERS} select repo, sha as child, lpad(lower(printf('%X', before)), 40, '0') as parent, o_custkey || '@example.com' as parent_author_email from o where before is not null",
+    "b4_parent_join": _PARENTS,
+    "stream_parents": _PARENTS,
     "b5_messages": f"with {_ORDERS} select sha, 'Order ' || o_orderkey as subject, 'First line of ' || o_orderkey || chr(10) || 'Note: not a trailer' as body, 'Priority=' || o_orderpriority || ';Status=' || o_orderstatus || ';Status=again' as trailers from o",
     "b6_file_changes": f"with {_CHANGES} select repo, sha, pos::bigint as pos, path, old_path, coalesce(try_cast(a as bigint), -1) as added, coalesce(try_cast(d as bigint), -1) as deleted, is_binary from f",
+    "b6_good_lines": f"with {_CHANGES} select repo, sha, (pos + if(o_orderkey % 11 = 0, 4, 0))::bigint as pos, path, old_path, coalesce(try_cast(a as bigint), -1) as added, coalesce(try_cast(d as bigint), -1) as deleted, is_binary from f",
+    "b6_bad_lines": f"with {_ORDERS} {_BAD_LINES}",
     "b7_paths": f"with {_CHANGES} select printed as as_printed, path, old_path, count(*) as changes from f group by all",
     "b8_bad_records": _BAD,
     "b9_dedupe": f"with {_RECORDS} select repo, sha, parents, author_name, author_email, authored, authored as committed, message, tail from r",
-    "b10_written_tables": f"""with {_CHANGES}, m as (select strftime(make_timestamp(s * 1000000), '%Y-%m') as month, count(*) as commits from o group by 1),
-  n as (select strftime(make_timestamp(s * 1000000), '%Y-%m') as month, count(*) as changes, sum(try_cast(a as bigint))::bigint as added from f group by 1)
-  select m.month, commits, coalesce(changes, 0) as changes, added from m left join n using (month)""",
+    "b9_unlike_copies": f"with {_FLAWED} select repo, sha, message, tail from ranked where kept",
+    "b9_conflicts": f"with {_FLAWED} select repo, sha, raw, copies, kept from ranked where unlike > 1",
+    "b10_written_tables": _BY_MONTH,
+    "b10_appended_tables": _BY_MONTH,
     "b10_bad_table": _BAD,
     "stream_bad_records": _BAD,
     "stream_records": f"with {_ORDERS} select repo, sha, zone as author_offset from o",

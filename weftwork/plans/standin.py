@@ -6,31 +6,32 @@ for authors and their orders, in order of date, for a chain of commits; lines st
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftwork.functions.record import FIELD, RECORD
+from weftwork.session import path_exists, shared_dir
 
 REPOS = 8
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all machines share; a local session without spark.checkpoint.dir gets one in its temp folder."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{root or 'file://' + tempfile.mkdtemp(prefix='weftwork-')}/log-{uuid.uuid4().hex}"
+    """A new folder that all machines share."""
+    return f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
 
 
 def sha(key: Column) -> Column:
     return F.lpad(F.lower(F.hex(key)), 40, "0")
 
 
-def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(repo, value): each order once, again if it is open as if from a second export, and cut short for some."""
+def rendered(spark: SparkSession, sf_dir: str, flawed: bool = False) -> DataFrame:
+    """(repo, value): each order once, again if it is open as if from a second export, and cut short for some.
+
+    A flawed export has malformed lines before the tails of some, and for some two unlike copies more: one that lacks its
+    tail and one with a trailer added.
+    """
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     number = F.col("l_partkey").cast("string")
@@ -50,27 +51,31 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     message = F.concat(F.lit("Order "), key, F.lit("\n\nFirst line of "), key, F.lit("\nNote: not a trailer\n\nPriority: "), F.col("o_orderpriority"), F.lit("\nStatus: "), F.col("o_orderstatus"), F.lit("\nStatus: again\n"))
     customer = F.col("o_custkey").cast("string")
     head = F.concat_ws(FIELD, sha(F.col("o_orderkey")), F.coalesce(sha(before), F.lit("")), F.concat(F.lit('C, "'), customer, F.lit('"')), F.concat(customer, F.lit("@example.com")), time, time, message)
-    full = orders.select("o_orderkey", "o_orderstatus", F.concat(F.lit("repo"), (F.col("o_custkey") % REPOS).cast("string")).alias("repo"), head.alias("head")).join(tails, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    whole = F.concat("head", F.lit(f"{FIELD}\n\n"), F.coalesce("tail", F.lit("")), F.lit("\n"))
+    late = F.concat_ws(FIELD, sha(F.col("o_orderkey")), F.coalesce(sha(before), F.lit("")), F.concat(F.lit('C, "'), customer, F.lit('"')), F.concat(customer, F.lit("@example.com")), time, time, F.concat(message, F.lit("Late: note\n")))
+    full = orders.select("o_orderkey", "o_orderstatus", late.alias("late"), F.concat(F.lit("repo"), (F.col("o_custkey") % REPOS).cast("string")).alias("repo"), head.alias("head")).join(tails, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    tail = F.concat(F.lit(f"{FIELD}\n\n"), F.coalesce("tail", F.lit("")), F.lit("\n"))
+    more = []
+    if flawed:
+        okey = F.col("o_orderkey").cast("string")
+        bad = F.concat(F.lit("garbage "), okey, F.lit("\n12\tx"), okey, F.lit("\n-\t3\tp"), okey, F.lit("\n99999999999999999999\t1\tq"), okey, F.lit("\n"))
+        tail = F.concat(F.lit(f"{FIELD}\n\n"), F.when(F.col("o_orderkey") % 11 == 0, bad).otherwise(F.lit("")), F.coalesce("tail", F.lit("")), F.lit("\n"))
+        twice = F.col("o_orderkey") % 13 == 0
+        more = [F.when(twice, F.concat("head", F.lit(f"{FIELD}\n\n\n"))), F.when(twice, F.concat("late", tail))]
+    whole = F.concat("head", tail)
     again = F.when(F.col("o_orderstatus") == "O", whole)
     short = F.when(F.col("o_orderkey") % 50 == 0, F.concat(F.lit("cut"), F.lit(FIELD), F.col("o_orderkey").cast("string")))
-    return full.select("repo", F.explode(F.array_compact(F.array(whole, again, short))).alias("value"))
+    return full.select("repo", F.explode(F.array_compact(F.array(whole, again, short, *more))).alias("value"))
 
 
 #: Exports rendered by this application, by input folder.
-_WRITTEN: dict[tuple[str, str], str] = {}
-
-
-def _complete(spark: SparkSession, path: str) -> bool:
-    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+_WRITTEN: dict[tuple[str, str, bool], str] = {}
 
 
-def write_log(spark: SparkSession, sf_dir: str) -> str:
+def write_log(spark: SparkSession, sf_dir: str, flawed: bool = False) -> str:
     """The folder of the export, which an application renders once for each input."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _WRITTEN or not _complete(spark, _WRITTEN[key]):
+    key = (spark.sparkContext.applicationId, sf_dir, flawed)
+    if key not in _WRITTEN or not path_exists(spark, f"{_WRITTEN[key]}/_SUCCESS"):
         path = f"{shared_folder(spark)}/export"
-        rendered(spark, sf_dir).write.partitionBy("repo").option("lineSep", RECORD).text(path)
+        rendered(spark, sf_dir, flawed).write.partitionBy("repo").option("lineSep", RECORD).text(path)
         _WRITTEN[key] = path
     return _WRITTEN[key]

@@ -1,7 +1,9 @@
-"""A session with the settings the jobs expect."""
+"""A session with the settings the jobs expect, and the folder that its machines share."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -11,3 +13,23 @@ def session(name: str = "weftwork", **conf: str) -> SparkSession:
     for k, v in conf.items():
         builder = builder.config(k.replace("_", "."), v)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all machines share, from spark.checkpoint.dir.
+
+    Only a local session may go without that setting; it then gets a folder of its own.
+    """
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    made = "file://" + tempfile.mkdtemp(prefix="weftwork-")
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)

@@ -1,5 +1,6 @@
 """The pipeline against a plain version of each stage, over the smallest documents and some hard ones."""
 
+import re
 from collections import Counter
 
 import pyarrow.parquet as pq
@@ -43,10 +44,20 @@ def brute(rows, items):
             if 1 - least / (langid.TOP * len(mine)) >= corpus_pipeline.MIN_LANGUAGE_SCORE:
                 kept.append((i, t))
     kept = list(dict.fromkeys(one_of_near_copies(kept)))
-    out = [(i, t if not gone else new) for i, t, n, gone, new in brute_dedup(kept) if gone == 0 or gone < n]
+    flags = []
+    found = list(brute_dedup(kept, flags=flags))
+    out = [(i, cut(t, f)) for (i, t, n, gone, _), f in zip(found, flags, strict=True) if gone == 0 or gone < n]
     return {i: t for i, t in out if not leaks(t, items)}
 
 
+def cut(t, gone):
+    """The text without the words that go and what follows each up to the next word."""
+    out = re.match(r"[\x20\x09-\x0D]*", t)[0]
+    for m, g in zip(re.finditer(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", t), gone, strict=True):
+        out += "" if g else m[0]
+    return out
+
+
 def leaks(t, items):
     """Ids of the items (id, text) that lie in a text, edits allowed for."""
     plain = lambda t: " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())

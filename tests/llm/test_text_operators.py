@@ -35,7 +35,8 @@ def mixed(seed=3, n=60):
 # op4
 
 
-def brute_dedup(rows, window=20):
+def brute_dedup(rows, window=20, flags=None):
+    """flags, a list, gets which words of each row go."""
     key = lambda i: (i is not None, i or 0)
     first = {}
     for i, t in rows:
@@ -49,6 +50,8 @@ def brute_dedup(rows, window=20):
         for j in range(len(w) - window + 1):
             if first[tuple(w[j : j + window])] < (key(i), j):
                 gone[j : j + window] = [True] * window
+        if flags is not None:
+            flags.append(gone)
         yield i, t, len(w), sum(gone), b" ".join(a for a, g in zip(w, gone, strict=True) if not g).decode()
 
 
@@ -82,13 +85,13 @@ def test_few_unrepeated_windows_pass_the_sketch_at_any_size(spark, monkeypatch):
         df = docs(spark, [(i, " ".join(f"w{rng.randrange(1 << 30)}" for _ in range(300))) for i in range(n)])
         monkeypatch.setattr(substring_dedup, "CELLS", 14)
         monkeypatch.setattr(substring_dedup, "RANGE_BYTES", 40_000)
-        table, size = substring_dedup._chunked(df, "text", substring_dedup.Scratch(spark, "test"))
-        ranges, d = max(1, size // 40_000), table.select("__weft_chunk", "__weft_row", F.col("doc_id").alias("id"), "text")
-        passed = substring_dedup.repeats(d, substring_dedup.repeated_cells(d, 20, ranges), 20, ranges)
+        table, plan = substring_dedup._chunked(df, "text", substring_dedup.Scratch(spark, "test"))
+        d = table.select("__weft_chunk", "__weft_row", F.col("doc_id").alias("id"), "text")
+        passed = substring_dedup.repeats(d, substring_dedup.repeated_cells(d, 20, plan), 20, plan)
         assert passed.count() == 0
-        hits = substring_dedup.repeated_cells(d, 20, ranges).toArrow()
+        hits = substring_dedup.repeated_cells(d, 20, plan).toArrow()
         h = [substring_dedup.windows_of([r.text.encode()], [0], 20)[2] for r in table.where("__weft_chunk = 0").orderBy("__weft_row").collect()]
-        share.append(substring_dedup._hit(np.concatenate(h), hits.filter(pc.equal(hits.column("chunk"), 0)), ranges).mean())
+        share.append(substring_dedup._hit(np.concatenate(h), hits.filter(pc.equal(hits.column("chunk"), 0)), plan).mean())
     assert share[1] < 0.15 and abs(share[0] - share[1]) < 0.05
 
 
@@ -100,6 +103,36 @@ def test_substring_dedup_long_runs_and_other_columns(spark):
     assert substring_dedup.dedup_substrings(df.limit(0)).count() == 0
 
 
+def test_rows_of_the_sketches_grow_with_the_input(spark, monkeypatch):
+    """Beyond SCALE_BYTES a chunk still makes a row for each range, but there are fewer of both than in proportion."""
+    for name, value in (("CHUNK_BYTES", 4000), ("RANGE_BYTES", 4000), ("SCALE_BYTES", 20_000), ("BUCKET_BYTES", 1000), ("MAX_BUCKETS", 9), ("CELLS", 12)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    rows = []
+    for n in (20, 80, 320):
+        rng = random.Random(n)
+        texts = [(i, " ".join(f"w{rng.randrange(1 << 30)}" for _ in range(100))) for i in range(n)]
+        table, plan = substring_dedup._chunked(docs(spark, texts, 2), "text", substring_dedup.Scratch(spark, "test"))
+        chunks = table.select("__weft_chunk").distinct().count()
+        rows.append(chunks * plan.ranges)
+        assert table.groupBy("__weft_chunk").agg(F.sum(F.length("text") + 64).alias("n")).agg(F.max("n")).first()[0] <= plan.chunk
+        got = substring_dedup.dedup_substrings(docs(spark, texts + [(n, texts[0][1])], 2)).select("doc_id", "text", "n_words", "n_removed", "kept_text").collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute_dedup(texts + [(n, texts[0][1])])))
+    assert rows[2] < 6 * rows[1] < 36 * rows[0] and rows[2] > rows[1]
+
+
+def test_a_text_of_too_many_words_is_refused(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "POS_BITS", 6)
+    with pytest.raises(ValueError, match="65 words"):
+        substring_dedup.windows_of([b"w " * 63, b"w " * 65], [0, 1], 20)
+
+
+def test_layout_of_what_stays(spark):
+    twice = " ".join(f"p{j}" for j in range(25))
+    rows = [(1, f"\tdef f():\n\n    {twice}\n  end"), (2, f"  first\n\n{twice}\n\n\tlast  line\n"), (3, twice), (4, " no\nrepeat "), (5, f"{twice}\n\nx {twice}\n"), (6, None), (7, "")]
+    got = {r.doc_id: (r.kept_text, r.n_removed) for r in substring_dedup.dedup_substrings(docs(spark, rows), layout=True).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("  first\n\n\tlast  line\n", 25), 3: ("", 25), 4: (" no\nrepeat ", 0), 5: ("x ", 50), 6: (None, 0), 7: ("", 0)}
+
+
 # op8
 
 

@@ -195,8 +195,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 #: Minima in a band, and bands.
 BAND, BANDS = 4, 16
-#: Bits of a set's sketch, members of a bucket that one task compares, and pairs of a node that are verified at first.
-SKETCH_BITS, BUCKET_ROWS, PAIRS = 1024, 4096, 2
+#: Bits of a set's sketch at least; members of a bucket, and bytes of their sketches, that one task compares.
+SKETCH_BITS, BUCKET_ROWS, BUCKET_BYTES = 1024, 4096, 32 << 20
+#: Pairs of a node that are verified at first.
+PAIRS = 2
 
 
 def shingle_sets(h: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
@@ -239,18 +241,30 @@ def min_hashes(sets: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """Parities of the number of hashes in each of SKETCH_BITS cells: two of them differ in no more bits than the sets in hashes."""
-    out = np.zeros((len(sets), SKETCH_BITS // 64), np.uint64)
-    for part in _by_size(sets):
-        some = sets[part]
-        cell = ((np.concatenate(some) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(40)) % np.uint64(SKETCH_BITS)
-        owner = np.repeat(np.arange(len(some)), [len(s) for s in some])
-        odd = np.bincount(owner * SKETCH_BITS + cell.astype(np.int64), minlength=len(some) * SKETCH_BITS) & 1
-        out[part] = np.packbits(odd.astype(np.uint8)).view(np.uint64).reshape(len(some), -1)
+def sketch_bits(n: int) -> int:
+    """A power of two that is no less than the number of hashes, so that a sketch tells long sets apart as well as short ones."""
+    return max(SKETCH_BITS, 1 << max(0, n - 1).bit_length())
+
+
+def odd_sketches(sets: list[np.ndarray]) -> list[bytes]:
+    """Parities of the number of hashes in each of a set's cells: two sketches of one width differ in no more bits than the sets in hashes.
+
+    The halves of a sketch combine to that of half the width.
+    """
+    out = []
+    for s in sets:
+        bits = sketch_bits(len(s))
+        cell = (s * np.uint64(0xD1342543DE82EF95)) >> np.uint64(32) & np.uint64(bits - 1)
+        out.append(np.packbits((np.bincount(cell.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes())
     return out
 
 
+def halved(sketches: np.ndarray) -> np.ndarray:
+    """Sketches, one a row, at half their width."""
+    half = sketches.shape[-1] // 2
+    return sketches[..., :half] ^ sketches[..., half:]
+
+
 def row_key(df: DataFrame) -> list:
     """128 bits of a row's values as two columns: the same in each run, and shared by equal rows alone."""
     nulls = F.concat(*(F.col(f"`{c}`").isNull().cast("int").cast("string") for c in df.columns))
@@ -289,15 +303,29 @@ def _across(blocks: DataFrame, least: float, most: int) -> DataFrame:
 
         def close() -> pa.RecordBatch:
             out = []
-            if mine and others:
-                node, n, root = (np.array([r[k] for r in mine]) for k in (0, 1, 2))
-                sketch = np.array([np.frombuffer(r[3], np.uint64) for r in mine])
-                for other, size, of, bits in others:
-                    differ = np.bitwise_count(sketch ^ np.frombuffer(bits, np.uint64)).sum(axis=1).astype(np.int64)
-                    # Sets of sizes x and y with similarity s differ in (1 - s) / (1 + s) * (x + y) hashes.
-                    ok = np.flatnonzero((differ * (1 + least) <= (1 - least) * (n + size) + 1e-6) & (np.minimum(n, size) >= least * np.maximum(n, size)) & (root != of))
-                    near = ok[np.lexsort((node[ok], differ[ok]))[:most]]
-                    out += [(other, x, d, len(ok) > most) for x, d in zip(node[near].tolist(), differ[near].tolist(), strict=True)]
+            by_width: dict[int, list] = {}
+            for r in mine if others else ():
+                by_width.setdefault(len(r[3]), []).append(r)
+            # Those of one width, and at half of it, to be compared with narrower ones.
+            made = {}
+            for w, rows in by_width.items():
+                node, n, root = (np.array([r[k] for r in rows]) for k in (0, 1, 2))
+                sketch = np.array([np.frombuffer(r[3], np.uint64) for r in rows])
+                made[w] = (node, n, root, sketch, halved(sketch) if w > SKETCH_BITS // 8 else None)
+            for other, size, of, bits in others if made else ():
+                own = np.frombuffer(bits, np.uint64)
+                met = []
+                # Sets of less than half the hashes, whose sketches are narrower still, can't be similar.
+                for w, a, narrow in ((len(bits), own, False), (2 * len(bits), own, True), (len(bits) // 2, halved(own), False)):
+                    if w in made:
+                        node, n, root, sketch, half = made[w]
+                        differ = np.bitwise_count((half if narrow else sketch) ^ a).sum(axis=1).astype(np.int64)
+                        # Sets of sizes x and y with similarity s differ in (1 - s) / (1 + s) * (x + y) hashes.
+                        ok = np.flatnonzero((differ * (1 + least) <= (1 - least) * (n + size) + 1e-6) & (np.minimum(n, size) >= least * np.maximum(n, size)) & (root != of))
+                        met.append((node[ok], differ[ok]))
+                node, differ = (np.concatenate(x) for x in zip(*met, strict=True)) if met else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                near = np.lexsort((node, differ))[:most]
+                out += [(other, x, d, len(node) > most) for x, d in zip(node[near].tolist(), differ[near].tolist(), strict=True)]
             node, near, differ, more = zip(*out, strict=True) if out else ((), (), (), ())
             return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(near, pa.int64()), pa.array(differ, pa.int64()), pa.array(more, pa.bool_())], names=["node", "near", "differ", "more"])
 
@@ -321,14 +349,24 @@ def _across(blocks: DataFrame, least: float, most: int) -> DataFrame:
     return met.where(F.col("rank") <= most).groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
 
+def _joined_roots(spark, roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) when new links are added to components: only their roots take part, most of which no link touches."""
+    between = links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").select(F.coalesce("ra", "a").alias("a"), "b")
+    between = between.join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left").select("a", F.coalesce("rb", "b").alias("b"))
+    now = components(spark, between).distinct().select(F.col("node").alias("root"), F.col("root").alias("now"))
+    moved = roots.join(now, "root", "left").select("node", F.coalesce("now", "root").alias("root"))
+    return moved.unionAll(now.select(F.col("root").alias("node"), F.col("now").alias("root"))).distinct()
+
+
 def keep_one_of_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """One row of each component of texts whose sets of shingles have a Jaccard similarity of `least` or more.
 
     The row with the least (id, nulls last; shingle set; row) stays. Equal sets are one node. Candidates are nodes
-    that agree on a band of minima: first each with the first of its bucket. Then every pair of a bucket whose roots
-    still differ is compared by sketches that rule out no similar pair; those that may be similar are verified, the
-    nearest of each node first, and again with more of them until none is held back. Every link is
-    verified on the whole sets; only candidates' texts are read for that.
+    that agree on a band of minima (the bits of a SimHash tell 0.8 apart too poorly; it only picks a bucket's first node):
+    first each with the first of its bucket. Then every pair of a bucket whose roots still differ is compared by sketches
+    that rule out no similar pair and are as wide as the sets are large, so that few unlike pairs pass at any length;
+    those that do are verified, the nearest of each node first, and again with more of them until none is held back.
+    Every link is verified on the whole sets; only candidates' texts are read for that.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "near")
@@ -341,7 +379,7 @@ def keep_one_of_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str
             sets = shingle_sets(h, counts)
             nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets]
             bands = pa.FixedSizeListArray.from_arrays(pa.array(min_hashes(sets).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-            sketches = pa.array([x.tobytes() for x in odd_sketches(sets)], pa.binary())
+            sketches = pa.array(odd_sketches(sets), pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(majority_bits(h, counts).view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), bands, sketches], names=["id", *key, "node", "fp", "n", "bands", "sketch"])
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -350,7 +388,7 @@ def keep_one_of_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node", *key)).alias("best")
     nodes = scratch.write(rows.groupBy("node").agg(best, F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")))
     buckets = nodes.select("node", "fp", "n", F.explode("bands").alias("b"))
-    first = buckets.groupBy("b").agg(F.count("*").alias("size"), F.min(F.struct("fp", "node", "n")).alias("first")).where("size > 1")
+    first = buckets.groupBy("b").agg(F.count("*").alias("size"), F.sum(F.greatest("n", F.lit(SKETCH_BITS)) / 4).alias("bytes"), F.min(F.struct("fp", "node", "n")).alias("first")).where("size > 1")
     first = broadcast_if_small(scratch.write(first))
     # Buckets of one node are the most by far and go here.
     buckets = scratch.write(buckets.join(first, "b"))
@@ -367,25 +405,24 @@ def keep_one_of_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str
     sets = scratch.write(texts.mapInArrow(sets_of, "node long, shingles binary").dropDuplicates(["node"]))
     links = scratch.write(_jaccard_links(stars, sets, least))
     verified, most = stars, PAIRS
+    roots = scratch.write(components(spark, links).distinct())
     while True:
-        roots = scratch.write(components(spark, links).distinct())
-        rooted = scratch.write(buckets.select("b", "node", "n", "size").join(roots, "node", "left").select("b", "node", "n", "size", F.coalesce("root", "node").alias("root")))
+        rooted = scratch.write(buckets.select("b", "node", "n", "size", "bytes").join(roots, "node", "left").select("b", "node", "n", "size", "bytes", F.coalesce("root", "node").alias("root")))
         # Buckets of one component go here. Of the others, the root with the most members is dealt to blocks, the rest to all.
         main = rooted.groupBy("b", "root").agg(F.count("*").alias("n")).groupBy("b").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("b", "main.root")
         main = scratch.write(main.withColumnRenamed("root", "main"))
-        blocks = F.ceil(F.col("size") / BUCKET_ROWS).cast("int")
+        blocks = F.greatest(F.ceil(F.col("size") / BUCKET_ROWS), F.ceil(F.col("bytes") / BUCKET_BYTES)).cast("int")
         open_ = rooted.join(broadcast_if_small(main), "b").withColumns({"own": F.pmod(F.xxhash64("node"), blocks).cast("int"), "other": F.col("root") != F.col("main")})
         open_ = open_.withColumn("salt", F.explode(F.when(F.col("other"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("own"))))
         open_ = open_.join(nodes.select("node", "sketch"), "node").select("b", "salt", "node", "n", "root", "sketch", "other", (F.col("salt") == F.col("own")).alias("mine"))
         found = scratch.write(_across(open_.repartition("b", "salt").sortWithinPartitions("b", "salt"), least, most))
         new = scratch.write(found.select("a", "b").join(verified, ["a", "b"], "left_anti"))
         if not new.isEmpty():
-            links = links.unionAll(scratch.write(_jaccard_links(new, sets, least)))
+            roots = scratch.write(_joined_roots(spark, roots, scratch.write(_jaccard_links(new, sets, least))))
             verified = verified.unionAll(new)
         if found.where("cut").isEmpty():
             break
         most *= 8
-    roots = components(spark, links).distinct()
     rooted = scratch.write(nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "best"))
     kept = scratch.write(rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.__weft_k1", "best.__weft_k2"))
     # Equal rows have one key, by which the join has dealt them out.

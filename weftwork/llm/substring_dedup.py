@@ -8,13 +8,20 @@ hashes of their words, so no repeat is lost. Of equal windows a chunk hands on o
 
 A window repeats if its words also start at a smaller (id, position). Defined results: null texts have no words;
 texts under one window stay; a null id is less than any other; rows of one id are versions of one document, each judged
-by its own text, so equal rows get equal results and don't repeat each other. A text may have up to 2^28 words.
+by its own text, so equal rows get equal results and don't repeat each other. A text of over 2^28 words, which takes
+more than half a gigabyte, ends the job with an error that says so, since positions have 28 bits.
+
+A chunk makes a row for each range of which it has windows. Beyond SCALE_BYTES of text, chunks and ranges both grow with
+the root of the input, so that these rows stay in proportion to it; so does the memory of a task, ten times at 100 TB.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +40,10 @@ WINDOW = 20
 DEPTH, CELLS = 2, 22
 #: Text of a range of hashes: some million windows, for which a sketch has cells enough.
 RANGE_BYTES = 6_000_000
+#: Text from which on chunks and ranges grow.
+SCALE_BYTES = 1_000_000_000_000
+#: Buckets of a table at most, which is Spark's limit; larger inputs get larger buckets.
+MAX_BUCKETS = 100_000
 #: Text of a chunk, what a row counts besides its text, and text of a bucket of chunks.
 CHUNK_BYTES, ROW_BYTES, BUCKET_BYTES = 8_000_000, 64, 32_000_000
 #: Bits of a row's place in its chunk, and of a chunk's place in its task.
@@ -43,7 +54,7 @@ POS_BITS, MORE_BITS = 28, 20
 PIECE, CHUNK_WORDS, WORD_CACHE = 1 << 20, 200_000, 200_000
 ROLL = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 ROW_MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-SPACE = re.compile(rb"[\x20\x09-\x0D]")
+SPACE, WORD = re.compile(rb"[\x20\x09-\x0D]"), re.compile(rb"[^\x20\x09-\x0D]+")
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType())]))
 
 
@@ -101,6 +112,8 @@ def windows_of(texts: list[bytes | None], rows: list[int], window: int) -> tuple
     for i in rows:
         h = [np.fromiter(map(cache.__getitem__, w), np.uint64, len(w)) for w in words_of(texts[i])]
         h = h[0] if len(h) == 1 else np.concatenate([np.zeros(0, np.uint64), *h])
+        if len(h) >> POS_BITS:
+            raise ValueError(f"a text has {len(h)} words, more than the {1 << POS_BITS} whose positions can be held; cut it into several")
         if len(h) >= window:
             held_rows.append(i)
             held.append(h)
@@ -115,11 +128,25 @@ def windows_of(texts: list[bytes | None], rows: list[int], window: int) -> tuple
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def sketch_cells(h: np.ndarray, row: int, ranges: int) -> np.ndarray:
+class Plan(NamedTuple):
+    """How the windows are dealt out: text of a chunk, ranges of hashes, and cells of a range as a power of two."""
+
+    chunk: int
+    ranges: int
+    cells: int
+
+
+def plan_of(size: int) -> Plan:
+    """For so many bytes of text; a range keeps its share of cells for a window as it grows."""
+    grown = max(1.0, (size / SCALE_BYTES) ** 0.5)
+    return Plan(int(CHUNK_BYTES * grown), max(1, int(size / (RANGE_BYTES * grown))), CELLS + math.ceil(math.log2(grown)))
+
+
+def sketch_cells(h: np.ndarray, row: int, plan: Plan) -> np.ndarray:
     """Range and cell of each hash in a row of the sketches, as one number."""
-    of = ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-    cell = (h * np.uint64(ROW_MIX[row])) >> np.uint64(64 - CELLS)
-    return (of << np.uint64(CELLS) | cell).view(np.int64)
+    of = ((h >> np.uint64(32)) * np.uint64(plan.ranges)) >> np.uint64(32)
+    cell = (h * np.uint64(ROW_MIX[row])) >> np.uint64(64 - plan.cells)
+    return (of << np.uint64(plan.cells) | cell).view(np.int64)
 
 
 def _gaps(cells: np.ndarray) -> bytes:
@@ -136,8 +163,10 @@ def _cells(gaps: bytes) -> np.ndarray:
     return np.cumsum(step, dtype=np.int64)[step != 65535]
 
 
-def _chunked(df: DataFrame, text_col: str, scratch: Scratch) -> tuple[DataFrame, int]:
-    """df as a written table with __weft_chunk and __weft_row, bucketed by chunk; and the size of its texts."""
+def _chunked(df: DataFrame, text_col: str, scratch: Scratch) -> tuple[DataFrame, Plan]:
+    """df as a written table with __weft_chunk and __weft_row, bucketed by chunk; and how to deal its windows out."""
+    size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    plan = plan_of(size)
 
     def make():
         partition, local, row, held = TaskContext.get().partitionId(), 0, 0, 0
@@ -147,7 +176,7 @@ def _chunked(df: DataFrame, text_col: str, scratch: Scratch) -> tuple[DataFrame,
             sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text_col))), 0).to_numpy(zero_copy_only=False)
             chunks, rows = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int32)
             for i, n in enumerate(sizes.tolist()):
-                if held and held + n + ROW_BYTES > CHUNK_BYTES:
+                if held and held + n + ROW_BYTES > plan.chunk or row >> ROW_BITS:
                     local, row, held = local + 1, 0, 0
                 chunks[i], rows[i] = partition << LOCAL_BITS | local, row
                 row += 1
@@ -156,12 +185,12 @@ def _chunked(df: DataFrame, text_col: str, scratch: Scratch) -> tuple[DataFrame,
 
         return run
 
-    size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     fields = [T.StructField("__weft_chunk", T.LongType()), T.StructField("__weft_row", T.IntegerType())]
-    return scratch.write_buckets(append_columns(df, fields, make), "__weft_chunk", max(shuffle_partitions(df.sparkSession), size // BUCKET_BYTES)), size
+    buckets = min(MAX_BUCKETS, max(shuffle_partitions(df.sparkSession), size // BUCKET_BYTES))
+    return scratch.write_buckets(append_columns(df, fields, make), "__weft_chunk", buckets), plan
 
 
-def repeated_cells(docs: DataFrame, window: int, ranges: int) -> DataFrame:
+def repeated_cells(docs: DataFrame, window: int, plan: Plan) -> DataFrame:
     """(chunk, of, hits0, hits1): for each chunk and range of hashes, bits of the chunk's cells that count twice or more.
 
     The bits follow the order of the chunk's cells; where a row of a sketch has none, the range is left out.
@@ -175,12 +204,12 @@ def repeated_cells(docs: DataFrame, window: int, ranges: int) -> DataFrame:
         h = windows_of(texts, range(len(texts)), window)[2]
         found: dict[int, list[bytes]] = {}
         for r in range(DEPTH):
-            cell = sketch_cells(h, r, ranges)
+            cell = sketch_cells(h, r, plan)
             cell.sort()
             first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])[: len(cell)])
             again = np.diff(np.append(first, len(cell))) > 1
             cell = cell[first]
-            of, inside = cell >> CELLS, cell & ((1 << CELLS) - 1)
+            of, inside = cell >> plan.cells, cell & ((1 << plan.cells) - 1)
             start = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])[: len(of)])
             for s, e in zip(start.tolist(), [*start[1:].tolist(), len(of)], strict=False):
                 part = inside[s:e]
@@ -191,7 +220,7 @@ def repeated_cells(docs: DataFrame, window: int, ranges: int) -> DataFrame:
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         hits = []
         for r in range(DEPTH):
-            seen, twice = np.zeros(1 << CELLS, bool), np.zeros(1 << CELLS, bool)
+            seen, twice = np.zeros(1 << plan.cells, bool), np.zeros(1 << plan.cells, bool)
             blobs = table.column(f"seen{r}").to_pylist()
             for s, a in zip(blobs, table.column(f"again{r}").to_pylist(), strict=True):
                 cells = _cells(s)
@@ -206,15 +235,15 @@ def repeated_cells(docs: DataFrame, window: int, ranges: int) -> DataFrame:
     return parts.groupBy("of").applyInArrow(merge, "chunk long, of long, " + ", ".join(f"hits{r} binary" for r in range(DEPTH)))
 
 
-def _hit(h: np.ndarray, hits: pa.Table, ranges: int) -> np.ndarray:
+def _hit(h: np.ndarray, hits: pa.Table, plan: Plan) -> np.ndarray:
     """Which windows lie in cells that count twice or more, in each row of the sketches."""
     out = np.ones(len(h), bool)
     of = hits.column("of").to_pylist()
     for r in range(DEPTH):
-        cells, place = np.unique(sketch_cells(h, r, ranges), return_inverse=True)
+        cells, place = np.unique(sketch_cells(h, r, plan), return_inverse=True)
         on = np.zeros(len(cells), bool)
-        starts = np.searchsorted(cells, np.array(of, np.int64) << CELLS).tolist()
-        ends = np.searchsorted(cells, (np.array(of, np.int64) + 1) << CELLS).tolist()
+        starts = np.searchsorted(cells, np.array(of, np.int64) << plan.cells).tolist()
+        ends = np.searchsorted(cells, (np.array(of, np.int64) + 1) << plan.cells).tolist()
         for s, e, bits in zip(starts, ends, hits.column(f"hits{r}").to_pylist(), strict=True):
             on[s:e] = np.unpackbits(np.frombuffer(bits, np.uint8), count=e - s)
         out &= on[place]
@@ -231,7 +260,7 @@ def _pack(pos: np.ndarray, n: np.ndarray) -> np.ndarray:
     return pos.astype(np.int64) << POS_BITS | n.astype(np.int64)
 
 
-def repeats(docs: DataFrame, hits: DataFrame, window: int, ranges: int) -> DataFrame:
+def repeats(docs: DataFrame, hits: DataFrame, window: int, plan: Plan) -> DataFrame:
     """(chunk, row, run): runs of windows that start earlier elsewhere, for one of the rows that tie in (id, position).
 
     A row of the shuffle has a window's hash, its id, its row, and its place with more of the hash; or, with the sign
@@ -249,7 +278,7 @@ def repeats(docs: DataFrame, hits: DataFrame, window: int, ranges: int) -> DataF
         places = batch.column(batch.schema.get_field_index("row")).to_numpy().astype(np.int64)
         version = _versions(ids.to_pylist())
         row, pos, h1, h2 = windows_of(texts, range(len(texts)), window)
-        hit = np.flatnonzero(_hit(h1, right, ranges))
+        hit = np.flatnonzero(_hit(h1, right, plan))
         row, pos, h1, h2 = row[hit], pos[hit], h1[hit], h2[hit]
         # Of equal windows only the first here goes to the shuffle.
         by = np.lexsort((pos, version[row], h2, h1))
@@ -292,6 +321,17 @@ def repeats(docs: DataFrame, hits: DataFrame, window: int, ranges: int) -> DataF
     return ordered.mapInArrow(later_ones, "chunk long, row int, run long")
 
 
+def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without the words of these spans, in order, each cut up to the next word that stays, or to the end."""
+    parts, words, at, done = [], WORD.finditer(text), 0, 0
+    for first, last in spans:
+        start = next(islice(words, first - at, None)).start()
+        after = next(islice(words, last - first - 1, None), None)
+        parts.append(text[done:start])
+        at, done = last + 1, after.start() if after else len(text)
+    return b"".join([*parts, text[done:]])
+
+
 def _removed(batch: pa.RecordBatch, text_col: str, ids: list, runs: pa.Table, window: int) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
     """Starts and lengths of the runs of windows to remove, by row of a chunk, ties of what was found included."""
     place = batch.column(batch.schema.get_field_index("__weft_row")).to_numpy()
@@ -324,20 +364,21 @@ def _removed(batch: pa.RecordBatch, text_col: str, ids: list, runs: pa.Table, wi
     return out
 
 
-def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, layout: bool = False) -> DataFrame:
     """df with n_words, n_removed, kept_text (kept words, one space between) and removed (spans of words, from 0).
 
+    With layout, kept_text is the text as it was, from which each removed span is cut with what stands between it and
+    the next kept word; so lines and indents of the rest stay, and a text that loses nothing, or is null, stays as it is.
     One shuffle carries cells of all windows in few bytes each, one the windows that may repeat, one the runs found.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "substrings")
     new = ["n_words", "n_removed", "kept_text", "removed"]
-    table, size = _chunked(df.drop(*new), text_col, scratch)
-    ranges = max(1, size // RANGE_BYTES)
+    table, plan = _chunked(df.drop(*new), text_col, scratch)
     docs = table.select("__weft_chunk", "__weft_row", F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    hits = scratch.write(repeated_cells(docs, window, ranges))
+    hits = scratch.write(repeated_cells(docs, window, plan))
     free_shuffles(spark)
-    runs = scratch.write(repeats(docs, hits, window, ranges))
+    runs = scratch.write(repeats(docs, hits, window, plan))
     scratch.drop(hits)
     free_shuffles(spark)
 
@@ -349,6 +390,8 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         gone = np.cumsum(change[:-1]) > 0
         edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
         spans = [{"start": s, "n": e - s} for s, e in edge.reshape(-1, 2).tolist()]
+        if layout:
+            return int(gone.sum()), cut_words(text, [(x["start"], x["start"] + x["n"]) for x in spans]), spans
         kept, at = [], 0
         for words in words_of(text):
             kept += [w for w, g in zip(words, gone[at : at + len(words)].tolist(), strict=True) if not g]
@@ -367,8 +410,8 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 n = sum(map(len, words_of(text)))
                 out.append((n, *one(text, runs[i], n)))
             else:
-                parts = [(len(w), b" ".join(w)) for w in words_of(text)]
-                out.append((sum(n for n, _ in parts), 0, b" ".join(w for n, w in parts if n), []))
+                parts = [(len(w), b"" if layout else b" ".join(w)) for w in words_of(text)]
+                out.append((sum(n for n, _ in parts), 0, text if layout else b" ".join(w for n, w in parts if n), []))
         n_words, removed, kept, spans = zip(*out, strict=True)
         made = [pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())])))]
         return pa.table([*(batch.column(batch.schema.get_field_index(c)) for c in kept_columns), *made], names=[*kept_columns, *new])

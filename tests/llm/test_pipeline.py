@@ -51,11 +51,29 @@ def brute(rows, items):
 
 
 def cut(t, gone):
-    """The text without the words that go and what follows each up to the next word."""
-    out = re.match(r"[\x20\x09-\x0D]*", t)[0]
-    for m, g in zip(re.finditer(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", t), gone, strict=True):
-        out += "" if g else m[0]
-    return out
+    """The text without the words that go; of the blanks around such a stretch those with more line ends stay."""
+    parts = re.split(r"([\x20\x09-\x0D]+)", t)
+    if parts[0]:
+        parts.insert(0, "")
+    else:
+        del parts[0]
+    if not parts[-1]:
+        parts.pop()
+    else:
+        parts.append("")
+    # Blanks and words by turns, blanks at both ends.
+    out, blank = [], parts[0]
+    for i, g in enumerate(gone):
+        word, after = parts[2 * i + 1], parts[2 * i + 2]
+        if not g:
+            out += [blank, word]
+            blank = after
+        elif i + 1 == len(gone) or not gone[i + 1]:
+            if not out:
+                blank = after.rpartition("\n")[2] if "\n" in after else blank
+            elif after.count("\n") >= blank.count("\n"):
+                blank = after
+    return "".join([*out, blank])
 
 
 def leaks(t, items):

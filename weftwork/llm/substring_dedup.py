@@ -322,13 +322,26 @@ def repeats(docs: DataFrame, hits: DataFrame, window: int, plan: Plan) -> DataFr
 
 
 def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
-    """The text without the words of these spans, in order, each cut up to the next word that stays, or to the end."""
-    parts, words, at, done = [], WORD.finditer(text), 0, 0
+    """The text without the words of these spans (first, last + 1), which are in order and apart.
+
+    Of the blanks on both sides of a span those with more line ends stay, the later ones if equal, so that the next line
+    keeps its indent; at the start of a text the indent alone.
+    """
+    parts, words, at, done, word = [], WORD.finditer(text), 0, 0, None
     for first, last in spans:
-        start = next(islice(words, first - at, None)).start()
-        after = next(islice(words, last - first - 1, None), None)
-        parts.append(text[done:start])
-        at, done = last + 1, after.start() if after else len(text)
+        if first > at:
+            word = next(islice(words, first - at - 1, None))
+        low = word.end() if word else 0
+        begin = end = next(words)
+        if last - first > 1:
+            end = next(islice(words, last - first - 2, None))
+        word, at = next(words, None), last + 1
+        before, after = text[low : begin.start()], text[end.end() : word.start() if word else len(text)]
+        blank = after if after.count(b"\n") >= before.count(b"\n") else before
+        if not first:
+            blank = after.rpartition(b"\n")[2] if b"\n" in after else before
+        parts += [text[done:low], blank]
+        done = word.start() if word else len(text)
     return b"".join([*parts, text[done:]])
 
 
@@ -367,8 +380,8 @@ def _removed(batch: pa.RecordBatch, text_col: str, ids: list, runs: pa.Table, wi
 def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, layout: bool = False) -> DataFrame:
     """df with n_words, n_removed, kept_text (kept words, one space between) and removed (spans of words, from 0).
 
-    With layout, kept_text is the text as it was, from which each removed span is cut with what stands between it and
-    the next kept word; so lines and indents of the rest stay, and a text that loses nothing, or is null, stays as it is.
+    With layout, kept_text is the text as it was, from which the removed spans are cut; so lines and indents of the rest
+    stay, and a text that loses nothing, or is null, stays as it is.
     One shuffle carries cells of all windows in few bytes each, one the windows that may repeat, one the runs found.
     """
     spark = df.sparkSession

@@ -1,5 +1,8 @@
 """Which documents the language model learns from, and how they are dealt out."""
 
+import math
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -68,3 +71,39 @@ def test_a_document_scored_in_parts_is_scored_alike(monkeypatch):
     whole = net.score(docs)
     monkeypatch.setattr(lm, "SCORE_ROWS", 20)
     assert np.allclose(net.score(docs), whole, atol=1e-3)
+
+
+def base_of(rows, tokens):
+    """What the contract fixes, by a plain count over all rows."""
+    c = Counter(w for _, t in rows for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    return {i: (len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t)), 4)) for i, t in rows}
+
+
+def test_the_end_token_counts_where_every_word_is_as_rare(spark):
+    """At shipped settings, with more words of one count than the table of frequent ones holds."""
+    tokens = lambda t: [*t.encode().split(), b""]
+    for rows in ([(1, " ".join(f"w{i}" for i in range(lm.TABLE + 1)))], [(k, " ".join(f"w{i} w{i}" for i in range(lm.TABLE + 1)) if k < 2 else "w1 x") for k in range(3)]):
+        got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False)).collect()
+        assert {r.id: (r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got} == base_of(rows, tokens)
+        assert all(np.isfinite(r.score) and r.score < 0 for r in got)
+
+
+def test_the_end_token_is_in_the_vocabulary_once(spark, monkeypatch):
+    for size, want in ((2, [b"", b"a", b"b"]), (3, [b"", b"a", b"b"]), (9, [b"", b"a", b"b", b"c", b"d"])):
+        monkeypatch.setattr(lm, "TABLE", size)
+        counts = spark.createDataFrame([(w, c) for w, c in ((b"a", 90), (b"b", 80), (b"c", 5), (b"", 4), (b"d", 3))], "word binary, c long")
+        v = lm.Vocabulary(*lm.most_frequent(counts))
+        assert v.words[: len(want)] == want and v.count[0] == 4 and v.words.count(b"") == 1
+    monkeypatch.setattr(lm, "TABLE", 2)
+    flat = spark.createDataFrame([(w, 7) for w in (b"e", b"c", b"d", b"a", b"b")], "word binary, c long")
+    assert lm.most_frequent(flat) == ([b"a", b"b"], [7, 7])
+
+
+def test_scores_do_not_depend_on_how_rows_are_dealt(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 60")
+    once = {r.id: r.score for r in lm.score_documents(docs, crc_of_id("doc_id") % 7 == 2).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    again = {r.id: r.score for r in lm.score_documents(docs, crc_of_id("doc_id") % 7 == 2).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert once == again

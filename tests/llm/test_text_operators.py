@@ -5,6 +5,7 @@ import random
 import struct
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow.compute as pc
@@ -14,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from weftwork.llm import decontam, langid, lm, quality, registry, sentencepiece_scan, sharding, simhash, substring_dedup
-from weftwork.llm.common import components, crc_of_id
+from weftwork.llm.common import Scratch, components, crc_of_id
 
 MODEL = registry.MODEL_FILE
 
@@ -244,6 +245,26 @@ def test_decontamination(spark, monkeypatch):
     assert any(len(x) for x in want.values())
 
 
+def test_many_blocks_write_the_rows_once(spark, monkeypatch):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    items = [(i, " ".join(word() for _ in range(12))) for i in range(9)] + [(50, "the end"), (None, "no id of its own but many words")]
+    rows = [(i, " ".join([word(), items[i % 9][1], word(), items[(i * 5) % 9][1], "the end", items[10][1] if i % 7 == 0 else word()])) for i in range(60)]
+    rows += [(None, None), (7, ""), (7, "the end"), (8, "nothing")] + rows[:3]
+    df, bench = docs(spark, rows).withColumn("matches", F.lit("clash")), spark.createDataFrame(items, "item_id long, text string")
+    one = decontam.find_contamination(df, bench).collect()
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 200)
+    assert len(list(decontam._blocks(bench, "item_id", "text"))) >= 3
+    written = []
+    monkeypatch.setattr(decontam, "Scratch", lambda *a: written.append(Scratch(*a)) or written[-1])
+    many = decontam.find_contamination(df, bench).collect()
+    assert sorted(map(repr, many)) == sorted(map(repr, one)) and any(len(r.matches) > 2 for r in one) and any(r.short_matches for r in one)
+    # The texts, and their normal forms, stand in one table, whatever the number of blocks; the rest are matches.
+    root = Path(written[0].root.removeprefix("file://"))
+    assert written[0].n == 1 and sorted(p.name for p in root.iterdir()) == ["1", "found"]
+    assert not {"text", "__weft_normal"} & set(spark.read.parquet(f"{written[0].root}/found").columns)
+
+
 def test_short_items_are_reported_apart(spark):
     bench = spark.createDataFrame([(1, "Paris"), (2, "a b!"), (3, "?"), (None, "x"), (4, "漢字")], "item_id long, text string")
     rows = [(1, "In paris, A: B"), (2, "Parisian a bc"), (3, "x"), (4, "漢字 x 漢字"), (5, None)]
@@ -400,7 +421,7 @@ def test_quality_edges(spark):
     common = "Shared   header line of the site"
     texts = [None, "", "\n\n", " ".join("ab cd".split() * 30), "a " * 9, "x y z\nx y z\n\r\n", "# $ %%", *(f"{common}\n" + " ".join(f"w{i}k{j}" for j in range(40)) for i in range(12)), common + " \n" + common.upper() + " " + " ".join(["pad"] * 0)]
     rows = [(i, t, None if i % 2 else "h") for i, t in enumerate(texts)]
-    rows += [(50 + i, common.lower() + "\n" + common + "\n" + " ".join(common for _ in range(4)), "h") for i in range(12)]
+    rows += [(50 + i, common.lower() + "\n" + common + "\n" + " ".join(common for _ in range(4)) + f" {i}", "h") for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r for r in quality.quality_rules(df).collect()}
     for i, t, _ in rows:
@@ -432,6 +453,23 @@ def test_depleted_documents_are_rejected(spark):
     assert got[200] == (True, False, 0)
 
 
+def test_the_limit_of_lines_does_not_loosen_and_copies_are_one_document(spark):
+    body = lambda i: " ".join(f"w{i}k{j}" for j in range(30))
+    few, many = " ".join(f"f{j}" for j in range(120)), " ".join(f"m{j}" for j in range(120))
+    rows = [(i, f"{few if i < 10 else many if i < 31 else f'x{i}'}\n{body(i)}", "h") for i in range(1000)]
+    # A text of which there are many copies has lines in many rows, but in one document.
+    rows += [(2000 + i, f"{many}y\n{body(-1)}", "h") for i in range(300)]
+    got = {r.doc_id: (r.kept, r.n_lines_removed) for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i] == (True, 0) for i in (*range(10), *range(31, 1000), *range(2000, 2300)))
+    assert all(got[i] == (False, 1) for i in range(10, 31))
+
+
+def test_lines_alone_reject_some_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    out = quality.quality_rules(docs)
+    assert 0 < out.where("not base_failed and not kept").count() < 0.01 * docs.count()
+
+
 # op2
 
 

@@ -12,10 +12,11 @@ are each reported; repeated documents are each answered.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -147,16 +148,28 @@ def _with_block(df: DataFrame, block: list[tuple[int, str]], rate: float, names:
 def find_contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = MAX_ERROR_RATE) -> DataFrame:
     """df with matches: items found, with their span in the normalised text and their distance; and short_matches.
 
-    One pass over df for each block of the benchmark; the documents are not shuffled. With several blocks each
-    pass is written, so that a task holds one block at a time.
+    The documents are not shuffled and read once if one block holds the benchmark. Otherwise they are written once, with
+    a key; each block reads keys and normalised texts alone and writes what it finds, which is joined to them at the end.
+    A task holds one block at a time.
     """
-    names, more = ["matches", "short_matches"], ["__weft_more", "__weft_more_short"]
+    names = ["matches", "short_matches"]
     blocks = _blocks(benchmark, item_id, item_text)
-    first = next(blocks, [])
-    out = _with_block(df.withColumn("__weft_normal", normal(text_col)), first, rate, names)
-    scratch = None
-    for block in blocks:
-        scratch = scratch or Scratch(df.sparkSession, "decontam")
-        was = scratch.write(out)
-        out = _with_block(was, block, rate, more).withColumns({a: F.concat(a, b) for a, b in zip(names, more, strict=True)}).drop(*more)
-    return out.drop("__weft_normal")
+    first, second = next(blocks, []), next(blocks, None)
+    rows = df.drop(*names).withColumn("__weft_normal", normal(text_col))
+    if second is None:
+        return _with_block(rows, first, rate, names).drop("__weft_normal")
+    scratch = Scratch(df.sparkSession, "decontam")
+    rows = scratch.write(rows.withColumn("__weft_key", F.monotonically_increasing_id()))
+    path = scratch.new_path("found")
+    for block in chain([first, second], blocks):
+        found = _with_block(rows.select("__weft_key", "__weft_normal"), block, rate, names).drop("__weft_normal")
+        found.where((F.size("matches") > 0) | (F.size("short_matches") > 0)).write.mode("append").parquet(path)
+    found = df.sparkSession.read.schema(found.schema).parquet(path).groupBy("__weft_key").agg(*(_in_order(F.flatten(F.collect_list(k))).alias(k) for k in names))
+    out = rows.drop("__weft_normal").join(found, "__weft_key", "left").drop("__weft_key")
+    return out.withColumns({k: F.coalesce(k, F.array().cast(MATCHES)) for k in names})
+
+
+def _in_order(matches: Column) -> Column:
+    """Matches by place, then item, as those of one block are."""
+    key = F.transform(matches, lambda m: F.struct(m["start"], m["end"], m["item_id"], m["distance"]))
+    return F.transform(F.array_sort(key), lambda m: F.struct(m["item_id"].alias("item_id"), m["start"].alias("start"), m["end"].alias("end"), m["distance"].alias("distance")))

@@ -111,15 +111,21 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def most_frequent(counts: DataFrame) -> tuple[list[bytes], list[int]]:
-    """At most TABLE words by falling count. A histogram over powers of two's 64th parts tells from which count on."""
+    """At most TABLE words by falling count, and the end token if it was counted.
+
+    A histogram over powers of two's 64th parts tells from which count on. If even its first part has too many words, the
+    first of these by count and word are taken.
+    """
     bucket = F.floor(F.log2("c") * 64).cast("int")
-    n, least = 0, 1 << 30
+    n, least, first = 0, 1 << 30, None
     for r in counts.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).orderBy(F.desc("b")).collect():
-        n += r.n
-        if n > TABLE:
+        first = r.b if first is None else first
+        if n + r.n > TABLE:
             break
-        least = r.b
-    top = counts.where(bucket >= least).toArrow()
+        n, least = n + r.n, r.b
+    top = counts.where(bucket >= least) if n or first is None else counts.where(bucket == first).orderBy(F.desc("c"), "word").limit(TABLE)
+    # The end token may be rarer than all these; its count is looked up, as it is in every document.
+    top = top.where(F.col("word") != END).unionAll(counts.where(F.col("word") == END)).select("word", "c").toArrow()
     words, c = top.column("word").to_pylist(), top.column("c").to_pylist()
     order = sorted(range(len(words)), key=lambda i: (-c[i], words[i]))
     return [words[i] for i in order], [c[i] for i in order]
@@ -412,7 +418,8 @@ def _trained(data: DataFrame, vocabulary, size: int) -> Network:
         sums, weight = {k: np.zeros(a.shape) for k, a in net.p.items()}, Counter()
         part = data.where(F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(ROUNDS)) == turn).select("units", "key")
         # Written first, since reading partition by partition would train the replicas one after another.
-        made, left = scratch.write(part.repartition(replicas, F.xxhash64(F.lit(6), "key")).select("units").mapInArrow(replica, "name string, value binary, n long")), replicas
+        # Sorted, since the order in which blocks arrive would else be that of training.
+        made, left = scratch.write(part.repartition(replicas, F.xxhash64(F.lit(6), "key")).sortWithinPartitions("key").select("units").mapInArrow(replica, "name string, value binary, n long")), replicas
         while left > SUMMED:
             left = -(-left // SUMMED)
             made = scratch.write(made.repartition(left).mapInArrow(summed, "name string, value binary, n long"))

@@ -1,22 +1,25 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
 Lines are normalised and hashed; a line that more documents of a host hold than a limit is taken out, and documents
-left with too little are rejected. Before that stand rules on words, repeated 8-word windows among them.
+left with too little are rejected. Before that stand rules on words, repeated 8-word windows among them. The limit is a
+share of the host's documents, but no more than MOST_DOCS, so that it doesn't loosen as a host grows. Copies of one text
+are one document there: a text is not depleted by being copied.
 
-Defined results: a null text has no words or lines; a null host is a host of its own; a row is a document, so
-repeated rows count as often as they occur. Columns of df with the names of the results are replaced.
+Defined results: a null text has no words or lines; a null host is a host of its own; each row is answered. Columns of df with the names of the results are replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, bind
+from .common import BROADCAST_BYTES, BROADCAST_ROWS, Scratch, bind
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: A line goes if over this share of its host's documents hold it, and at least so many do.
-MAX_SHARE, MIN_DOCS = 0.1, 10
+#: A line goes if over this share of its host's different documents hold it, or over MOST_DOCS, and at least MIN_DOCS do.
+MAX_SHARE, MIN_DOCS, MOST_DOCS = 0.1, 10, 10
 #: A document whose lines lose more than this percentage of their characters is depleted.
 MAX_REMOVED = 70
 #: Rules on words: fewer than MIN_WORDS, or over MAX_REPEATED per cent in repeated windows, fails.
@@ -37,14 +40,20 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), SPACE, " "))
 
 
+def doubled(k: int) -> Callable[[Column], Column]:
+    """From the hashes of all stretches of k words, at least k of them, those of all stretches of 2 k."""
+    return lambda h: F.zip_with(F.slice(h, F.lit(1), F.size(h) - k), F.slice(h, F.lit(k + 1), F.size(h) - k), lambda a, b: F.xxhash64(a, b))
+
+
 def repeat_words(w: Column) -> Column:
     """Words within windows that occur twice or more in the text.
 
-    Most texts repeat no window, which the number of distinct hashes shows; else equal ones are neighbours when
-    sorted, and sorted starts tell what they cover.
+    A window's hash is made from those of its halves, pairs first. Most texts repeat no window, which the number of
+    distinct hashes shows; else equal ones are neighbours when sorted, and sorted starts tell what they cover.
     """
-    starts = F.sequence(F.lit(1), F.size(w) - (WINDOW - 1))
-    hashes = bind(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.transform(starts, lambda i: F.xxhash64(F.slice(h, i, WINDOW))))
+    hashes = F.transform(w, lambda x: F.xxhash64(x))
+    for k in (1, 2, 4):
+        hashes = bind(hashes, doubled(k))
 
     def covered(h: Column) -> Column:
         ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -77,16 +86,18 @@ def line_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(lines(F.coalesce(text, F.lit(""))), lambda x: F.xxhash64(normal_line(x))))
 
 
-def frequent_lines(df: DataFrame, host_col: str, text_col: str, max_share: float, min_docs: int) -> DataFrame:
+def frequent_lines(df: DataFrame, host_col: str, text_col: str, max_share: float, min_docs: int, most_docs: int) -> DataFrame:
     """(__weft_host, h): hashes of the lines above the limit of their host.
 
-    A line counts once in a document. Counts combine in the tasks before the shuffle, so neither a hot host nor a
-    hot line makes a large group. A host has at most 1 / max_share times a document's mean number of lines.
+    A line counts once in a document, and documents of one text, told by 64 bits, count once. Counts combine in the tasks
+    before the shuffle, so neither a hot host nor a hot line makes a large group.
     """
-    docs = df.select(F.col(host_col).alias("__weft_host"), line_hashes(F.col(text_col)).alias("hashes"))
-    hosts = df.groupBy(F.col(host_col).alias("__weft_of")).agg(F.count("*").alias("docs"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = df.select(F.col(host_col).alias("__weft_host"), F.xxhash64(text).alias("text"), line_hashes(text).alias("hashes")).dropDuplicates(["__weft_host", "text"])
+    hosts = df.select(F.col(host_col).alias("__weft_of"), F.xxhash64(text).alias("text")).distinct().groupBy("__weft_of").agg(F.count("*").alias("docs"))
     counts = docs.select("__weft_host", F.explode("hashes").alias("h")).groupBy("__weft_host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    return counts.join(hosts, F.col("__weft_host").eqNullSafe(F.col("__weft_of"))).where(F.col("n") > max_share * F.col("docs")).select("__weft_host", "h")
+    limit = F.least(max_share * F.col("docs"), F.lit(float(most_docs)))
+    return counts.join(hosts, F.col("__weft_host").eqNullSafe(F.col("__weft_of"))).where(F.col("n") > limit).select("__weft_host", "h")
 
 
 def with_common(df: DataFrame, common: DataFrame, host_col: str, text_col: str, scratch: Scratch) -> DataFrame:
@@ -95,8 +106,9 @@ def with_common(df: DataFrame, common: DataFrame, host_col: str, text_col: str,
     Short lists of few hosts are broadcast, as their number and length are counted first. Otherwise lines meet the
     frequent ones in a join by host and line, and each row gets its own.
     """
-    total, longest = common.groupBy("__weft_host").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    if total <= BROADCAST_ROWS and longest <= LIST_LINES:
+    n, size = F.count("*").alias("n"), (8 * F.count("*") + F.coalesce(F.max(F.octet_length(F.col("__weft_host").cast("string"))), F.lit(0))).alias("size")
+    total, longest, size = common.groupBy("__weft_host").agg(n, size).agg(*(F.coalesce(x, F.lit(0)) for x in (F.sum("n"), F.max("n"), F.sum("size")))).first()
+    if total <= BROADCAST_ROWS and longest <= LIST_LINES and size <= BROADCAST_BYTES:
         lists = common.groupBy("__weft_host").agg(F.sort_array(F.collect_list("h")).alias("__weft_common"))
         return df.join(F.broadcast(lists), F.col(host_col).eqNullSafe(F.col("__weft_host")), "left").drop("__weft_host")
     rows = scratch.write(df.withColumn("__weft_row", F.monotonically_increasing_id()))
@@ -105,13 +117,13 @@ def with_common(df: DataFrame, common: DataFrame, host_col: str, text_col: str,
     return rows.join(met.groupBy("__weft_row").agg(F.collect_list("h").alias("__weft_common")), "__weft_row", "left").drop("__weft_row")
 
 
-def quality_rules(df: DataFrame, text_col: str = "text", host_col: str = "source", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
+def quality_rules(df: DataFrame, text_col: str = "text", host_col: str = "source", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, most_docs: int = MOST_DOCS) -> DataFrame:
     """df with the measures, base_failed, n_lines_removed, kept_text (text without frequent lines) and kept.
 
     The texts are read twice and never shuffled unless there are very many frequent lines.
     """
     scratch = Scratch(df.sparkSession, "quality")
-    common = scratch.write(frequent_lines(df, host_col, text_col, max_share, min_docs))
+    common = scratch.write(frequent_lines(df, host_col, text_col, max_share, min_docs, most_docs))
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines_removed", "kept_text", "kept"]
     joined = with_common(df.drop(*new), common, host_col, text_col, scratch)
     t = F.coalesce(F.col(text_col), F.lit(""))

@@ -18,12 +18,12 @@ with docs as (
 ), rep as (
   select rid, sum(g)::bigint as n from gaps group by rid
 ), line as (
-  select rid, host, trim(regexp_replace(lower(unnest(ls)), '[\x20\x09-\x0D]+', ' ', 'g')) as l from split
+  select rid, host, t, trim(regexp_replace(lower(unnest(ls)), '[\x20\x09-\x0D]+', ' ', 'g')) as l from split
 ), per_host as (
-  select host, count(*) as docs from docs group by host
+  select host, count(distinct t) as docs from docs group by host
 ), often as (
-  select c.host, c.l from (select host, l, count(distinct rid) as n from line group by host, l) c
-  join per_host p on c.host is not distinct from p.host where c.n >= 10 and c.n > 0.1 * p.docs
+  select c.host, c.l from (select host, l, count(distinct t) as n from line group by host, l) c
+  join per_host p on c.host is not distinct from p.host where c.n >= 10 and c.n > least(0.1 * p.docs, 10)
 ), lost as (
   select a.rid, sum(length(a.l)) as chars, sum(case when o.l is not null then length(a.l) else 0 end) as gone,
     count(o.l) as lines

@@ -68,8 +68,8 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
-    return out.select("doc_id", (F.size("matches") > 0).alias("contaminated"), items.alias("item_ids"), F.size("matches").cast("long").alias("n_matches"))
+    items = lambda k: F.array_sort(F.array_distinct(F.transform(k, lambda m: m["item_id"])))
+    return out.select("doc_id", (F.size("matches") > 0).alias("contaminated"), items("matches").alias("item_ids"), F.size("matches").cast("long").alias("n_matches"), items("short_matches").alias("short_item_ids"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

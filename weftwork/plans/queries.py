@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftwork.operators import parsing as P
+from weftwork.operators.ancestry import ancestry_depth
 from weftwork.plans import standin, tables
 from weftwork.sources.git_log import read_log, write_tables
 from weftwork.streaming.log_stream import append_available, stream_bad_records, stream_parents, stream_records, write_available
@@ -41,6 +42,22 @@ def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.join_parents(P.parent_edges(good), good, "author_email").select("repo", "child", "parent", "parent_author_email")
 
 
+def depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth of ancestry over the parent edges of the export, which are chains."""
+    path = f"{standin.shared_folder(spark)}/narrow"
+    P.parse_parents(_good(spark, sf_dir)).select("repo", "sha", "parents").write.parquet(path)
+    good = spark.read.parquet(path)
+    return ancestry_depth(P.parent_edges(good), good)
+
+
+def merged_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a graph of merges: orders stand for commits, whose parents have half and a third of their key."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.lit("all").alias("repo"), F.col("o_orderkey").alias("k"))
+    parents = F.explode(F.array(F.expr("k div 2"), F.expr("k div 3"))).alias("parent")
+    edges = orders.select("repo", F.col("k").cast("string").alias("child"), parents).withColumn("parent", F.col("parent").cast("string"))
+    return ancestry_depth(edges, orders.select("repo", F.col("k").cast("string").alias("sha")))
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = P.parse_message(_good(spark, sf_dir))
     return out.select("sha", "subject", "body", F.array_join(F.transform("trailers", lambda t: F.concat_ws("=", t["key"], t["value"])), ";").alias("trailers"))
@@ -151,6 +168,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "b3_times": times,
     "b4_parent_edges": edges,
     "b4_parent_join": parents,
+    "ancestry_depth": depths,
+    "ancestry_depth_merges": merged_depths,
     "b5_messages": messages,
     "b6_good_lines": good_lines,
     "b6_bad_lines": bad_lines,
@@ -244,6 +263,15 @@ ORACLE_SQL = {
     "b4_parent_edges": f"with {_ORDERS} select repo, sha as child, lpad(lower(printf('%X', before)), 40, '0') as parent, 0::bigint as ordinal from o where before is not null",
     "b4_parent_join": _PARENTS,
     "stream_parents": _PARENTS,
+    "ancestry_depth": f"with {_ORDERS} select repo, sha, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1 as depth from o",
+    "ancestry_depth_merges": """with recursive e as (
+  select a.o_orderkey as child, b.o_orderkey as parent from orders a join orders b on b.o_orderkey = a.o_orderkey // 2 where a.o_orderkey <> b.o_orderkey
+  union select a.o_orderkey, b.o_orderkey from orders a join orders b on b.o_orderkey = a.o_orderkey // 3 where a.o_orderkey <> b.o_orderkey
+), r as (
+  select distinct o_orderkey as k, 0::bigint as d from orders where o_orderkey not in (select child from e)
+  union select child, d + 1 from r join e on parent = k
+)
+select 'all' as repo, k::varchar as sha, max(d) as depth from r group by k""",
     "b5_messages": f"with {_ORDERS} select sha, 'Order ' || o_orderkey as subject, 'First line of ' || o_orderkey || chr(10) || 'Note: not a trailer' as body, 'Priority=' || o_orderpriority || ';Status=' || o_orderstatus || ';Status=again' as trailers from o",
     "b6_file_changes": f"with {_CHANGES} select repo, sha, pos::bigint as pos, path, old_path, coalesce(try_cast(a as bigint), -1) as added, coalesce(try_cast(d as bigint), -1) as deleted, is_binary from f",
     "b6_good_lines": f"with {_CHANGES} select repo, sha, (pos + if(o_orderkey % 11 = 0, 4, 0))::bigint as pos, path, old_path, coalesce(try_cast(a as bigint), -1) as added, coalesce(try_cast(d as bigint), -1) as deleted, is_binary from f",

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "weftwork", **conf: str) -> SparkSession:
@@ -33,3 +34,26 @@ def shared_dir(spark: SparkSession) -> str:
 def path_exists(spark: SparkSession, path: str) -> bool:
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
     return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
+class Steps:
+    """Tables that a job of several rounds writes to the shared folder: they cut lineage and outlive executors."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = self.path(str(self.n))
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._step = path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Deletes a table written here that nothing reads any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._step)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,0 +1,108 @@
+"""As-of joins and files over renames against plain searches."""
+
+import datetime as dt
+import random
+
+import pytest
+
+from weftwork.operators.timeline import asof_join, carry_last, file_identities
+from weftwork.session import Steps
+
+DAY = dt.datetime(2024, 1, 1)
+
+
+@pytest.fixture
+def many_slices(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_hot_group_is_dealt_to_many_slices(spark, many_slices):
+    rng = random.Random(1)
+    rows = [("hot" if rng.random() < 0.8 else rng.choice(["a", None]), i, rng.randrange(100) if rng.random() < 0.05 else None) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, t int, v int")
+    steps = Steps(spark, "test")
+    got = carry_last(df, ["g"], ["t"], "v", "last", steps).collect()
+    want, last = {}, {}
+    for g, t, v in rows:
+        last[g] = last.get(g) if v is None else v
+        want[t] = last[g]
+    assert {r.t: r.last for r in got} == want and len(got) == 600
+    slices = spark.read.parquet(f"{steps.root}/1").where("g = 'hot'").groupBy("_slice").count().collect()
+    assert len(slices) > 2 and max(r["count"] for r in slices) < 400
+
+
+def test_asof_join(spark, many_slices):
+    rng = random.Random(2)
+    at = lambda: None if rng.random() < 0.05 else DAY + dt.timedelta(days=rng.randrange(40))
+    right = [(rng.choice("abbbbbb"), at(), rng.randrange(9), rng.choice([None, "x", "y", "z"])) for _ in range(300)]
+    left = [(rng.choice("abbbbbc"), at(), i % 50, "old") for i in range(200)]
+    r = spark.createDataFrame(right, "g string, at timestamp, n int, v string")
+    got = asof_join(spark.createDataFrame(left, "g string, at timestamp, k int, v string"), r, ["g"], "at", ["v", "n"], ["n", "v"]).collect()
+
+    def best(g, t):
+        rows = [(x[1], x[2], x[3] or "", x[3]) for x in right if x[0] == g and t is not None and x[1] is not None and x[1] <= t]
+        return (max(rows)[3], max(rows)[1]) if rows else (None, None)
+
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((g, t, k, *best(g, t))) for g, t, k, _ in left)
+    assert got[0].__fields__ == ["g", "at", "k", "v", "n"]
+    assert asof_join(r, r.limit(0), ["g"], "at", ["v"], ["n"]).where("v is null").count() == 300
+
+
+def brute_files(changes):
+    """The first name of each change's file, commit by commit."""
+    names, out = {}, {}
+    commits = {}
+    for c in changes:
+        commits.setdefault((c[0], c[5], c[1]), []).append(c)
+    for (repo, _, _), rows in sorted(commits.items()):
+        before = dict(names)
+        for _, sha, pos, path, old, _ in sorted(rows, key=lambda c: c[2]):
+            if old is not None:
+                names[repo, path] = before.get((repo, old), old)
+            out[repo, sha, pos] = names.get((repo, path), path)
+    return out
+
+
+FIELDS = "repo string, sha string, pos int, path string, old_path string, committed_at timestamp"
+
+
+def check(spark, changes):
+    got = file_identities(spark.createDataFrame(changes, FIELDS).repartition(4)).collect()
+    assert {(r.repo, r.sha, r.pos): r.file_path for r in got} == brute_files(changes)
+    assert len(got) == len(changes)
+
+
+def test_names_that_come_back_and_branch(spark):
+    day = lambda n: DAY + dt.timedelta(days=n)
+    there = [("r", "1", 0, "a", None, day(1)), ("r", "2", 0, "b", "a", day(2)), ("r", "3", 0, "a", "b", day(3)), ("r", "4", 0, "a", None, day(4))]
+    branches = [("s", "1", 0, "x", None, day(1)), ("s", "2", 0, "y", "x", day(2)), ("s", "3", 0, "z", "x", day(2)), ("s", "4", 0, "x", None, day(3)), ("s", "5", 0, "y", None, day(4)), ("s", "6", 0, "z", None, day(4))]
+    swap = [("t", "1", 0, "p", None, day(1)), ("t", "1", 1, "q", None, day(1)), ("t", "2", 0, "q", "p", day(2)), ("t", "2", 1, "p", "q", day(2)), ("t", "3", 0, "p", None, day(3))]
+    assert brute_files(there + branches + swap) == {("r", f"{i}", 0): "a" for i in range(1, 5)} | {("s", f"{i}", 0): "x" for i in range(1, 7)} | {("t", "1", 0): "p", ("t", "1", 1): "q", ("t", "2", 0): "p", ("t", "2", 1): "q", ("t", "3", 0): "q"}
+    check(spark, there + branches + swap)
+
+
+def test_random_renames(spark, many_slices):
+    rng = random.Random(3)
+    changes = []
+    for i in range(150):
+        repo, at = rng.choice("uv"), DAY + dt.timedelta(hours=rng.randrange(200))
+        for pos, path in enumerate(rng.sample("abcdefg", rng.randrange(1, 4))):
+            changes.append((repo, f"{i:03}", pos, path, rng.choice([None, None, *(set("abcdefg") - {path})]), at))
+    check(spark, changes)
+
+
+def test_a_long_way_of_names_takes_few_rounds(spark, monkeypatch):
+    written = []
+    write = Steps.write
+    monkeypatch.setattr(Steps, "write", lambda self, df: written.append(1) or write(self, df))
+    check(spark, [("r", f"{i:04}", 0, f"n{i + 1}", f"n{i}", DAY + dt.timedelta(hours=i)) for i in range(300)])
+    assert len(written) < 18
+
+
+def test_no_changes_and_repeated_rows(spark):
+    assert file_identities(spark.createDataFrame([], FIELDS)).count() == 0
+    rows = [("r", "1", 0, "b", "a", DAY), ("r", "2", 0, "c", "b", DAY + dt.timedelta(1)), ("r", "3", 0, "c", None, None)]
+    got = file_identities(spark.createDataFrame(rows * 3, FIELDS)).collect()
+    assert sorted((r.sha, r.file_path) for r in got) == sorted([("1", "a"), ("2", "a"), ("3", "c")] * 3)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftwork.operators import parsing as P
 from weftwork.operators.ancestry import ancestry_depth
+from weftwork.operators.timeline import asof_join, file_identities
 from weftwork.plans import standin, tables
 from weftwork.sources.git_log import read_log, write_tables
 from weftwork.streaming.log_stream import append_available, stream_bad_records, stream_parents, stream_records, write_available
@@ -161,6 +162,22 @@ def latest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.groupBy("repo", "path").agg(last, F.count("*").alias("changes")).select("repo", "path", F.col("last.sha").alias("last_sha"), "changes")
 
 
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each file was changed, under all its names."""
+    changes = tables.file_changes(P.parse_times(_good(spark, sf_dir)), "committed_at")
+    return file_identities(changes).groupBy("repo", "file_path").agg(F.count("*").alias("changes"), F.countDistinct("path").alias("names"))
+
+
+def files_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last change of each path before each month in which its repository's path was changed begins."""
+    path = f"{standin.shared_folder(spark)}/changes"
+    tables.file_changes(P.parse_times(_good(spark, sf_dir)), "committed_at").select("repo", "path", "sha", "pos", "added", "committed_at").write.parquet(path)
+    changes = spark.read.parquet(path)
+    asked = changes.select("repo", "path", F.date_trunc("month", "committed_at").alias("committed_at")).distinct()
+    out = asof_join(asked, changes, ["repo", "path"], "committed_at", ["sha", "added"], ["sha", "pos"])
+    return out.select("repo", "path", F.date_format("committed_at", "yyyy-MM-dd").alias("month"), "sha", F.coalesce("added", F.lit(-1)).alias("added"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "b6_file_changes": file_changes,
     "b1_read_log": read_records,
@@ -186,6 +203,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_bad_records": streamed_bad,
     "activity_by_week": activity,
     "latest_changes": latest_changes,
+    "files_over_renames": files,
+    "files_as_of": files_as_of,
 }
 
 _ORDERS = r"""
@@ -288,4 +307,11 @@ select 'all' as repo, k::varchar as sha, max(d) as depth from r group by k""",
     "stream_records": f"with {_ORDERS} select repo, sha, zone as author_offset from o",
     "activity_by_week": f"with {_ORDERS} select o_custkey || '@example.com' as author_email, strftime(date_trunc('week', make_timestamp(s * 1000000)), '%Y-%m-%d') as week, count(*) as commits from o group by 1, 2",
     "latest_changes": f"with {_CHANGES} select repo, path, arg_max(sha, (s, sha)) as last_sha, count(*) as changes from f group by repo, path",
+    "files_over_renames": f"with {_CHANGES} select repo, coalesce(old_path, path) as file_path, count(*) as changes, count(distinct path) as names from f group by 1, 2",
+    "files_as_of": f"""with {_CHANGES}, c as (
+  select repo, path, s, arg_max(sha, (sha, pos)) as sha, arg_max(coalesce(try_cast(a as bigint), -1), (sha, pos)) as added from f group by repo, path, s
+), m as (
+  select distinct repo, path, date_trunc('month', make_timestamp(s * 1000000)) as month from f
+)
+select m.repo, m.path, strftime(month, '%Y-%m-%d') as month, c.sha, coalesce(c.added, -1) as added from m asof left join c on m.repo = c.repo and m.path = c.path and epoch(month)::bigint >= c.s""",
 }

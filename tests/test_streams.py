@@ -98,3 +98,18 @@ def test_parents_that_arrive_later_or_never(spark, tmp_path):
     done = [*joined, ("merge", "never", 0, None)]
     assert step(3, 120 * day, rec("other")) == done
     assert step(4, 121 * day, rec("never"), rec("another")) == done
+
+
+def test_sessions_wait_for_late_commits(spark, tmp_path):
+    def step(name, *commits):
+        arrive(tmp_path, name, *(rec(k, mail=m, ct=f"2024-03-{t}:00Z") for k, m, t in commits))
+        S.write_available(S.stream_sessions(spark, str(tmp_path / "log"), "2 hours", "1 day"), str(tmp_path / "out"), str(tmp_path / "at"))
+        return sorted((r.author_email, f"{r.started_at:%d %H:%M}", f"{r.ended_at:%d %H:%M}", r.commits) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert step(1, ("a", "x", "01T10:00"), ("b", "x", "01T11:00"), ("c", "y", "01T11:30"), ("a", "x", "01T10:00")) == []
+    # Late, and between two stretches that it joins to one; copies count once.
+    assert step(2, ("d", "x", "01T14:00"), ("e", "x", "01T12:30"), ("b", "x", "01T11:00")) == []
+    done = [("x", "01 10:00", "01 14:00", 4), ("y", "01 11:30", "01 11:30", 1)]
+    assert step(3, ("f", "y", "05T00:00")) == done
+    # Too late, so dropped; the open session comes through at last.
+    assert step(4, ("g", "x", "01T15:00"), ("h", "z", "09T00:00")) == [*done, ("y", "05 00:00", "05 00:00", 1)]

@@ -4,8 +4,9 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from weftwork.operators.timeline import asof_join, carry_last, file_identities
+from weftwork.operators.timeline import asof_join, carry_last, file_identities, work_sessions
 from weftwork.session import Steps
 
 DAY = dt.datetime(2024, 1, 1)
@@ -106,3 +107,14 @@ def test_no_changes_and_repeated_rows(spark):
     rows = [("r", "1", 0, "b", "a", DAY), ("r", "2", 0, "c", "b", DAY + dt.timedelta(1)), ("r", "3", 0, "c", None, None)]
     got = file_identities(spark.createDataFrame(rows * 3, FIELDS)).collect()
     assert sorted((r.sha, r.file_path) for r in got) == sorted([("1", "a"), ("2", "a"), ("3", "c")] * 3)
+
+
+def test_work_sessions_are_session_windows(spark, many_slices):
+    rng = random.Random(5)
+    rows = [(rng.choice(["bot", "bot", "bot", "x", None]), None if rng.random() < 0.02 else DAY + dt.timedelta(minutes=30 * rng.randrange(3000))) for _ in range(500)]
+    df = spark.createDataFrame(rows + rows[:40], "who string, committed_at timestamp")
+    got = work_sessions(df, "2 hours", ["who"]).collect()
+    w = F.session_window("committed_at", "2 hours").alias("w")
+    want = df.where("committed_at is not null").groupBy("who", w).agg(F.max("committed_at").alias("e"), F.count("*").alias("n")).select("who", "w.start", "e", "n").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, want))) and len(got) > 50
+    assert work_sessions(df.limit(0), "2 hours", ["who"]).count() == 0

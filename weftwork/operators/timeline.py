@@ -1,4 +1,4 @@
-"""What held last before a moment: values carried along time, as-of joins, and files followed over renames."""
+"""What held last before a moment: values carried along time, as-of joins, files over renames, and work sessions."""
 
 from __future__ import annotations
 
@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from weftwork.session import Steps
 
 
-def carry_last(df: DataFrame, by: list[str], order: list[str], value: str, name: str, steps: Steps) -> DataFrame:
-    """df with `name`: the last value that isn't null at or before each row of its group, in order; null if none is.
+def carry_last(df: DataFrame, by: list[str], order: list[str], value: str, name: str, steps: Steps, before: bool = False) -> DataFrame:
+    """df with `name`: the last value that isn't null at each row of its group or before it, in order; null if none is.
+
+    With `before` the row's own value doesn't count.
 
     Rows are dealt to slices by ranges of group and order, so a group of any size takes as many slices as it needs. Each
     slice carries its own values on; what the slices before it end with comes from a table with a row for each group and
@@ -18,11 +20,11 @@ def carry_last(df: DataFrame, by: list[str], order: list[str], value: str, name:
     """
     dealt = df.repartitionByRange(*(F.col(c) for c in [*by, *order])).withColumn("_slice", F.spark_partition_id())
     dealt = steps.write(dealt)
-    own = F.last(value, ignorenulls=True).over(Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    own = F.last(value, ignorenulls=True).over(Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow))
     last = F.max(F.when(F.col(value).isNotNull(), F.struct(*order, F.col(value).alias("_value")))).alias("_last")
     ends = dealt.groupBy(*by, "_slice").agg(last)
-    before = F.last("_last._value", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
-    ends = steps.write(ends.select(*by, "_slice", before.alias("_before")).where("_before is not null"))
+    carried = F.last("_last._value", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    ends = steps.write(ends.select(*by, "_slice", carried.alias("_before")).where("_before is not null"))
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"e.{c}")) for c in [*by, "_slice"]]
     joined = dealt.withColumn("_own", own).alias("d").join(ends.alias("e"), same, "left")
     return joined.select(*(F.col(f"d.{c}") for c in df.columns), F.coalesce("_own", "_before").alias(name))
@@ -73,3 +75,19 @@ def file_identities(changes: DataFrame) -> DataFrame:
         at = new
     named = held.where("is_change").select("_row", "repo", "path", "since").join(at.select("repo", "path", "since", "up_path"), ["repo", "path", "since"], "left")
     return rows.join(named.select("_row", F.coalesce("up_path", "path").alias("file_path")), "_row").drop("_row")
+
+
+def work_sessions(commits: DataFrame, gap: str, by: list[str], at: str = "committed_at") -> DataFrame:
+    """(by, started_at, ended_at, commits): stretches of commits of one group, each no more than `gap` after the one before.
+
+    The same as session windows of that gap, whose end is the last commit here; but a group is dealt to slices by time, so
+    an author with a third of all commits is no single task. Commits without a time have no session; null groups are a group.
+    """
+    steps = Steps(commits.sparkSession, "sessions")
+    times = commits.where(F.col(at).isNotNull()).select(*by, F.col(at).alias("_at"))
+    times = carry_last(times, by, ["_at"], "_at", "_was", steps, before=True)
+    begins = F.col("_was").isNull() | (F.col("_at") > F.col("_was") + F.expr(f"interval {gap}"))
+    # Of commits at one moment only the first begins a session, so they see one start whatever their order.
+    begun = times.groupBy(*by, "_at").agg(F.count("*").alias("n"), F.max(begins).alias("begins")).withColumn("_start", F.when(F.col("begins"), F.col("_at")))
+    held = carry_last(begun, by, ["_at"], "_start", "started_at", steps)
+    return held.groupBy(*by, "started_at").agg(F.max("_at").alias("ended_at"), F.sum("n").alias("commits"))

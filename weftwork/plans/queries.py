@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftwork.operators import parsing as P
 from weftwork.operators.ancestry import ancestry_depth
-from weftwork.operators.timeline import asof_join, file_identities
+from weftwork.operators.timeline import asof_join, file_identities, work_sessions
 from weftwork.plans import standin, tables
 from weftwork.sources.git_log import read_log, write_tables
 from weftwork.streaming.log_stream import append_available, stream_bad_records, stream_parents, stream_records, write_available
@@ -162,6 +162,14 @@ def latest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.groupBy("repo", "path").agg(last, F.count("*").alias("changes")).select("repo", "path", F.col("last.sha").alias("last_sha"), "changes")
 
 
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Work sessions of authors, with gaps of up to 60 days."""
+    path = f"{standin.shared_folder(spark)}/times"
+    P.parse_times(_good(spark, sf_dir)).select("author_email", "committed_at").write.parquet(path)
+    out = work_sessions(spark.read.parquet(path), "60 days", ["author_email"])
+    return out.select("author_email", F.unix_seconds("started_at").alias("started_s"), F.unix_seconds("ended_at").alias("ended_s"), "commits")
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each file was changed, under all its names."""
     changes = tables.file_changes(P.parse_times(_good(spark, sf_dir)), "committed_at")
@@ -203,6 +211,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_bad_records": streamed_bad,
     "activity_by_week": activity,
     "latest_changes": latest_changes,
+    "author_sessions": sessions,
     "files_over_renames": files,
     "files_as_of": files_as_of,
 }
@@ -307,6 +316,12 @@ select 'all' as repo, k::varchar as sha, max(d) as depth from r group by k""",
     "stream_records": f"with {_ORDERS} select repo, sha, zone as author_offset from o",
     "activity_by_week": f"with {_ORDERS} select o_custkey || '@example.com' as author_email, strftime(date_trunc('week', make_timestamp(s * 1000000)), '%Y-%m-%d') as week, count(*) as commits from o group by 1, 2",
     "latest_changes": f"with {_CHANGES} select repo, path, arg_max(sha, (s, sha)) as last_sha, count(*) as changes from f group by repo, path",
+    "author_sessions": f"""with {_ORDERS}, g as (
+  select o_custkey, s, case when s - lag(s) over (partition by o_custkey order by s) <= 60 * 86400 then 0 else 1 end as begins from o
+), n as (
+  select o_custkey, s, sum(begins) over (partition by o_custkey order by s rows unbounded preceding) as k from g
+)
+select o_custkey || '@example.com' as author_email, min(s) as started_s, max(s) as ended_s, count(*) as commits from n group by o_custkey, k""",
     "files_over_renames": f"with {_CHANGES} select repo, coalesce(old_path, path) as file_path, count(*) as changes, count(distinct path) as names from f group by 1, 2",
     "files_as_of": f"""with {_CHANGES}, c as (
   select repo, path, s, arg_max(sha, (sha, pos)) as sha, arg_max(coalesce(try_cast(a as bigint), -1), (sha, pos)) as added from f group by repo, path, s

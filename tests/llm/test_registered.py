@@ -145,9 +145,10 @@ def test_scratch_is_cleared(spark, tables):
 
     from weftwork.llm import common
 
-    out = registry.op4_substring_dedup(spark, tables[0]).collect()
+    out = registry.op4_substring_dedup(spark, tables[0])
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("weft_")]
+    out = out.collect()
     assert out and any(Path(f.removeprefix("file://")).exists() for f in common._FOLDERS)
     made = list(common._FOLDERS)
     common.clear_scratch(spark)
     assert not any(Path(f.removeprefix("file://")).exists() for f in made)
-    assert not [t for t in spark.catalog.listTables() if t.name.startswith("weft_")]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,30 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftwork.session import shared_dir
+
 #: A table of at most so many rows, and of so many bytes, may be broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 #: Rows that a function of a batch gets at once, so that what it makes stays small.
 SLICE_ROWS = 1024
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share, from spark.checkpoint.dir.
-
-    Only a local session may go without that setting; it then gets a folder of its own.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="weftwork-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-#: Folders and tables made by this process, for clear_scratch().
+#: Folders made by this process, for clear_scratch().
 _FOLDERS: list[str] = []
-_TABLES: list[str] = []
 
 
 class Scratch:
@@ -57,12 +42,17 @@ class Scratch:
         return out
 
     def write_buckets(self, df: DataFrame, key: str, n: int) -> DataFrame:
-        """Writes a table bucketed by key, whose groups by key need no shuffle later on."""
+        """Writes a table bucketed by key, whose groups by key need no shuffle later on.
+
+        The catalog, which alone can tell Spark of buckets, holds it only until its plan is known; the files stay.
+        """
         self.n += 1
         path, name = f"{self.root}/{self.n}", f"weft_{uuid.uuid4().hex}"
-        _TABLES.append(name)
-        df.write.format("parquet").option("path", path).bucketBy(n, key).saveAsTable(name)
-        out = self.spark.table(name)
+        try:
+            df.write.format("parquet").option("path", path).bucketBy(n, key).saveAsTable(name)
+            out = self.spark.table(name)
+        finally:
+            self.spark.sql(f"drop table if exists {name}")
         out._scratch = path
         return out
 
@@ -81,8 +71,6 @@ def _delete(spark: SparkSession, folder: str) -> None:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes all scratch tables that this process has made; call it when the results have been written or read."""
-    while _TABLES:
-        spark.sql(f"drop table if exists {_TABLES.pop()}")
     while _FOLDERS:
         _delete(spark, _FOLDERS.pop())
 

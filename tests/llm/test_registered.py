@@ -137,6 +137,7 @@ def test_only_small_tables_are_broadcast(spark):
     marked = lambda df, **kw: "ResolvedHint" in broadcast_if_small(df, **kw)._jdf.queryExecution().analyzed().toString()
     few = spark.range(50).select("id", F.struct(F.lit("x").alias("url"), F.array("id").alias("h")).alias("s"))
     assert marked(few) and not marked(few, rows=49) and marked(few.limit(0))
+    assert marked(few.select("id", F.array(F.lit("x"), F.lit(None)).alias("a"))) and not marked(spark.range(50).select("id", F.array(F.lit("x"), F.repeat(F.lit("x"), 400_000)).alias("a")))
     assert not marked(spark.range(50).select("id", F.struct(F.repeat(F.lit("x"), 400_000).alias("url")).alias("s")))
 
 

@@ -109,6 +109,8 @@ def _width(column: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.StringType | T.BinaryType):
         return F.coalesce(F.octet_length(column), F.lit(0)).cast("long")
     if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.StringType | T.BinaryType | T.ArrayType | T.StructType):
+            return F.coalesce(F.aggregate(column, F.lit(0).cast("long"), lambda n, x: n + _width(x, kind.elementType)), F.lit(0))
         return F.greatest(F.coalesce(F.size(column), F.lit(0)), F.lit(0)).cast("long") * 8
     if isinstance(kind, T.StructType):
         return sum((_width(column[f.name], f.dataType) for f in kind.fields), F.lit(0).cast("long"))

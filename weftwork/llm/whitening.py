@@ -14,6 +14,7 @@ zero, to double precision, can't be whitened and are left out, so a table of one
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import DenseMatrix
@@ -119,7 +120,8 @@ def whiten(df: DataFrame, vector_col: str = "embedding", components: int = COMPO
     means = [s / n for s in sums] if n else []
     centred = lambda d: d.select("__weft_row", F.zip_with("whole", F.array(*map(F.lit, means)).cast("array<double>"), lambda x, m: x - m).alias("centred"))
     if n and dims:
-        matrix = block_matrix(centred(fit), "__weft_row", "centred", n, dims)
+        # Kept, on disk where memory is short, since the products read the blocks several times; lost ones are made again.
+        matrix = block_matrix(centred(fit), "__weft_row", "centred", n, dims).persist(StorageLevel.MEMORY_AND_DISK)
         e, explained, vectors = components_of(second_moments(matrix, n), components)
     else:
         e, explained, vectors = np.zeros(0), np.zeros(0), np.zeros((dims, 0))
@@ -127,7 +129,8 @@ def whiten(df: DataFrame, vector_col: str = "embedding", components: int = COMPO
         empty = {"n": "long", "deviation": "long", "whitened": "array<double>", "explained": "array<double>", "identity_error": "double"}
         return rows.drop("__weft_row").where("false").withColumns({k: F.lit(None).cast(t) for k, t in empty.items()})
     to_white = local_block(spark, vectors / np.sqrt(e))
-    error = float(np.abs(second_moments(product(matrix, to_white), n) - np.eye(len(e))).max())
+    white_fit = product(matrix, to_white).persist(StorageLevel.MEMORY_AND_DISK)
+    error = float(np.abs(second_moments(white_fit, n) - np.eye(len(e))).max())
     white = as_rows(product(block_matrix(centred(rows), "__weft_row", "centred", n_rows, dims), to_white), "__weft_row", "whitened")
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: F.try_add(s, x))
     as_long = lambda s: F.lit(s if abs(s) < 1 << 63 else None).cast("long")

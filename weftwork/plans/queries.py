@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftwork.operators import parsing as P
 from weftwork.operators.ancestry import ancestry_depth
+from weftwork.operators.cochange import changed_together
 from weftwork.operators.timeline import asof_join, file_identities, work_sessions
 from weftwork.plans import standin, tables
 from weftwork.sources.git_log import read_log, write_tables
@@ -162,6 +163,15 @@ def latest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.groupBy("repo", "path").agg(last, F.count("*").alias("changes")).select("repo", "path", F.col("last.sha").alias("last_sha"), "changes")
 
 
+def together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of classes of paths that two or more commits changed together."""
+    return changed_together(tables.file_changes(_good(spark, sf_dir)), 2)[0]
+
+
+def together_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changed_together(tables.file_changes(_good(spark, sf_dir)), 2)[1]
+
+
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Work sessions of authors, with gaps of up to 60 days."""
     path = f"{standin.shared_folder(spark)}/times"
@@ -211,6 +221,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_bad_records": streamed_bad,
     "activity_by_week": activity,
     "latest_changes": latest_changes,
+    "changed_together": together,
+    "changed_together_classes": together_classes,
     "author_sessions": sessions,
     "files_over_renames": files,
     "files_as_of": files_as_of,
@@ -283,6 +295,15 @@ _BY_MONTH = f"""with {_CHANGES}, m as (select strftime(make_timestamp(s * 100000
   select m.month, commits, coalesce(changes, 0) as changes, added from m left join n using (month)"""
 _PARENTS = f"with {_ORDERS} select repo, sha as child, lpad(lower(printf('%X', before)), 40, '0') as parent, o_custkey || '@example.com' as parent_author_email from o where before is not null"
 _BAD = f"with {_ORDERS} select repo, 'parts' as reason, 'cut' || chr(31) || o_orderkey as raw from o where o_orderkey % 50 = 0"
+_TOGETHER = f"""
+{_CHANGES}, u as (
+  select distinct repo, sha, path from f
+), c as (
+  select repo, path, count(*) as commits, list_sort(list(sha)) as shas from u group by 1, 2 having count(*) >= 2
+), k as (
+  select *, min(path) over (partition by repo, shas) as of from c
+)
+"""
 ORACLE_SQL = {
     "b1_read_log": f"""with {_RECORDS} select repo, raw from w union all select repo, raw from w where o_orderstatus = 'O'
   union all select repo, 'cut' || chr(31) || o_orderkey from w where o_orderkey % 50 = 0""",
@@ -316,6 +337,9 @@ select 'all' as repo, k::varchar as sha, max(d) as depth from r group by k""",
     "stream_records": f"with {_ORDERS} select repo, sha, zone as author_offset from o",
     "activity_by_week": f"with {_ORDERS} select o_custkey || '@example.com' as author_email, strftime(date_trunc('week', make_timestamp(s * 1000000)), '%Y-%m-%d') as week, count(*) as commits from o group by 1, 2",
     "latest_changes": f"with {_CHANGES} select repo, path, arg_max(sha, (s, sha)) as last_sha, count(*) as changes from f group by repo, path",
+    "changed_together_classes": f"with {_TOGETHER} select repo, path, of, commits from k",
+    "changed_together": f"""with {_TOGETHER}, w as (select u.* from u join k on u.repo = k.repo and u.path = k.path where k.path = k.of)
+select a.repo, a.path as path_a, b.path as path_b, count(*) as commits from w a join w b on a.repo = b.repo and a.sha = b.sha and a.path < b.path group by 1, 2, 3 having count(*) >= 2""",
     "author_sessions": f"""with {_ORDERS}, g as (
   select o_custkey, s, case when s - lag(s) over (partition by o_custkey order by s) <= 60 * 86400 then 0 else 1 end as begins from o
 ), n as (

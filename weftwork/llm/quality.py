@@ -24,8 +24,8 @@ MAX_SHARE, MIN_DOCS, MOST_DOCS = 0.1, 10, 10
 MAX_REMOVED = 70
 #: Rules on words: fewer than MIN_WORDS, or over MAX_REPEATED per cent in repeated windows, fails.
 MIN_WORDS, MAX_REPEATED, WINDOW = 20, 30, 8
-#: The most frequent lines of one host that its documents may be searched for as a list.
-LIST_LINES = 256
+#: The most frequent lines of one host that its documents may be searched for in lists, and into how many these are dealt.
+LIST_LINES, LISTS = 65_536, 256
 
 
 def words(text: Column) -> Column:
@@ -100,40 +100,53 @@ def frequent_lines(df: DataFrame, host_col: str, text_col: str, max_share: float
     return counts.join(hosts, F.col("__weft_host").eqNullSafe(F.col("__weft_of"))).where(F.col("n") > limit).select("__weft_host", "h")
 
 
-def with_common(df: DataFrame, common: DataFrame, host_col: str, text_col: str, scratch: Scratch) -> DataFrame:
-    """df with __weft_common, a list in which each frequent line of the row is; null if there is none.
+def line_info(text: Column) -> Column:
+    """(h, n) of each line with a word: the hash and the length of its normal form."""
+    return F.transform(lines(F.coalesce(text, F.lit(""))), lambda x: bind(normal_line(x), lambda k: F.struct(F.xxhash64(k).alias("h"), F.length(k).alias("n"))))
 
-    Short lists of few hosts are broadcast, as their number and length are counted first. Otherwise lines meet the
-    frequent ones in a join by host and line, and each row gets its own.
+
+def with_common(df: DataFrame, common: DataFrame, host_col: str, text_col: str) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """df with __weft_common, which holds each frequent line of the row, null if it has none; and whether a hash is in it.
+
+    Short lists of few hosts are broadcast, as their number, length and bytes are counted first: a list for each value of
+    a hash's last bits, so that a line is compared with few. Otherwise lines meet the frequent ones in a join by host
+    and line, and each different text of a host gets its own; no text is shuffled for that unless kept_text is asked for.
     """
     n, size = F.count("*").alias("n"), (8 * F.count("*") + F.coalesce(F.max(F.octet_length(F.col("__weft_host").cast("string"))), F.lit(0))).alias("size")
     total, longest, size = common.groupBy("__weft_host").agg(n, size).agg(*(F.coalesce(x, F.lit(0)) for x in (F.sum("n"), F.max("n"), F.sum("size")))).first()
     if total <= BROADCAST_ROWS and longest <= LIST_LINES and size <= BROADCAST_BYTES:
-        lists = common.groupBy("__weft_host").agg(F.sort_array(F.collect_list("h")).alias("__weft_common"))
-        return df.join(F.broadcast(lists), F.col(host_col).eqNullSafe(F.col("__weft_host")), "left").drop("__weft_host")
-    rows = scratch.write(df.withColumn("__weft_row", F.monotonically_increasing_id()))
-    own = rows.select("__weft_row", F.col(host_col).alias("__weft_of"), F.explode(line_hashes(F.col(text_col))).alias("own"))
+        by = common.groupBy("__weft_host", F.pmod("h", F.lit(LISTS)).cast("int").alias("of")).agg(F.collect_list("h").alias("list"))
+        lists = by.groupBy("__weft_host").agg(F.map_from_entries(F.collect_list(F.struct("of", "list"))).alias("lists"))
+        every = F.transform(F.sequence(F.lit(0), F.lit(LISTS - 1)), lambda i: F.try_element_at("lists", i.cast("int")))
+        joined = df.join(F.broadcast(lists.select("__weft_host", every.alias("__weft_common"))), F.col(host_col).eqNullSafe(F.col("__weft_host")), "left").drop("__weft_host")
+        return joined, lambda h: F.coalesce(F.array_contains(F.get("__weft_common", F.pmod(h, F.lit(LISTS)).cast("int")), h), F.lit(False))
+    keys = [f"__weft_k{i}" for i in (1, 2)]
+    rows = df.withColumns({k: F.xxhash64(F.lit(i), F.coalesce(F.col(text_col), F.lit(""))) for i, k in enumerate(keys)})
+    own = rows.select(*keys, F.col(host_col).alias("__weft_of"), F.explode(line_hashes(F.col(text_col))).alias("own"))
     met = own.join(common, (F.col("own") == F.col("h")) & F.col("__weft_of").eqNullSafe(F.col("__weft_host")))
-    return rows.join(met.groupBy("__weft_row").agg(F.collect_list("h").alias("__weft_common")), "__weft_row", "left").drop("__weft_row")
+    lists = met.groupBy("__weft_host", *(F.col(k).alias(f"{k}o") for k in keys)).agg(F.collect_set("h").alias("__weft_common"))
+    same = [F.col(k) == F.col(f"{k}o") for k in keys] + [F.col(host_col).eqNullSafe(F.col("__weft_host"))]
+    joined = rows.join(lists, same, "left").drop("__weft_host", *keys, *(f"{k}o" for k in keys))
+    return joined, lambda h: F.array_contains("__weft_common", h)
 
 
 def quality_rules(df: DataFrame, text_col: str = "text", host_col: str = "source", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, most_docs: int = MOST_DOCS) -> DataFrame:
     """df with the measures, base_failed, n_lines_removed, kept_text (text without frequent lines) and kept.
 
-    The texts are read twice and never shuffled unless there are very many frequent lines.
+    The texts are read twice and never shuffled unless there are very many frequent lines and kept_text is asked for.
     """
     scratch = Scratch(df.sparkSession, "quality")
     common = scratch.write(frequent_lines(df, host_col, text_col, max_share, min_docs, most_docs))
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines_removed", "kept_text", "kept"]
-    joined = with_common(df.drop(*new), common, host_col, text_col, scratch)
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    hit = lambda x: F.array_contains("__weft_common", F.xxhash64(normal_line(x)))
-    sized = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, x: n + F.length(normal_line(x)))
+    measured = df.drop(*new).withColumns({"__weft_base": base(F.col(text_col)), "__weft_lines": line_info(F.col(text_col))})
+    joined, hit = with_common(measured, common, host_col, text_col)
+    sized = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, x: n + x["n"])
     removed = F.when(F.col("__weft_common").isNull(), F.struct(F.lit(0).alias("n"), F.lit(False).alias("depleted"))).otherwise(
-        bind(lines(t), lambda x: bind(F.filter(x, hit), lambda r: F.struct(F.size(r).alias("n"), ((F.size(r) > 0) & (100 * sized(r) > MAX_REMOVED * sized(x))).alias("depleted"))))
+        bind(F.filter("__weft_lines", lambda x: hit(x["h"])), lambda r: F.struct(F.size(r).alias("n"), ((F.size(r) > 0) & (100 * sized(r) > MAX_REMOVED * sized(F.col("__weft_lines")))).alias("depleted")))
     )
-    out = joined.withColumns({"__weft_base": base(F.col(text_col)), "__weft_lines": removed})
+    out = joined.withColumn("__weft_removed", removed)
     failed = (F.col("__weft_base.n_words") < MIN_WORDS) | (100 * F.col("__weft_base.n_repeat_words") > MAX_REPEATED * F.col("__weft_base.n_words"))
-    kept_text = F.when(F.col("__weft_lines.n") == 0, F.col(text_col)).otherwise(F.array_join(F.filter(F.split(t, "\n"), lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & hit(x))), "\n"))
-    columns = {k: F.col(f"__weft_base.{k}") for k in new[:5]} | {"base_failed": failed, "n_lines_removed": F.col("__weft_lines.n").cast("long"), "kept_text": kept_text, "kept": ~failed & ~F.col("__weft_lines.depleted")}
-    return out.withColumns(columns).drop("__weft_base", "__weft_lines", "__weft_common")
+    gone = lambda x: x.rlike(r"[^\x20\x09-\x0D]") & hit(F.xxhash64(normal_line(x)))
+    kept_text = F.when(F.col("__weft_removed.n") == 0, F.col(text_col)).otherwise(F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x: ~gone(x)), "\n"))
+    columns = {k: F.col(f"__weft_base.{k}") for k in new[:5]} | {"base_failed": failed, "n_lines_removed": F.col("__weft_removed.n").cast("long"), "kept_text": kept_text, "kept": ~failed & ~F.col("__weft_removed.depleted")}
+    return out.withColumns(columns).drop("__weft_base", "__weft_lines", "__weft_removed", "__weft_common")

@@ -122,7 +122,7 @@ def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by month of tables that two streams have appended the same files to, some files in a batch."""
     log, root = standin.write_log(spark, sf_dir, flawed=True), standin.shared_folder(spark)
     for name in ("first", "second"):
-        append_available(spark, log, f"{root}/tables", f"{root}/{name}", name, files=4)
+        append_available(spark, log, f"{root}/tables", f"{root}/{name}", name, files=12)
     commits = spark.read.parquet(f"{root}/tables/commits").groupBy(F.col("month").cast("string").alias("month")).agg(F.count("*").alias("commits"))
     changes = spark.read.parquet(f"{root}/tables/file_changes").groupBy(F.col("month").cast("string").alias("month")).agg(F.count("*").alias("changes"), F.sum("added").alias("added"))
     return commits.join(changes, "month", "left").select("month", "commits", F.coalesce("changes", F.lit(0)).alias("changes"), "added")

@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from weftwork.llm import lm
@@ -107,3 +108,12 @@ def test_scores_do_not_depend_on_how_rows_are_dealt(spark):
     again = {r.id: r.score for r in lm.score_documents(docs, crc_of_id("doc_id") % 7 == 2).collect()}
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert once == again
+
+
+def test_slices_hold_every_row_once(monkeypatch):
+    monkeypatch.setattr(lm, "SLICE_BYTES", 10)
+    texts = ["a" * 4, "b" * 6, None, "c" * 25, "", "d", "e" * 9, None, "f" * 11]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    got = [s.column(0).to_pylist() for s in lm.text_slices(iter([batch, batch.slice(0, 0), batch.slice(3, 2)]))]
+    assert sum(got, []) == texts + texts[3:5] and all(len(s) == 1 or sum(len(t or "") for t in s) <= 10 for s in got)
+    assert got[0] == ["a" * 4, "b" * 6, None]

@@ -44,12 +44,25 @@ CHUNK_TOKENS, SUMMED = 1 << 19, 32
 SCORE_ROWS, SCORE_DOCS = 1 << 15, 4096
 #: Buckets of letter pairs that describe a word.
 LETTERS = 64
+#: Text whose words are looked up at once; only a longer single text takes more.
+SLICE_BYTES = 12 << 20
 #: Distinct words that a task counts before it hands them on.
 COUNT_FLUSH = 200_000
 END = b""
 LOG10 = math.log(10)
 
 
+def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about SLICE_BYTES of column text: the more at once, the fewer words are met again."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        before, at = np.concatenate([[0], np.cumsum(size)]), 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(before, before[at] + SLICE_BYTES, "right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def word_codes(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words of column text, the number of each word among them, text after text, and words of each text."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column(batch.schema.get_field_index("text")), "")))
@@ -97,7 +110,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
         rows = lambda: pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
-        for batch in slices(batches):
+        for batch in text_slices(batches):
             words, code, sizes = word_codes(batch)
             held.update(dict(zip(words.to_pylist(), np.bincount(code, minlength=len(words)).tolist(), strict=True)))
             held[END] += len(sizes)
@@ -446,7 +459,7 @@ def score_documents(df: DataFrame, held_out: Column, id_col: str = "doc_id", tex
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
         table = v.table()
-        for batch in slices(batches):
+        for batch in text_slices(batches):
             dictionary, code, sizes = word_codes(batch)
             words = dictionary.to_pylist()
             index = np.fromiter(map(table.get, words, repeat(-1)), np.int64, len(words))

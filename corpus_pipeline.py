@@ -23,7 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup: of each component of texts that are 0.8 alike in five-word shingles, one row stays.
 
-    Bands of min-hashes make the candidates here, since 0.8 is beyond the bits that covering masks can bridge.
+    Blocks of wide SimHash fingerprints, with covering masks each, make the candidates; whole shingle sets decide.
     """
     return simhash.keep_one_of_near_copies(docs, words=5, least=0.8)
 

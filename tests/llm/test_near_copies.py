@@ -86,6 +86,57 @@ def test_sketches_rule_out_no_similar_pair():
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
 
 
+def test_wide_fingerprints_are_majorities():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (0, 1, 2, 7, 40, 41, 300, 5000, 333)]
+    odd = np.random.default_rng(11).integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for s, wide in zip(sets, simhash.wide_fingerprints(sets, 4), strict=True):
+        assert len(wide) == 8 * (8 if len(s) <= simhash.FEW else 4)
+        for a, got in zip(odd, np.frombuffer(wide, np.uint64), strict=False):
+            y = (s ^ s >> np.uint64(31)) * a
+            y ^= y >> np.uint64(32)
+            assert int(got) == sum(1 << k for k in range(64) if 2 * int((y >> np.uint64(k) & np.uint64(1)).sum()) > len(s))
+
+
+def test_pairs_at_0_8_meet_in_some_table():
+    rng = np.random.default_rng(6)
+    bits, width = simhash.blocks_of(10**5)
+    masks = np.array(simhash.covering_masks(1, bits), np.uint64)
+    for common, more, pairs in ((4, (0, 1), 5000), (12, (0, 3), 5000), (88, (11, 11), 3000)):
+        x = [rng.integers(0, 1 << 63, common + sum(more), dtype=np.uint64) for _ in range(pairs)]
+        a = simhash.wide_fingerprints([v[: common + more[0]] for v in x], width)
+        b = simhash.wide_fingerprints([np.delete(v, slice(common, common + more[0])) for v in x], width)
+        differ = np.array([np.frombuffer(v, np.uint64) ^ np.frombuffer(w, np.uint64) for v, w in zip(a, b, strict=True)])
+        blocks = differ[:, :, None] >> (np.arange(64 // bits, dtype=np.uint64) * np.uint64(bits))
+        met = (blocks[..., None] & masks == 0).any(axis=(1, 2, 3)) & (np.bitwise_count(differ[:, :2]).sum(axis=1) <= simhash.NEAR_BITS)
+        assert (~met).sum() <= 5
+
+
+def test_simhash_makes_the_candidates(spark, monkeypatch):
+    """Without its fingerprints no copy is found, whatever the texts share."""
+    rows = [(i, " ".join(f"w{j}" for j in range(100)) + f" x{i}") for i in range(4)]
+    assert stage(spark, rows) == rows[:1]
+    monkeypatch.setattr(simhash, "wide_fingerprints", lambda sets, words: [np.random.default_rng(int(s.sum(dtype=np.uint64))).bytes(8 * words) for s in sets])
+    assert sorted(stage(spark, rows)) == rows
+
+
+def test_groups_of_a_bucket_over_batches(spark, monkeypatch):
+    """Near ones of a bucket, however batches cut it; of a crowd all go on."""
+    monkeypatch.setattr(simhash, "CROWD", 6)
+    rows = [(1, 0, 0), (1, -1, -1), (1, 1, 0), (2, 5, 5), (3, 7, 0), (3, 7, 1), *((4, k * 0x123456789ABCDE, ~k) for k in range(9)), (5, 3, 3), (5, 3, 7)]
+    df = spark.createDataFrame(rows, "b long, f1 long, f2 long").coalesce(1)
+    for size in (2, 5, 100):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = simhash.near_in_buckets(df).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        groups = {}
+        for r in got:
+            groups.setdefault(r.b, []).append((r.f1, r.f2))
+        assert sorted(map(sorted, groups.values())) == sorted(sorted((x, y) for b, x, y in rows if b == k and (k != 1 or x >= 0)) for k in (1, 3, 4, 5))
+
+
 def test_candidates_grow_with_the_nodes(spark, monkeypatch):
     """Copies that are near to one text, but not to each other, don't meet in pairs."""
     rng = random.Random(9)

@@ -10,6 +10,7 @@ ids are separate rows with the same id; null ids are ignored in the least id of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, append_columns, broadcast_if_small, bytes_of, components, slices
+from .common import Scratch, append_columns, broadcast_if_small, bytes_of, components, free_shuffles, slices
 
 BITS = 64
 #: A table's bucket with more distinct fingerprints is linked through midpoints, whose number is linear in it.
@@ -81,11 +82,11 @@ def with_fingerprint(df: DataFrame, text_col: str = "text", words: int = 4) -> D
     return append_columns(df, [T.StructField("fp", T.LongType())], make)
 
 
-def covering_masks(radius: int) -> list[int]:
+def covering_masks(radius: int, bits: int = BITS) -> list[int]:
     """One mask for each nonzero v."""
     size = 1 << (radius + 1)
-    vector = [1 + i % (size - 1) for i in range(BITS)]
-    return [sum(1 << i for i in range(BITS) if (vector[i] & v).bit_count() % 2) for v in range(1, size)]
+    vector = [1 + i % (size - 1) for i in range(bits)]
+    return [sum(1 << i for i in range(bits) if (vector[i] & v).bit_count() % 2) for v in range(1, size)]
 
 
 def _signed(x: int) -> int:
@@ -193,8 +194,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(of, "fp").select("id", "fp", "component_id")
 
 
-#: Minima in a band, and bands.
-BAND, BANDS = 4, 16
+#: Of pairs at the least similarity, the share that may meet in no table; bits in which they differ, of all.
+MISSED, DIFFER = 1.5e-4, 0.152
+#: A block's bits at least, and rows to a bucket of unlike texts from which blocks get wider.
+BLOCK_BITS, MET = 27, 256
+#: The majority of so few hashes strays from its mean: such sets have twice the blocks.
+FEW = 40
+#: Bits of 128 in which members of a bucket may differ; from so many members on they aren't compared by these.
+NEAR_BITS, CROWD = 40, 1024
 #: Bits of a set's sketch at least; members of a bucket, and bytes of their sketches, that one task compares.
 SKETCH_BITS, BUCKET_ROWS, BUCKET_BYTES = 1024, 4096, 32 << 20
 #: Pairs of a node that are verified at first.
@@ -206,39 +213,131 @@ def shingle_sets(h: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     return [np.unique(x) for x in np.split(h, np.cumsum(counts)[:-1])] if len(counts) else []
 
 
-def _by_size(sets: list[np.ndarray]) -> Iterator[slice]:
-    """Slices of the sets that together stay small."""
-    start = n = 0
-    for i, s in enumerate(sets):
-        if n and n + len(s) > 1 << 20:
-            yield slice(start, i)
-            start, n = i, 0
-        n += len(s)
-    if start < len(sets):
-        yield slice(start, len(sets))
-
-
-def min_hashes(sets: list[np.ndarray]) -> np.ndarray:
-    """Hashes of the bands of each set: BAND minima each, of as many multiply-and-xor hashes."""
-    rng = np.random.default_rng(11)
-    odd = rng.integers(0, 1 << 63, BAND * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    out = np.zeros((len(sets), BAND * BANDS), np.uint64)
-    some = np.flatnonzero([len(s) for s in sets])
-    for part in _by_size([sets[i] for i in some]):
-        rows = some[part]
-        flat = np.concatenate([sets[i] for i in rows])
-        first = np.cumsum([0, *(len(sets[i]) for i in rows[:-1])])
-        flat ^= flat >> np.uint64(31)
-        for k, a in enumerate(odd):
-            x = flat * a
-            x ^= x >> np.uint64(32)
-            out[rows, k] = np.minimum.reduceat(x, first)
-    bands = out.reshape(len(sets), BANDS, BAND)
-    h = np.full(bands.shape[:2], 7, np.uint64) + np.arange(BANDS, dtype=np.uint64)
-    for j in range(BAND):
-        h = (h ^ bands[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return h
+def blocks_of(rows: int) -> tuple[int, int]:
+    """Bits of a block and 64-bit words of a wide fingerprint for so many rows.
+
+    A block's three masks keep two thirds of its bits each, so a pair with at most one differing bit in some block meets
+    for certain, and in a block at all with the probability below. The blocks are as many as MISSED asks for.
+    """
+    bits = min(48, max(BLOCK_BITS, math.ceil(1.5 * math.log2(max(rows, 1) / MET + 1))))
+    kept = [m.bit_count() for m in covering_masks(1, bits)]
+    meets = sum((1 - DIFFER) ** k for k in kept) - 2 * (1 - DIFFER) ** bits
+    return bits, math.ceil(math.log(MISSED) / math.log(1 - meets) / (64 // bits))
+
+
+def majority_words(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The bits that over half of a row's n words have; what fills the row is zero. Adds 64 bits at once, plane by plane."""
+    planes = [x]
+    while planes[0].shape[1] > 1:
+        if planes[0].shape[1] % 2:
+            planes = [np.concatenate([p, np.zeros((len(p), 1), np.uint64)], axis=1) for p in planes]
+        half, carry, sums = planes[0].shape[1] // 2, None, []
+        for p in planes:
+            a, b = p[:, :half], p[:, half:]
+            odd, both = a ^ b, a & b
+            sums.append(odd if carry is None else odd ^ carry)
+            carry = both if carry is None else both | odd & carry
+        planes = [*sums, carry]
+    more, same = np.zeros(len(x), np.uint64), np.full(len(x), ~np.uint64(0))
+    for k in reversed(range(len(planes))):
+        p, limit = planes[k][:, 0], np.where(n // 2 >> k & 1, ~np.uint64(0), np.uint64(0))
+        more |= same & p & ~limit
+        same &= ~(p ^ limit)
+    return more
+
+
+def wide_fingerprints(sets: list[np.ndarray], words: int) -> list[bytes]:
+    """SimHash of each set in so many words of 64 bits, twice as many for small sets; each word has its own hash."""
+    odd = np.random.default_rng(11).integers(0, 1 << 63, 2 * words, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    size = np.array([len(s) for s in sets], np.int64)
+    by, out, at = np.argsort(size, kind="stable"), [b""] * len(sets), 0
+    while at < len(by):
+        # Sets of about one size, filled up with zeros, which stay zero below.
+        least = size[by[at]]
+        most = FEW if least <= FEW else least + least // 8
+        end = min(int(np.searchsorted(size[by], most, "right")), at + max(1, (1 << 17) // max(1, int(least))))
+        some, width = by[at:end], words * (1 + (least <= FEW))
+        x = np.zeros((len(some), max(1, size[some[-1]])), np.uint64)
+        x[np.arange(x.shape[1]) < size[some, None]] = np.concatenate([sets[i] for i in some])
+        x ^= x >> np.uint64(31)
+        made = np.empty((len(some), width), np.uint64)
+        # Words of few hashes are made together, as each call of numpy has its own cost.
+        step = max(1, (1 << 17) // x.size)
+        for k in range(0, width, step):
+            y = (odd[k : min(k + step, width), None, None] * x).reshape(-1, x.shape[1])
+            y ^= y >> np.uint64(32)
+            made[:, k : k + step] = majority_words(y, np.tile(size[some], len(y) // len(x))).reshape(-1, len(x)).T
+        for i, w in zip(some.tolist(), made, strict=True):
+            out[i] = w.tobytes()
+        at = end
+    return out
+
+
+def in_tables(points: DataFrame, bits: int) -> DataFrame:
+    """(b, f1, f2) from rows (f1, f2, wide): a row for each block and mask, b being the table and the bits that it keeps."""
+    masks, places = np.array(covering_masks(1, bits), np.uint64), 64 // bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            f1, f2, wide = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            width = np.array([len(w) for w in wide])
+            for n in np.unique(width):
+                some = np.flatnonzero(width == n)
+                words = np.frombuffer(b"".join(wide[i] for i in some), np.uint64).reshape(len(some), -1, 1)
+                blocks = (words >> (np.arange(places, dtype=np.uint64) * np.uint64(bits))).reshape(len(some), -1, 1)
+                tables = np.arange(blocks.shape[1] * len(masks), dtype=np.uint64).reshape(-1, len(masks))
+                b = (blocks & masks) | tables << np.uint64(48)
+                yield pa.RecordBatch.from_arrays([pa.array(b.ravel().view(np.int64)), *(pa.array(np.repeat(f[some], tables.size)) for f in (f1, f2))], names=["b", "f1", "f2"])
+
+    return points.mapInArrow(run, "b long, f1 long, f2 long")
+
+
+def near_in_buckets(buckets: DataFrame) -> DataFrame:
+    """Of rows (b, f1, f2) sorted by bucket, those that have another within NEAR_BITS in their bucket.
+
+    Equal groups of many tables get one b. Buckets of a crowd stay whole, to be compared in blocks.
+    """
+
+    def close(b: np.ndarray, f1: np.ndarray, f2: np.ndarray) -> pa.RecordBatch:
+        first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
+        crowd = np.repeat(*(lambda n: (n > CROWD, n))(np.diff(np.append(first, len(b)))))
+        near, at, step = crowd.copy(), np.flatnonzero(~crowd), 1
+        while len(at):
+            at = at[at + step < len(b)]
+            at = at[b[at + step] == b[at]]
+            ok = at[np.bitwise_count(f1[at] ^ f1[at + step]) + np.bitwise_count(f2[at] ^ f2[at + step]) <= NEAR_BITS]
+            near[ok] = near[ok + step] = True
+            step += 1
+        b, f1, f2, crowd = (x[near] for x in (b, f1, f2, crowd))
+        if len(b):
+            first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+            x = (f1 ^ f2 >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) ^ f2
+            x = (x ^ x >> np.uint64(32)) * np.uint64(0xD1342543DE82EF95)
+            group = np.repeat(np.add.reduceat(x ^ x >> np.uint64(29), first), np.diff(np.append(first, len(b))))
+            b = np.where(crowd, b, group)
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (b, f1, f2)], names=["b", "f1", "f2"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, hot = tuple(np.zeros(0, np.uint64) for _ in range(3)), None
+        for batch in batches:
+            rows = tuple(c.to_numpy().view(np.uint64) for c in batch.columns)
+            if hot is not None and len(rows[0]):
+                n = int(np.argmax(rows[0] != hot)) if rows[0][-1] != hot else len(rows[0])
+                yield pa.RecordBatch.from_arrays([pa.array(x[:n].view(np.int64)) for x in rows], names=["b", "f1", "f2"])
+                rows = tuple(x[n:] for x in rows)
+                hot = hot if not len(rows[0]) else None
+            if not len(rows[0]):
+                continue
+            rows = tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
+            # The last bucket may go on in the next batch.
+            last = len(rows[0]) - int(np.argmax(rows[0][::-1] != rows[0][-1])) if rows[0][0] != rows[0][-1] else 0
+            if len(rows[0]) - last > CROWD:
+                hot, last = rows[0][-1], len(rows[0])
+            yield close(*(x[:last] for x in rows))
+            held = tuple(x[last:] for x in rows)
+        yield close(*held)
+
+    return buckets.mapInArrow(run, "b long, f1 long, f2 long")
 
 
 def sketch_bits(n: int) -> int:
@@ -362,8 +461,9 @@ def keep_one_of_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str
     """One row of each component of texts whose sets of shingles have a Jaccard similarity of `least` or more.
 
     The row with the least (id, nulls last; shingle set; row) stays. Equal sets are one node. Candidates are nodes
-    that agree on a band of minima (the bits of a SimHash tell 0.8 apart too poorly; it only picks a bucket's first node):
-    first each with the first of its bucket. Then every pair of a bucket whose roots still differ is compared by sketches
+    whose SimHash fingerprints are near. At 0.8 about 15 % of the bits differ, so fingerprints are of many words, and blocks
+    of their bits have covering masks each; members of a bucket count as near if 128 bits tell so. First each node is
+    verified with the first of some of its buckets. Then every pair of a bucket whose roots still differ is compared by sketches
     that rule out no similar pair and are as wide as the sets are large, so that few unlike pairs pass at any length;
     those that do are verified, the nearest of each node first, and again with more of them until none is held back.
     Every link is verified on the whole sets; only candidates' texts are read for that.
@@ -375,25 +475,31 @@ def keep_one_of_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            h, counts = shingle_hashes(bytes_of(batch, "text"), words)
-            sets = shingle_sets(h, counts)
+            sets = shingle_sets(*shingle_hashes(bytes_of(batch, "text"), words))
             nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets]
-            bands = pa.FixedSizeListArray.from_arrays(pa.array(min_hashes(sets).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
+            wide = wide_fingerprints(sets, width)
+            f1, f2 = (pa.array(np.array([np.frombuffer(w, np.int64, 2)[k] for w in wide], np.int64)) for k in (0, 1))
             sketches = pa.array(odd_sketches(sets), pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(majority_bits(h, counts).view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), bands, sketches], names=["id", *key, "node", "fp", "n", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(np.array(nodes, np.uint64).view(np.int64)), f1, f2, pa.array([len(s) for s in sets], pa.int64()), pa.array(wide, pa.binary()), sketches], names=["id", *key, "node", "f1", "f2", "n", "wide", "sketch"])
 
+    bits, width = blocks_of(df.count())
     kind = df.schema[id_col].dataType.simpleString()
     columns = keyed.select(F.col(id_col).alias("id"), *key, F.col(text_col).alias("text"))
-    rows = scratch.write(columns.mapInArrow(mark, f"id {kind}, __weft_k1 long, __weft_k2 long, node long, fp long, n long, bands array<long>, sketch binary"))
+    rows = scratch.write(columns.mapInArrow(mark, f"id {kind}, __weft_k1 long, __weft_k2 long, node long, f1 long, f2 long, n long, wide binary, sketch binary"))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node", *key)).alias("best")
-    nodes = scratch.write(rows.groupBy("node").agg(best, F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")))
-    buckets = nodes.select("node", "fp", "n", F.explode("bands").alias("b"))
-    first = buckets.groupBy("b").agg(F.count("*").alias("size"), F.sum(F.greatest("n", F.lit(SKETCH_BITS)) / 4).alias("bytes"), F.min(F.struct("fp", "node", "n")).alias("first")).where("size > 1")
+    nodes = scratch.write(rows.groupBy("node").agg(best, *(F.min(c).alias(c) for c in ("f1", "f2", "n", "wide", "sketch"))))
+    tables = in_tables(nodes.select("f1", "f2", "wide"), bits).repartition("b").sortWithinPartitions("b")
+    met = scratch.write(near_in_buckets(tables).distinct())
+    # The tables' shuffle is the largest by far.
+    free_shuffles(spark)
+    buckets = scratch.write(met.join(nodes.select("node", "n", "f1", "f2"), ["f1", "f2"]).select("b", "node", "n", "f1"))
+    first = buckets.groupBy("b").agg(F.count("*").alias("size"), F.sum(F.greatest("n", F.lit(SKETCH_BITS)) / 4).alias("bytes"), F.min(F.struct("f1", "node", "n")).alias("first")).where("size > 1")
     first = broadcast_if_small(scratch.write(first))
-    # Buckets of one node are the most by far and go here.
     buckets = scratch.write(buckets.join(first, "b"))
     ratio = F.least("n", "first.n") >= least * F.greatest("n", "first.n")
-    stars = scratch.write(buckets.where((F.col("node") != F.col("first.node")) & ratio).select(F.least("first.node", "node").alias("a"), F.greatest("first.node", "node").alias("b")).distinct())
+    stars = buckets.where((F.col("node") != F.col("first.node")) & ratio).select("node", "first").distinct()
+    stars = stars.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("first"))).where(F.col("rank") <= PAIRS)
+    stars = scratch.write(stars.select(F.least("first.node", "node").alias("a"), F.greatest("first.node", "node").alias("b")).distinct())
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -197,10 +197,19 @@ class Network:
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """Next state from gate inputs x, with what backpropagation needs. A column is a stream, here and below."""
         s, u = STATE, self.p["U"].T @ h
-        zr = 1 / (1 + np.exp(-(x[: 2 * s] + u[: 2 * s])))
+        # In place, here and below, since new arrays cost as much as the arithmetic.
+        zr = x[: 2 * s] + u[: 2 * s]
+        np.exp(np.negative(zr, out=zr), out=zr)
+        zr += 1
+        np.divide(1, zr, out=zr)
         z, r, un = zr[:s], zr[s:], u[2 * s :]
-        n = np.tanh(x[2 * s :] + r * un)
-        return n + z * (h - n), z, r, n, un
+        n = r * un
+        n += x[2 * s :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, n, un
 
     def output(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each unit y, a class of other words counting as one; gradients if asked for."""
@@ -267,16 +276,20 @@ class Network:
         g, dns = np.empty_like(gate), np.empty_like(states)
         dh = np.zeros_like(h)
         for t in range(steps - 1, -1, -1):
-            d = dh + dout[:, t]
-            dn = dns[:, t] = d * to_n[:, t]
-            g[:s, t] = d * to_z[:, t]
-            g[s : 2 * s, t] = dn * to_r[:, t]
-            g[2 * s :, t] = dn * r[:, t]
-            dh = (d * z[:, t] + p["U"] @ g[:, t]) * keep[t]
+            d = dh
+            d += dout[:, t]
+            dn = np.multiply(d, to_n[:, t], out=dns[:, t])
+            np.multiply(d, to_z[:, t], out=g[:s, t])
+            np.multiply(dn, to_r[:, t], out=g[s : 2 * s, t])
+            np.multiply(dn, r[:, t], out=g[2 * s :, t])
+            d *= z[:, t]
+            dh = p["U"] @ g[:, t]
+            dh += d
+            dh *= keep[t]
         grads["U"] = was.reshape(s, -1) @ g.reshape(3 * s, -1).T
         # The input of the candidate state is not gated.
         g[2 * s :] = dns
-        order = np.argsort(x.ravel().astype(np.int32), kind="stable")
+        order = np.argsort(x.ravel().astype(np.int16), kind="stable")
         unit = x.ravel()[order]
         first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
         grads["G"] = np.zeros_like(p["G"])
@@ -325,6 +338,7 @@ class Network:
         n = len(y) // streams
         x, y, fresh = (a.reshape(streams, n).T for a in (x, y, fresh))
         m, v = moments
+        spare = {k: np.empty_like(a) for k, a in self.p.items()}
         h = np.zeros((STATE, streams), np.float32)
         for at in range(0, n, STEPS):
             ys, keep = y[at : at + STEPS], (~fresh[at : at + STEPS]).astype(np.float32)
@@ -333,9 +347,19 @@ class Network:
             rate = RATE / (1 - 0.9**count)
             for k, g in grads.items():
                 g /= ys.size
-                m[k] += np.float32(0.1) * (g - m[k])
-                v[k] += np.float32(0.001) * (g * g - v[k])
-                self.p[k] -= np.float32(rate) * m[k] / (np.sqrt(v[k] / np.float32(1 - 0.999**count)) + np.float32(1e-6))
+                by = np.subtract(g, m[k], out=spare[k])
+                by *= np.float32(0.1)
+                m[k] += by
+                np.multiply(g, g, out=by)
+                by -= v[k]
+                by *= np.float32(0.001)
+                v[k] += by
+                np.divide(v[k], np.float32(1 - 0.999**count), out=by)
+                np.sqrt(by, out=by)
+                by += np.float32(1e-6)
+                np.multiply(m[k], np.float32(rate), out=g)
+                g /= by
+                self.p[k] -= g
         return count
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:

@@ -172,6 +172,80 @@ def test_long_texts_that_share_a_part_are_not_verified_in_pairs(spark, monkeypat
     assert count[2] < 3 * count[1] < 9 * count[0] + 100 and count[2] < 400
 
 
+def rows_made(spark, monkeypatch):
+    """Counts the rows that the functions on pairs of nodes give."""
+    count = spark.sparkContext.accumulator(0)
+    kind = type(spark.range(1))
+    plain = kind.mapInArrow
+
+    def counting(df, f, schema, *args, **kwargs):
+        def g(batches):
+            for batch in f(batches):
+                count.add(batch.num_rows)
+                yield batch
+
+        return plain(df, g if str(schema).startswith(("node long, near long", "a long, b long")) else f, schema, *args, **kwargs)
+
+    monkeypatch.setattr(kind, "mapInArrow", counting)
+    return count
+
+
+def test_copies_that_share_most_tables_make_few_rows(spark, monkeypatch):
+    """A pair of copies meets in many of the 192 tables, which must not give it as many times."""
+    made = rows_made(spark, monkeypatch)
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for k in rng.sample(range(200), 2):
+            w[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    assert sorted(stage(spark, rows)) == sorted(brute(rows))
+    assert made.value < 20 * len(rows)
+
+
+def test_rows_of_texts_just_unlike_grow_with_their_number(spark, monkeypatch):
+    """Pairs at 0.79, which sketches don't tell from similar ones, and a few at 0.806, which are no nearer by sketches."""
+    made, count = rows_made(spark, monkeypatch), []
+    for n in (30, 120):
+        rng = random.Random(n)
+        core, rows = [f"w{rng.randrange(5000)}" for _ in range(885)], []
+        for i in range(n):
+            tail = [f"x{rng.randrange(10**6)}" for _ in range(115)]
+            if i % 2 and i < 20:
+                tail[:8] = rows[-1][1].split()[885:893]
+            rows.append((i, " ".join([*core, *tail])))
+        before, want = made.value, brute(rows)
+        assert sorted(stage(spark, rows)) == sorted(want) and len(want) == n - 10
+        count.append(made.value - before)
+    # All pairs of the larger table would be 7,140.
+    assert count[1] < 6 * count[0] and count[1] < 20 * 120
+
+
+def test_links_in_blocks_join_all_roots(spark, monkeypatch):
+    """Own rows first, then those of other blocks, however batches cut them; of links that join the same roots one is given."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64)) for _ in range(3)]
+    sets = {10 * k + i: np.unique(np.concatenate([s[i:], rng.integers(0, 1 << 63, i, dtype=np.uint64)])) for k, s in enumerate(sets) for i in range(1, 6)}
+    # Nodes 1 and 2 have one root; of bucket 8, node 23 has none to meet; bucket 9 has two blocks.
+    place = [(7, 0, x, True, True) for x in (1, 2, 3, 4, 11, 12)] + [(8, 0, 23, True, True)] + [(9, salt, x, True, x % 2 == salt) for salt in (0, 1) for x in (21, 22, 24)] + [(9, 1, 25, False, True)]
+    rows = [(b, salt, x, len(sets[x]), 1 if x == 2 else x, simhash.odd_sketches([sets[x]])[0], other, mine, sets[x].tobytes()) for b, salt, x, other, mine in place]
+    schema = "b long, salt int, node long, n long, root long, sketch binary, other boolean, mine boolean, shingles binary"
+    df = spark.createDataFrame(rows, schema).coalesce(1).sortWithinPartitions("b", "salt", "mine", ascending=[True, True, False])
+    for size in (1, 4, 100):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = [(r.a, r.b) for r in simhash._linked_in_blocks(df, 0.8).collect()]
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        root = {x: x for x in sets} | {2: 1}
+        for a, b in got:
+            root = {x: root[a] if r == root[b] else r for x, r in root.items()}
+        assert (1, 2) not in got and len([a for a, _ in got if a < 10]) == 2
+        assert [len({root[x] for x in g}) for g in ((1, 2, 3, 4), (11, 12), (21, 22, 24, 25))] == [1, 1, 1] and root[23] == 23 and root[1] != root[11]
+
+
 def test_roots_after_new_links(spark):
     frame = lambda rows, names: spark.createDataFrame(rows, names)
     roots = frame([(1, 1), (2, 1), (3, 3), (4, 3), (8, 8), (9, 8)], "node long, root long")

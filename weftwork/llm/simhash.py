@@ -204,8 +204,8 @@ FEW = 40
 NEAR_BITS, CROWD = 40, 1024
 #: Bits of a set's sketch at least; members of a bucket, and bytes of their sketches, that one task compares.
 SKETCH_BITS, BUCKET_ROWS, BUCKET_BYTES = 1024, 4096, 32 << 20
-#: Pairs of a node that are verified at first.
-PAIRS = 2
+#: Pairs of a node that are verified one by one, and its buckets that look for them at first.
+PAIRS, LOOKS = 2, 4
 
 
 def shingle_sets(h: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
@@ -389,40 +389,51 @@ def _jaccard_links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _packed(rows: list[tuple]) -> dict[int, tuple]:
+    """Rows (node, n, root, sketch, ...) by the width of their sketches: places in the list, sizes, roots, sketches, and these at half the width."""
+    by_width: dict[int, list[int]] = {}
+    for i, r in enumerate(rows):
+        by_width.setdefault(len(r[3]), []).append(i)
+    made = {}
+    for w, places in by_width.items():
+        sketch = np.array([np.frombuffer(rows[i][3], np.uint64) for i in places])
+        made[w] = (np.array(places), *(np.array([rows[i][k] for i in places]) for k in (1, 2)), sketch, halved(sketch) if w > SKETCH_BITS // 8 else None)
+    return made
+
+
+def _not_ruled_out(made: dict[int, tuple], size: int, of: int, bits: bytes, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of packed rows of other roots that may be similar to a set of this size, root and sketch, and bits that differ.
+
+    Sets with this similarity differ in few hashes, so their sketches differ in as few bits at most.
+    """
+    own = np.frombuffer(bits, np.uint64)
+    met = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    # Sets of less than half the hashes, whose sketches are narrower still, can't be similar.
+    for w, a, narrow in ((len(bits), own, False), (2 * len(bits), own, True), (len(bits) // 2, halved(own), False)):
+        if w in made:
+            place, n, root, sketch, half = made[w]
+            differ = np.bitwise_count((half if narrow else sketch) ^ a).sum(axis=1).astype(np.int64)
+            # Sets of sizes x and y with similarity s differ in (1 - s) / (1 + s) * (x + y) hashes.
+            ok = np.flatnonzero((differ * (1 + least) <= (1 - least) * (n + size) + 1e-6) & (np.minimum(n, size) >= least * np.maximum(n, size)) & (root != of))
+            met.append((place[ok], differ[ok]))
+    return tuple(np.concatenate(x) for x in zip(*met, strict=True))
+
+
 def _across(blocks: DataFrame, least: float, most: int) -> DataFrame:
-    """(a, b, cut) from rows (b, salt, node, n, root, sketch, other, mine) by block: pairs of different roots that may be similar.
+    """(node, a, b, cut) from rows (b, salt, node, n, root, sketch, other, mine) by block: pairs of different roots that may be similar.
 
-    Each row of another root than the bucket's main one, which all blocks have, is compared with a block's own rows. Sets
-    with this similarity differ in few hashes, so their sketches differ in as few bits at most. Each such row gives the
-    `most` nearest pairs, so their number is in proportion to the rows; cut says that it has more.
+    Each row marked as other is compared with its block's own rows, and gives the `most` nearest pairs, so their number
+    is in proportion to the rows; cut says that the node has more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, mine, others = None, [], []
 
         def close() -> pa.RecordBatch:
-            out = []
-            by_width: dict[int, list] = {}
-            for r in mine if others else ():
-                by_width.setdefault(len(r[3]), []).append(r)
-            # Those of one width, and at half of it, to be compared with narrower ones.
-            made = {}
-            for w, rows in by_width.items():
-                node, n, root = (np.array([r[k] for r in rows]) for k in (0, 1, 2))
-                sketch = np.array([np.frombuffer(r[3], np.uint64) for r in rows])
-                made[w] = (node, n, root, sketch, halved(sketch) if w > SKETCH_BITS // 8 else None)
+            out, made = [], _packed(mine) if others else {}
             for other, size, of, bits in others if made else ():
-                own = np.frombuffer(bits, np.uint64)
-                met = []
-                # Sets of less than half the hashes, whose sketches are narrower still, can't be similar.
-                for w, a, narrow in ((len(bits), own, False), (2 * len(bits), own, True), (len(bits) // 2, halved(own), False)):
-                    if w in made:
-                        node, n, root, sketch, half = made[w]
-                        differ = np.bitwise_count((half if narrow else sketch) ^ a).sum(axis=1).astype(np.int64)
-                        # Sets of sizes x and y with similarity s differ in (1 - s) / (1 + s) * (x + y) hashes.
-                        ok = np.flatnonzero((differ * (1 + least) <= (1 - least) * (n + size) + 1e-6) & (np.minimum(n, size) >= least * np.maximum(n, size)) & (root != of))
-                        met.append((node[ok], differ[ok]))
-                node, differ = (np.concatenate(x) for x in zip(*met, strict=True)) if met else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                place, differ = _not_ruled_out(made, size, of, bits, least)
+                node = np.array([mine[i][0] for i in place.tolist()], np.int64)
                 near = np.lexsort((node, differ))[:most]
                 out += [(other, x, d, len(node) > most) for x, d in zip(node[near].tolist(), differ[near].tolist(), strict=True)]
             node, near, differ, more = zip(*out, strict=True) if out else ((), (), (), ())
@@ -444,8 +455,65 @@ def _across(blocks: DataFrame, least: float, most: int) -> DataFrame:
     met = blocks.mapInArrow(run, "node long, near long, differ long, more boolean").groupBy("node", "near").agg(F.min("differ").alias("differ"), F.max("more").alias("more"))
     met = met.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("differ", "near")))
     cut = F.max(F.col("more") | (F.col("rank") > most)).over(Window.partitionBy("node")).alias("cut")
-    met = met.select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b"), "rank", cut)
-    return met.where(F.col("rank") <= most).groupBy("a", "b").agg(F.max("cut").alias("cut"))
+    return met.select("node", F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b"), "rank", cut).where(F.col("rank") <= most).drop("rank")
+
+
+def _linked_in_blocks(blocks: DataFrame, least: float) -> DataFrame:
+    """(a, b) from rows (b, salt, node, n, root, sketch, other, mine, shingles) by block, own rows first: links that join its roots.
+
+    Whole sets are compared here, so a pair that sketches do not tell from a similar one makes no row, and a block makes
+    fewer links than it has roots. A task holds the own rows of one block.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, mine, made, up, out = None, [], None, {}, []
+
+        def top(root: int) -> int:
+            while (over := up.get(root, root)) != root:
+                up[root] = root = up.get(over, over)
+            return root
+
+        def compare(row: tuple) -> None:
+            node, n, root, sketch, _, shingles = row
+            place, differ = _not_ruled_out(made, n, root, sketch, least)
+            for i in place[np.argsort(differ, kind="stable")].tolist():
+                near, size, of, _, _, theirs = mine[i]
+                if top(of) != top(root):
+                    common = len(np.intersect1d(np.frombuffer(shingles, np.uint64), np.frombuffer(theirs, np.uint64), assume_unique=True))
+                    if common >= least * (n + size - common):
+                        up[top(of)] = top(root)
+                        out.append((min(node, near), max(node, near)))
+
+        def close() -> None:
+            """All own rows are there."""
+            nonlocal made
+            if made is None:
+                made = _packed(mine)
+                for row in mine:
+                    if row[4]:
+                        compare(row)
+
+        def links() -> pa.RecordBatch:
+            a, b = zip(*out, strict=True) if out else ((), ())
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in slices(batches, 64):
+            for bucket, salt, node, n, root, sketch, other, own, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (bucket, salt) != key:
+                    close()
+                    key, mine, made, up = (bucket, salt), [], None, {}
+                row = (node, n, root, sketch, other, shingles)
+                if own:
+                    mine.append(row)
+                else:
+                    close()
+                    compare(row)
+            yield links()
+        close()
+        yield links()
+
+    return blocks.mapInArrow(run, "a long, b long").distinct()
 
 
 def _joined_roots(spark, roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -465,8 +533,10 @@ def keep_one_of_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str
     of their bits have covering masks each; members of a bucket count as near if 128 bits tell so. First each node is
     verified with the first of some of its buckets. Then every pair of a bucket whose roots still differ is compared by sketches
     that rule out no similar pair and are as wide as the sets are large, so that few unlike pairs pass at any length;
-    those that do are verified, the nearest of each node first, and again with more of them until none is held back.
-    Every link is verified on the whole sets; only candidates' texts are read for that.
+    of those that do, the nearest of each node are verified. Copies of one text share most of their tables, so at first a
+    node looks in its largest buckets alone, twice, and in all of them once these have joined the copies. Nodes that still
+    have more near ones than were verified are compared on the whole sets within the blocks, which give links alone: no
+    step makes pairs by the square of a group. Every link is verified on the whole sets; only candidates' texts are read for that.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "near")
@@ -493,7 +563,7 @@ def keep_one_of_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str
     # The tables' shuffle is the largest by far.
     free_shuffles(spark)
     buckets = scratch.write(met.join(nodes.select("node", "n", "f1", "f2"), ["f1", "f2"]).select("b", "node", "n", "f1"))
-    first = buckets.groupBy("b").agg(F.count("*").alias("size"), F.sum(F.greatest("n", F.lit(SKETCH_BITS)) / 4).alias("bytes"), F.min(F.struct("f1", "node", "n")).alias("first")).where("size > 1")
+    first = buckets.groupBy("b").agg(F.count("*").alias("size"), F.sum(F.greatest("n", F.lit(SKETCH_BITS)) / 4).alias("bytes"), F.sum("n").alias("hashes"), F.min(F.struct("f1", "node", "n")).alias("first")).where("size > 1")
     first = broadcast_if_small(scratch.write(first))
     buckets = scratch.write(buckets.join(first, "b"))
     ratio = F.least("n", "first.n") >= least * F.greatest("n", "first.n")
@@ -510,25 +580,47 @@ def keep_one_of_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str
     texts = keyed.select(*key, F.col(text_col).alias("text")).join(broadcast_if_small(wanted), key).select("node", "text")
     sets = scratch.write(texts.mapInArrow(sets_of, "node long, shingles binary").dropDuplicates(["node"]))
     links = scratch.write(_jaccard_links(stars, sets, least))
-    verified, most = stars, PAIRS
     roots = scratch.write(components(spark, links).distinct())
-    while True:
-        rooted = scratch.write(buckets.select("b", "node", "n", "size", "bytes").join(roots, "node", "left").select("b", "node", "n", "size", "bytes", F.coalesce("root", "node").alias("root")))
+
+    def blocks(looks: int | None = None, cut: DataFrame | None = None, whole: bool = False) -> DataFrame:
+        """Rows of buckets with several roots, by block: those to be compared go to all blocks of a bucket, each also to its own.
+
+        Compared are the rows of other roots than the main one, up to so many of a node and without those that were cut; or, on
+        whole sets, only these, as a node that was cut may have joined a main root since.
+        """
+        rooted = scratch.write(buckets.select("b", "node", "n", "size", "bytes", "hashes").join(roots, "node", "left").select("b", "node", "n", "size", "bytes", "hashes", F.coalesce("root", "node").alias("root")))
         # Buckets of one component go here. Of the others, the root with the most members is dealt to blocks, the rest to all.
         main = rooted.groupBy("b", "root").agg(F.count("*").alias("n")).groupBy("b").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("b", "main.root")
         main = scratch.write(main.withColumnRenamed("root", "main"))
-        blocks = F.greatest(F.ceil(F.col("size") / BUCKET_ROWS), F.ceil(F.col("bytes") / BUCKET_BYTES)).cast("int")
-        open_ = rooted.join(broadcast_if_small(main), "b").withColumns({"own": F.pmod(F.xxhash64("node"), blocks).cast("int"), "other": F.col("root") != F.col("main")})
-        open_ = open_.withColumn("salt", F.explode(F.when(F.col("other"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("own"))))
-        open_ = open_.join(nodes.select("node", "sketch"), "node").select("b", "salt", "node", "n", "root", "sketch", "other", (F.col("salt") == F.col("own")).alias("mine"))
-        found = scratch.write(_across(open_.repartition("b", "salt").sortWithinPartitions("b", "salt"), least, most))
-        new = scratch.write(found.select("a", "b").join(verified, ["a", "b"], "left_anti"))
+        number = F.greatest(F.ceil(F.col("size") / BUCKET_ROWS), F.ceil((F.col("hashes") * 8 if whole else F.col("bytes")) / BUCKET_BYTES)).cast("int")
+        out = rooted.join(broadcast_if_small(main), "b").withColumns({"own": F.pmod(F.xxhash64("node"), number).cast("int"), "other": F.col("root") != F.col("main")})
+        if cut:
+            was_cut = F.col("cut").isNotNull()
+            out = out.join(broadcast_if_small(cut), "node", "left").withColumn("other", was_cut if whole else F.col("other") & ~was_cut)
+        if looks:
+            rank = F.row_number().over(Window.partitionBy("node", "other").orderBy(F.desc("size"), "b"))
+            out = out.withColumn("other", F.col("other") & (rank <= looks))
+        if cut or looks:
+            out = scratch.write(out)
+            out = out.join(broadcast_if_small(scratch.write(out.where("other").select("b").distinct())), "b", "left_semi")
+        out = out.withColumn("salt", F.explode(F.when(F.col("other"), F.sequence(F.lit(0), number - 1)).otherwise(F.array("own"))))
+        return out.join(nodes.select("node", "sketch"), "node").select("b", "salt", "node", "n", "root", "sketch", "other", (F.col("salt") == F.col("own")).alias("mine"))
+
+    verified, cut = stars, None
+    for look, looks in enumerate((LOOKS, LOOKS, None)):
+        found = scratch.write(_across(blocks(looks, cut).repartition("b", "salt").sortWithinPartitions("b", "salt"), least, PAIRS))
+        new = scratch.write(found.select("a", "b").distinct().join(verified, ["a", "b"], "left_anti"))
         if not new.isEmpty():
             roots = scratch.write(_joined_roots(spark, roots, scratch.write(_jaccard_links(new, sets, least))))
             verified = verified.unionAll(new)
-        if found.where("cut").isEmpty():
-            break
-        most *= 8
+        # What the first look cuts has mostly joined a component by now; what a later one cuts stays apart from near ones.
+        if look:
+            more = found.where("cut").select("node", "cut").distinct()
+            cut = scratch.write(cut.unionAll(more) if cut else more)
+    if not cut.isEmpty():
+        some = blocks(cut=cut, whole=True).join(sets, "node").select("b", "salt", "node", "n", "root", "sketch", "other", "mine", "shingles")
+        links = scratch.write(_linked_in_blocks(some.repartition("b", "salt").sortWithinPartitions("b", "salt", F.desc("mine")), least))
+        roots = scratch.write(_joined_roots(spark, roots, links))
     rooted = scratch.write(nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "best"))
     kept = scratch.write(rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.__weft_k1", "best.__weft_k2"))
     # Equal rows have one key, by which the join has dealt them out.

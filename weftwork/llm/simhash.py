@@ -458,6 +458,37 @@ def _across(blocks: DataFrame, least: float, most: int) -> DataFrame:
     return met.select("node", F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b"), "rank", cut).where(F.col("rank") <= most).drop("rank")
 
 
+def _near_rows(blocks: DataFrame, least: float) -> DataFrame:
+    """Of rows (b, salt, node, n, root, sketch, other, mine) by block, those that sketches do not tell apart from all that they are compared with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def close() -> pa.RecordBatch:
+            own = [i for i, r in enumerate(rows) if r[7]]
+            made, near = _packed([rows[i][2:6] for i in own]), np.zeros(len(rows), bool)
+            for i, (_, _, _, n, root, sketch, other, _) in enumerate(rows):
+                if other and own:
+                    place = _not_ruled_out(made, n, root, sketch, least)[0]
+                    near[np.array(own)[place]] = True
+                    near[i] |= len(place) > 0
+            kept = [rows[i] for i in np.flatnonzero(near)]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in kept], t) for k, t in enumerate(types)], names=names)
+
+        for batch in slices(batches):
+            names, types = batch.schema.names, batch.schema.types
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:2] != key:
+                    if rows:
+                        yield close()
+                    key, rows = row[:2], []
+                rows.append(row)
+        if rows:
+            yield close()
+
+    return blocks.mapInArrow(run, blocks.schema)
+
+
 def _linked_in_blocks(blocks: DataFrame, least: float) -> DataFrame:
     """(a, b) from rows (b, salt, node, n, root, sketch, other, mine, shingles) by block, own rows first: links that join its roots.
 
@@ -618,7 +649,10 @@ def keep_one_of_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str
             more = found.where("cut").select("node", "cut").distinct()
             cut = scratch.write(cut.unionAll(more) if cut else more)
     if not cut.isEmpty():
-        some = blocks(cut=cut, whole=True).join(sets, "node").select("b", "salt", "node", "n", "root", "sketch", "other", "mine", "shingles")
+        # Only the rows that sketches leave take their sets along.
+        some = scratch.write(_near_rows(blocks(cut=cut, whole=True).repartition("b", "salt").sortWithinPartitions("b", "salt"), least))
+        free_shuffles(spark)
+        some = some.join(sets, "node").select("b", "salt", "node", "n", "root", "sketch", "other", "mine", "shingles")
         links = scratch.write(_linked_in_blocks(some.repartition("b", "salt").sortWithinPartitions("b", "salt", F.desc("mine")), least))
         roots = scratch.write(_joined_roots(spark, roots, links))
     rooted = scratch.write(nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "best"))

@@ -1,12 +1,20 @@
 """What jobs read, write and shuffle: in proportion to what is new, each text once."""
 
+import glob
+import random
 import re
+from datetime import datetime
 
+import pytest
+from test_cochange import brute, expanded
 from test_parsing import rec
 from test_streams import A, B, arrive, rows
 
+from weftwork.operators import cochange
 from weftwork.operators import parsing as P
+from weftwork.operators.timeline import asof_join, file_identities
 from weftwork.plans import standin
+from weftwork.session import shared_dir
 from weftwork.sources.git_log import read_log
 from weftwork.streaming import log_stream as S
 
@@ -37,3 +45,38 @@ def test_a_batch_without_news_writes_no_tables(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(S.tables, "file_changes", lambda *a: made.append(1) or real(*a))
     S.append_batch(log, 0, out, "again")
     assert rows(spark, f"{out}/commits") == want and len(want) == 3 and not made
+
+
+@pytest.mark.parametrize("small", [0, 2, 4])
+def test_pairs_of_small_and_large_commits_add_up(spark, monkeypatch, small):
+    monkeypatch.setattr(cochange, "SMALL_FILES", small)
+    rng = random.Random(small)
+    rows = [("r", f"{i}", f"f{rng.randrange(12)}") for i in range(40) for _ in range(rng.choice([1, 2, 3, 6]))]
+    want = brute(rows, 2)
+    assert expanded(spark, rows, 2) == want and want
+
+
+def stored(spark, name):
+    root = shared_dir(spark).removeprefix("file://")
+    return {p for p in glob.glob(f"{root}/{name}-*/*")}
+
+
+def test_tables_that_nothing_reads_are_deleted(spark):
+    rows = [("r", f"{i}", 0, f"n{i + 1}", f"n{i}" if i % 2 else None, datetime(2024, 1, 1 + i)) for i in range(8)]
+    changes = spark.createDataFrame(rows, "repo string, sha string, pos int, path string, old_path string, committed_at timestamp")
+    had = stored(spark, "together")
+    pairs, members = cochange.changed_together(changes, 1)
+    assert len(stored(spark, "together") - had) == 3 and members.count() == 8 and pairs.count() == 0
+    had = stored(spark, "files")
+    assert file_identities(changes).count() == 8 and len(stored(spark, "files") - had) == 2
+    # Classes alone pair nothing and need one table.
+    had = stored(spark, "classes")
+    assert cochange.path_classes(changes, 1).count() == 8 and len(stored(spark, "classes") - had) == 1
+
+
+def test_an_asof_join_holds_each_value_once(spark):
+    right = spark.createDataFrame([("g", datetime(2024, 1, 1), "x", 1)], "g string, at timestamp, v string, n int")
+    had = stored(spark, "asof")
+    asof_join(right.select("g", "at"), right, ["g"], "at", ["v", "n"], ["n"])
+    dealt = next(p for p in sorted(stored(spark, "asof") - had) if p.endswith("/1"))
+    assert spark.read.parquet(dealt).columns == ["g", "_at", "_held", "_side", "_row", "_slice"]

@@ -55,14 +55,18 @@ def file_identities(changes: DataFrame) -> DataFrame:
     """
     steps = Steps(changes.sparkSession, "files")
     order = ["_at", "_sha", "_pos"]
-    moment = F.struct(F.col("committed_at").alias("at"), F.col("sha"), F.col("pos"))
-    rows = steps.write(changes.withColumn("_row", F.monotonically_increasing_id()))
-    own = F.when(F.col("old_path").isNotNull(), moment)
-    named = rows.select("repo", "path", F.col("committed_at").alias("_at"), F.col("sha").alias("_sha"), F.col("pos").alias("_pos"), own.alias("start"), F.lit(True).alias("is_change"), "_row")
+    rest = F.struct(*(c for c in changes.columns if c not in ("repo", "sha", "pos", "path", "committed_at")))
+    rows = steps.write(changes.select("repo", "path", F.col("committed_at").alias("_at"), F.col("sha").alias("_sha"), F.col("pos").alias("_pos"), rest.alias("_rest"), F.monotonically_increasing_id().alias("_row")))
+    renamed = F.col("_rest.old_path").isNotNull()
+    moment = F.struct(F.col("_at").alias("at"), F.col("_sha").alias("sha"), F.col("_pos").alias("pos"))
+    named = rows.withColumns({"start": F.when(renamed, moment), "is_change": F.lit(True)})
     # What the old path named is asked in the same stream, before all changes of the commit.
-    asked = rows.where("old_path is not null").select("repo", F.col("old_path").alias("path"), F.col("committed_at").alias("_at"), F.col("sha").alias("_sha"), F.lit(-1).cast(rows.schema["pos"].dataType).alias("_pos"), F.lit(None).cast(named.schema["start"].dataType).alias("start"), F.lit(False).alias("is_change"), "_row")
-    held = steps.write(carry_last(named.unionByName(asked), ["repo", "path"], [*order, "is_change", "_row"], "start", "since", steps))
-    renames = rows.where("old_path is not null").select("_row", "repo", "path", moment.alias("since"))
+    nothing = {c: F.lit(None).cast(named.schema[c].dataType) for c in ("start", "_rest")}
+    asked = named.where(renamed).withColumns({"path": F.col("_rest.old_path"), "_pos": F.lit(-1).cast(rows.schema["_pos"].dataType), "is_change": F.lit(False)}).withColumns(nothing)
+    held = steps.write(carry_last(named.unionByName(asked), ["repo", "path"], [*order, "is_change", "_row"], "start", "since", steps).drop("start"))
+    steps.keep(held)
+    changed = held.where("is_change")
+    renames = changed.where(renamed).select("_row", "repo", "path", moment.alias("since"))
     asked = held.where("not is_change").select("_row", F.col("path").alias("up_path"), F.col("since").alias("up_since"))
     up = F.min(F.struct("up_since", "up_path")).alias("up")
     at = steps.write(renames.join(asked, "_row").groupBy("repo", "path", "since").agg(up).select("repo", "path", "since", "up.up_path", "up.up_since"))
@@ -73,8 +77,12 @@ def file_identities(changes: DataFrame) -> DataFrame:
         new = steps.write(jumped.select("repo", "path", "since", F.coalesce("p2", "up_path").alias("up_path"), F.col("s2").alias("up_since")))
         steps.drop(at)
         at = new
-    named = held.where("is_change").select("_row", "repo", "path", "since").join(at.select("repo", "path", "since", "up_path"), ["repo", "path", "since"], "left")
-    return rows.join(named.select("_row", F.coalesce("up_path", "path").alias("file_path")), "_row").drop("_row")
+    # Changes before any rename to their path have its own name and need no join.
+    first = at.select("repo", "path", "since", "up_path")
+    under = changed.where("since is not null").join(first, ["repo", "path", "since"], "left").select(*changed.columns, F.coalesce("up_path", "path").alias("file_path"))
+    out = changed.where("since is null").withColumn("file_path", F.col("path")).unionByName(under)
+    name = {"sha": "_sha", "pos": "_pos", "committed_at": "_at", "repo": "repo", "path": "path"}
+    return out.select(*(F.col(name.get(c, f"_rest.{c}")).alias(c) for c in changes.columns), "file_path")
 
 
 def work_sessions(commits: DataFrame, gap: str, by: list[str], at: str = "committed_at") -> DataFrame:

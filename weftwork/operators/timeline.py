@@ -37,11 +37,16 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], at: str, fields:
     too; a null time has no row before it. Both sides meet in one ordered stream, so nothing is compared in pairs.
     """
     steps = Steps(left.sparkSession, "asof")
-    moments = right.where(F.col(at).isNotNull()).select(*by, F.col(at).alias("_at"), F.struct(*tie).alias("_tie"), F.struct(*fields).alias("_held"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_row"))
-    asked = left.select(*by, F.col(at).alias("_at"), F.lit(None).cast(moments.schema["_tie"].dataType).alias("_tie"), F.lit(None).cast(moments.schema["_held"].dataType).alias("_held"), F.lit(1).alias("_side"), F.struct(*(F.col(c) for c in left.columns)).alias("_row"))
-    both = carry_last(moments.unionByName(asked), by, ["_at", "_side", "_tie"], "_held", "_found", steps).where("_side = 1")
+    # Each value once: what rows of one time are ordered by also holds the fields.
+    held = F.struct(*tie, *(f for f in fields if f not in tie))
+    moments = right.where(F.col(at).isNotNull()).select(*by, F.col(at).alias("_at"), held.alias("_held"), F.lit(0).alias("_side"))
+    rest = [c for c in left.columns if c not in (*by, at, *fields)]
+    asked = left.select(*by, F.col(at).alias("_at"), F.lit(None).cast(moments.schema["_held"].dataType).alias("_held"), F.lit(1).alias("_side"), (F.struct(*rest) if rest else F.lit(True)).alias("_row"))
+    moments = moments.withColumn("_row", F.lit(None).cast(asked.schema["_row"].dataType))
+    both = carry_last(moments.unionByName(asked), by, ["_at", "_side", "_held"], "_held", "_found", steps).where("_side = 1")
     found = F.when(F.col("_at").isNotNull(), F.col("_found"))
-    return both.select(*(F.col("_row")[c].alias(c) for c in left.columns if c not in fields), *(found[f].alias(f) for f in fields))
+    own = lambda c: F.col(c) if c in by else F.col("_at").alias(c) if c == at else F.col("_row")[c].alias(c)
+    return both.select(*(own(c) for c in left.columns if c not in fields), *(found[f].alias(f) for f in fields))
 
 
 def file_identities(changes: DataFrame) -> DataFrame:

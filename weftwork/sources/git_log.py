@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftwork.functions.record import RECORD, repo_of
+from weftwork.session import free_shuffles
 
 
 def read_log(spark: SparkSession, path: str, levels: int = 1) -> DataFrame:
@@ -30,7 +31,10 @@ def write_tables(commits: DataFrame, file_changes: DataFrame, path: str, bad_rec
     else:
         changes = file_changes.join(commits.select("repo", "sha", "month"), ["repo", "sha"])
     commits.hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(f"{path}/commits")
+    # Each table deduplicates the records for itself; the shuffles of one go before the next is made.
+    free_shuffles(commits.sparkSession)
     changes.hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(f"{path}/file_changes")
+    free_shuffles(commits.sparkSession)
     for name, bad in (("bad_records", bad_records), ("bad_lines", bad_lines)):
         if bad is not None:
             bad.write.mode("overwrite").parquet(f"{path}/{name}")

@@ -80,3 +80,13 @@ def test_an_asof_join_holds_each_value_once(spark):
     asof_join(right.select("g", "at"), right, ["g"], "at", ["v", "n"], ["n"])
     dealt = next(p for p in sorted(stored(spark, "asof") - had) if p.endswith("/1"))
     assert spark.read.parquet(dealt).columns == ["g", "_at", "_held", "_side", "_row", "_slice"]
+
+
+def test_versions_of_commits_are_shuffled_once(spark, tmp_path, monkeypatch):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    arrive(tmp_path, 1, A, B, A, A.replace("2024-03", "2023-03"))
+    found = P.conflicts(P.split_bad(P.parse_header(read_log(spark, str(tmp_path / "log"))))[0])
+    exchanges = plan(found).count("Exchange hashpartitioning")
+    got = sorted((r.sha, r.copies, r.kept) for r in found.collect())
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [("a", 1, False), ("a", 2, True)] and exchanges == 2
